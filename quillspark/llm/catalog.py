@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op9_best_fit_packing
 from .quality import op4_quality_rules
 from .secrets import op3_secret_scan
+from .simhash import op5_simhash_anchors
 from .warc import op2_warc_roundtrip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_roundtrip": op2_warc_roundtrip,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_simhash_anchors": op5_simhash_anchors,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 

@@ -1,16 +1,12 @@
-"""Connected components and spanning links, for relations too large for any one task.
+"""Connected components of links between 64-bit node ids.
 
-Both work on rows of 64-bit node ids.  Components use the alternating large-star / small-star
+They use the alternating large-star / small-star
 contraction (Kiveris et al., 2014): every round is two aggregations and two equi-joins, so a hub
 is only a skewed join key, never a group that one task has to hold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,45 +45,3 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def _forest(left: np.ndarray, right: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], parent: dict, a_ids: np.ndarray, b_ids: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what ``near`` joins: all of them up to those inside one already linked set."""
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i in left:
-        hits = right[near(i, right)]
-        mine = int(a_ids[i])
-        for j in hits:
-            p, q = find(mine), find(int(b_ids[j]))
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((mine, int(b_ids[j])))
-    return out
-
-
-def streamed_groups(key: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole groups of rows that arrive sorted by ``key``, in frames of many groups."""
-    rest: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        last = pdf[key].iloc[-1]
-        same = (pdf[key] == last).all(axis=1).to_numpy()
-        cut = len(pdf) - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cut:
-            yield pd.concat([*rest, pdf.iloc[:cut]], ignore_index=True)
-            rest = [pdf.iloc[cut:]]
-        elif rest and (rest[-1][key].iloc[-1] != last).any():
-            yield pd.concat(rest, ignore_index=True)
-            rest = [pdf]
-        else:
-            rest.append(pdf)
-    if rest:
-        yield pd.concat(rest, ignore_index=True)
