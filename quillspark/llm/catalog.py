@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op8_decontaminate
 from .packing import op9_best_fit_packing
 from .quality import op4_quality_rules
 from .secrets import op3_secret_scan
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_anchors": op5_simhash_anchors,
+    "op8_decontaminate": op8_decontaminate,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
