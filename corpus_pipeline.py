@@ -7,9 +7,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import scratch, table
+from quillspark.llm.common import materialize, scratch, table
+from quillspark.llm.decontaminate import drop_leaks
+from quillspark.llm.packing import pack, tokenized_pieces
+from quillspark.llm.quality import keep_good
+from quillspark.llm.secrets import redact
+from quillspark.llm.simhash import keep_one
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go: those whose rule-ensemble score is below the operator's threshold."""
+    return keep_good(spark, docs, sf_dir)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays, that with the smallest id."""
+    return keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, copied or edited, go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; every document stays."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of what is left, as pieces placed in sequences of at most 4096."""
+    return pack(materialize(tokenized_pieces(docs), "pieces"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("packing", packing)]
 #: SQL cannot express the classifier's fit, SimHash components, alignment or best-fit packing.
 ORACLE_SQL = None
 
