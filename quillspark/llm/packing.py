@@ -13,9 +13,11 @@ Edge cases: a null or empty text is the single end id; repeated rows are separat
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 ITEMS_PER_TASK = 20_000
 #: A round that saves less than this share of the bins it got ends the tree.
 LEAST_GAIN = 0.001
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,25 +43,37 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """Ids of white-space-delimited words as little-endian bytes, kept up to ``CACHED_WORDS``.
+class WordIds:
+    """Ids of texts as little-endian bytes, by way of their white-space-delimited words.
 
     The vocabulary's normaliser and splitter never join what white space separates, so a text's
-    ids are its words' ids in order.
+    ids are its words' ids in order.  Words are kept up to ``CACHED_WORDS``, then forgotten at once.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.known: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word, add_special_tokens=False).ids
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < CACHED_WORDS and len(word) < 64:
-            self[word] = out
-        return out
+    def __call__(self, text: str) -> bytes:
+        words = [w for line in text.split("\n") for w in line.split(" ")]
+        new = list(set(words).difference(self.known))
+        if new:
+            if len(self.known) > CACHED_WORDS:
+                self.known.clear()
+                new = list(set(words))
+            for w, x in zip(new, self.encode(new, add_special_tokens=False), strict=True):
+                ids = x.ids
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.known.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One cache per worker process: workers outlive their tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordIds(path)
 
 
 def cut_pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
@@ -75,12 +89,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(path), struct.pack("<I", end_id)
+        encode, end = word_ids(path), struct.pack("<I", end_id)
         for b in batches:
             rows = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = b"".join([words[w] for line in text.split("\n") for w in line.split(" ") if w]) + end
-                rows += [(i, *x) for x in cut_pieces(ids, capacity)]
+                rows += [(i, *x) for x in cut_pieces(encode(text) + end, capacity)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
