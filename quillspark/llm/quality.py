@@ -60,7 +60,9 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     base = docs.select(*keep, whole_text(text_col).alias("__text"))
     split = base.withColumn("words", F.filter(F.split("__text", r"\s+"), lambda w: w != ""))
     stats = text_statistics(F.col("__text"))
-    return split.select(*keep, *(stats[n].cast("double").alias(f"q_{n}") for n in FEATURES))
+    # The row number keeps a filter on the score above this projection: pushed below, it would
+    # work every statistic out again for each rule that uses it.
+    return split.select(*keep, *(stats[n].cast("double").alias(f"q_{n}") for n in FEATURES), F.monotonically_increasing_id().alias("q_row"))
 
 
 @dataclass(frozen=True)
@@ -178,8 +180,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows small rows: a proven bound for the broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(texts, keep=("doc_id", "y")).collect()
-    rows.sort(key=lambda r: tuple(r))
+    rows = with_statistics(texts, keep=("doc_id", "y")).drop("q_row").collect()
+    rows.sort(key=tuple)
     data = np.array([[*r][1:] for r in rows], dtype=float).reshape(len(rows), len(FEATURES) + 1)
     return fit_rules(data[:, 1:], (data[:, 0] > 0).astype(float))
 
@@ -206,4 +208,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: floa
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), F.col("text").alias("__from"))
     scored = with_statistics(rows, "__from", ("__row",))
-    return scored.where(model.score() >= threshold).select("__row.*")
+    return scored.where((model.score() >= threshold) & (F.col("q_row") >= 0)).select("__row.*")
