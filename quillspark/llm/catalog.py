@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
+from .minhash import op6_one_permutation_minhash
 from .packing import op9_best_fit_packing
+from .pii import op7_pii_weak
 from .quality import op4_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op5_simhash_anchors
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_anchors": op5_simhash_anchors,
+    "op6_one_permutation_minhash": op6_one_permutation_minhash,
+    "op7_pii_weak": op7_pii_weak,
     "op8_decontaminate": op8_decontaminate,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
