@@ -13,6 +13,7 @@ from .pii import op7_pii_weak
 from .quality import op4_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op5_simhash_anchors
+from .substrings import op10_suffix_dedup
 from .warc import op2_warc_roundtrip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii_weak": op7_pii_weak,
     "op8_decontaminate": op8_decontaminate,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
