@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op8_decontaminate
 from .minhash import op6_one_permutation_minhash
 from .packing import op9_best_fit_packing
+from .paragraphs import op1_paragraph_minhash
 from .pii import op7_pii_weak
 from .quality import op4_quality_rules
 from .secrets import op3_secret_scan
@@ -17,6 +18,7 @@ from .substrings import op10_suffix_dedup
 from .warc import op2_warc_roundtrip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_warc_roundtrip": op2_warc_roundtrip,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
