@@ -8,7 +8,10 @@ in at most ``t`` bits then share the home of either, because the other lies with
 threshold, where a block's distance counts only beyond that block's radius (what the triangle
 inequality needs), and compared there with the fingerprints at home.
 
-A bitmap of the occupied anchors (2 MB whatever the input) removes replicas nobody could meet.
+A Bloom filter of the occupied places (a home with its 18 other bits; 8 MB whatever the input) removes
+replicas nobody could meet: a replica whose blocks lie ``e`` beyond their radius can only meet homes
+that differ in at most ``t - e`` of the other bits, and all of these are looked up.  Once the filter
+is more than half full it would remove too little, and every replica goes out.
 Anchors with many fingerprints are dealt out as blocks of bounded size, and of the links in a block
 only those that join sets not yet joined leave it, so a ball of near copies gives a forest of links,
 not all its pairs.
@@ -35,7 +38,8 @@ WORDS, SEED, THRESHOLD = 3, 42, 3
 GOLAY = 0b101011100011  # the generator polynomial of the binary Golay code [23,12]
 RADIUS = 3
 BLOCK = 2048
-ANCHOR_BITS = 24
+LEFT_BITS = 18
+FILTER_BITS, PROBES = 26, 4
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -91,11 +95,51 @@ def home_anchor(fp: np.ndarray) -> np.ndarray:
     return a << 12 | b
 
 
-def replicas(fp: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """``(position in fp, anchor)`` for every anchor within covering radius plus ``threshold``."""
+def places(anchor: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
+    """The filter's ``PROBES`` bit numbers of an anchor with the 18 bits left."""
+    x = (anchor.astype(np.uint64) << np.uint64(LEFT_BITS)) | left.astype(np.uint64)
+    for seed in range(PROBES):
+        x = (x ^ (x >> np.uint64(23)) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        yield (x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def left_bits(fp: np.ndarray) -> np.ndarray:
+    return (fp >> np.uint64(46)).astype(np.int64)
+
+
+@lru_cache(maxsize=4)
+def flips(most: int) -> np.ndarray:
+    """All patterns of at most ``most`` of the 18 bits left."""
+    one = [1 << i for i in range(LEFT_BITS)]
+    out = {0}
+    for _ in range(most):
+        out |= {a ^ b for a in out for b in one}
+    return np.array(sorted(x for x in out if x.bit_count() <= most), dtype=np.int64)
+
+
+def may_meet(occupied: np.ndarray, anchor: np.ndarray, left: np.ndarray, beyond: np.ndarray, threshold: int) -> np.ndarray:
+    """Which replicas could meet a home, by the filter."""
+    keep = np.zeros(len(anchor), bool)
+    for e in range(threshold + 1):
+        own = np.flatnonzero(beyond == e)
+        near = flips(threshold - e)
+        who = np.repeat(own, len(near))
+        look = (left[own][:, None] ^ near[None, :]).ravel()
+        for k in range(PROBES):
+            if not len(who):
+                break
+            bit = next(x for j, x in enumerate(places(anchor[who], look)) if j == k)
+            hit = (occupied[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            who, look = who[hit], look[hit]
+        keep[who] = True
+    return keep
+
+
+def replicas(fp: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(position in fp, anchor, distance beyond the radius)`` for every anchor within covering radius plus ``threshold``."""
     _, _, weight, near, row = golay()
     (a, sa), (b, sb) = _blocks(fp)
-    at, anchors = [], []
+    at, anchors, beyond = [], [], []
     for wa in range(RADIUS + 1):
         for wb in range(RADIUS + 1):
             own = np.flatnonzero((weight[sa] == wa) & (weight[sb] == wb))
@@ -108,7 +152,9 @@ def replicas(fp: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np
                     both = (left[:, :, None] << 12 | right[:, None, :]).reshape(len(own), -1)
                     at.append(np.repeat(own, both.shape[1]))
                     anchors.append(both.ravel())
-    return np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(anchors or [np.zeros(0, np.int64)])
+                    beyond.append(np.full(both.size, ea + eb))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(at or none), np.concatenate(anchors or none), np.concatenate(beyond or none)
 
 
 def forest(home: np.ndarray, others: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -193,24 +239,27 @@ def fingerprint_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFram
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(home_anchor(np.asarray(b.column("fp")).view(np.uint64)))], ["anchor"])
+            fp = np.asarray(b.column("fp")).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*places(home_anchor(fp), left_bits(fp))]))], ["bit"])
 
-    # One bit per anchor of the code: 512 rows of 4 KB at most, whatever the input.
-    bits = prints.select("fp").mapInArrow(homes, "anchor long").groupBy(F.shiftright("anchor", 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("anchor") % 32768).alias("bits"))
-    occupied = np.zeros((1 << ANCHOR_BITS) // 8, dtype=np.uint8)
-    for r in bits.collect():
+    # 2048 rows of 4 KB at most, whatever the input.
+    bits = prints.select("fp").mapInArrow(homes, "bit long").groupBy(F.shiftright("bit", 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    occupied = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for r in bits.toLocalIterator():
         occupied[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    shared = spark.sparkContext.broadcast(occupied)
+    full = np.bitwise_count(occupied).sum(dtype=np.int64) > 1 << (FILTER_BITS - 1)
+    shared = spark.sparkContext.broadcast(None if full else occupied)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        filled = shared.value
         for b in batches:
             fps = np.asarray(b.column("fp")).view(np.uint64)
-            for s in range(0, len(fps), 4000):
-                fp = fps[s : s + 4000]
-                at, anchor = replicas(fp, threshold)
-                keep = (bitmap[anchor >> 3] >> (anchor & 7).astype(np.uint8)) & 1 == 1
-                at, anchor = at[keep], anchor[keep]
+            for s in range(0, len(fps), 1000):
+                fp = fps[s : s + 1000]
+                at, anchor, beyond = replicas(fp, threshold)
+                if filled is not None:
+                    keep = may_meet(filled, anchor, left_bits(fp)[at], beyond, threshold)
+                    at, anchor = at[keep], anchor[keep]
                 home = np.concatenate([np.zeros(len(at), bool), np.ones(len(fp), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchor, home_anchor(fp)]).astype(np.int32)), pa.array(np.concatenate([fp[at], fp]).view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
