@@ -1,0 +1,121 @@
+"""Deterministic orders, shards, quotas and group-respecting splits."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..storage import materialize
+from .folds import fold_sorted
+
+
+def seeded(seed: int, key: str) -> Column:
+    """SHA-256 of ``seed:key``: a shuffle that any engine can repeat."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
+
+
+def hash_split(seed: int, key: str, shares: dict[str, int]) -> Column:
+    """A split by the first 8 hexadecimal digits of the seeded hash modulo the sum of ``shares``."""
+    place = F.conv(F.substring(seeded(seed, key), 1, 8), 16, 10).cast("long") % sum(shares.values())
+    out, upto = None, 0
+    for name, share in shares.items():
+        upto += share
+        out = F.when(place < upto, name) if out is None else out.when(place < upto, name)
+    return out
+
+
+def quality_bin(value: Column) -> Column:
+    return F.when(value.isNull() | F.isnan(value), "unknown").when(value < 0.5, "low").when(value < 0.75, "medium").otherwise("high")
+
+
+def rotation_class(angle: Column) -> Column:
+    """``none``, ``small`` up to 10 degrees around the circle, else ``large``."""
+    a = F.pmod(angle, F.lit(360))
+    return F.when(a == 0, "none").when(F.least(a, 360 - a) <= 10, "small").otherwise("large")
+
+
+def largest_remainder(df: DataFrame, bucket: str, size: int) -> DataFrame:
+    """``bucket, rows, quota``: ``size`` dealt in proportion, the rest by largest remainder, then bucket, both descending."""
+    counted = df.groupBy(bucket).agg(F.count("*").alias("rows"))
+    every = Window.partitionBy(F.lit(1))  # one row per bucket
+    shared = counted.withColumn("total", F.sum("rows").over(every)).withColumns({"floor": F.expr(f"div({size} * rows, total)"), "rest": F.expr(f"{size} * rows % total")})
+    left = F.lit(size) - F.sum("floor").over(every)
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("rest").desc(), F.col(bucket).desc()))
+    return shared.withColumns({"left": left, "rank": rank}).select(bucket, "rows", (F.col("floor") + (F.col("rank") <= F.col("left")).cast("long")).alias("quota"))
+
+
+def stratified_sample(df: DataFrame, bucket: str, key: str, size: int, seed: int = 42) -> DataFrame:
+    """The first rows of each bucket in seeded order, as many as its quota."""
+    order = Window.partitionBy(bucket).orderBy(seeded(seed, key), key)
+    ranked = df.withColumn("__rank", F.row_number().over(order))
+    return ranked.join(F.broadcast(largest_remainder(df, bucket, size).select(bucket, "quota")), bucket).where("__rank <= quota").drop("__rank", "quota")
+
+
+def stride_shard(df: DataFrame, order: list[str], shard: int, of: int) -> DataFrame:
+    """Every ``of``-th row of a total order, from the ``shard``-th: ranges first, then places inside each.
+
+    The offset of each range comes from a count per range, so no task sorts everything.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    # Written once, so that ranges and places are the same for both uses.
+    placed = materialize(ranged.withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "shard")
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "before")
+    return placed.join(F.broadcast(before), "__part").where((F.col("before") + F.col("__place")) % of == shard).drop("__part", "__place", "before")
+
+
+def greedy_by_stratum(groups: DataFrame, stratum: str, group: str, size: str, shares: dict[str, float]) -> DataFrame:
+    """``stratum, group, size, split``: groups by size descending go to the split with the largest deficit.
+
+    Sequential inside a stratum, parallel across strata; rows are groups, not documents.
+    """
+
+    names = list(shares)
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        total, have, out = float(sum(r[2] for r in rows)), dict.fromkeys(names, 0.0), []
+        for r in rows:
+            best = max(names, key=lambda s: (shares[s] * total - have[s], -names.index(s)))
+            have[best] += r[2]
+            out.append((*r[:3], best))
+        return out
+
+    kinds = dict(groups.dtypes)
+    rows = groups.select(stratum, group, size, (-F.col(size)).alias("__down"))
+    return fold_sorted(rows, [stratum], ["__down", group], fold, f"{stratum} {kinds[stratum]}, {group} {kinds[group]}, {size} {kinds[size]}, split string")
+
+
+def greedy_objective(groups: DataFrame, group: str, features: list[str], shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """``group, split``: groups in seeded order go where the weighted squared miss of all features is least.
+
+    The first feature (documents) weighs 2, the others 0.35, an overshoot half as much again; ties by
+    rounded score, then by hash.  One sequential fold over the table of groups, which holds one narrow
+    row per group.
+    """
+
+    weight = [2.0] + [0.35] * (len(features) - 1)
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        target = {s: [sum(r[k + 1] for r in rows) * share for k in range(len(features))] for s, share in shares.items()}
+        have = {s: [0.0] * len(features) for s in shares}
+
+        def miss(s: str, r: tuple) -> float:
+            total = 0.0
+            for k, w in enumerate(weight):
+                size = max(target[s][k], 1.0)
+                before, off = (have[s][k] - target[s][k]) / size, (have[s][k] + r[k + 1] - target[s][k]) / size
+                total += w * (off * off - before * before) + (0.5 * w * off * off if off > 0 else 0.0)
+            return total
+
+        out = []
+        for r in rows:
+            best = min(shares, key=lambda s: (round(miss(s, r), 14), hashlib.sha256(f"{seed}:{r[0]}:{s}".encode()).hexdigest()))
+            have[best] = [a + b for a, b in zip(have[best], r[1:], strict=False)]
+            out.append((r[0], best))
+        return out
+
+    kind = dict(groups.dtypes)[group]
+    rows = groups.select(group, *features, F.lit(1).alias("__all"), seeded(seed, group).alias("__order"))
+    return fold_sorted(rows, ["__all"], ["__order"], fold, f"{group} {kind}, split string")

@@ -1,4 +1,8 @@
 """Names of the registered queries, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .bindings import ORACLE_SQL, QUERIES
+from .intake import ORACLE_SQL as INTAKE_SQL
+from .intake import QUERIES as INTAKE
+
+QUERIES = QUERIES | INTAKE
+ORACLE_SQL = ORACLE_SQL | INTAKE_SQL
