@@ -1,0 +1,325 @@
+"""Each operator against a brute-force version, over odd rows and empty tables."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from quillspark.llm import decontaminate, minhash, packing, paragraphs, pii, quality, secrets, simhash, substrings, warc
+from quillspark.llm.catalog import QUERIES
+
+LABELS = "doc_id long, quality int, toxic int"
+BENCH = "item_id long, text string"
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty_tables(folder, spark, name):
+    d = folder([], labels=([], LABELS), benchmark=([], BENCH), pages=([], PAGES))
+    assert QUERIES[name](spark, d).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op1_paragraph_minhash", "op2_warc_roundtrip", "op8_decontaminate", "op9_best_fit_packing"}))
+def test_odd_rows_all_come_back(folder, spark, odd, name):
+    d = folder(odd, labels=([(3, 1, 0), (3, 0, 0), (4, None, None), (99, 1, 1)], LABELS), benchmark=([(1, None), (2, "")], BENCH))
+    got = Counter(r["doc_id"] for r in QUERIES[name](spark, d).collect())
+    assert got == Counter(i for i, _ in odd)
+
+
+def words(rng, n, known=None):
+    return " ".join(rng.choice(known or ["alder", "birch", "cedar", "date", "elm", "fir", "gum", "hazel", "ivy", "juniper"]) for _ in range(n))
+
+
+# -- 1 --------------------------------------------------------------------------------------------
+
+
+def test_passages_of_fifty_words_are_found_wherever_they_stand(folder, spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{rng.getrandbits(40):x}" for _ in range(5000)]
+    passage = words(rng, 51, vocabulary)
+    docs = [(i, words(rng, 80, vocabulary)) for i in range(8)]
+    docs += [(100 + i, f"{words(rng, 7 + i, vocabulary)} {passage} {words(rng, 9, vocabulary)}") for i in range(3)]
+    got = paragraphs.op1_paragraph_minhash(spark, folder(docs)).collect()
+    assert {r["doc_id"] for r in got} == {100, 101, 102}
+    assert {r["keep_doc_id"] for r in got} == {100} and {r["doc_id"] for r in got if not r["removed"]} == {100}
+
+
+def test_edited_lines_are_one_class(folder, spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{rng.getrandbits(40):x}" for _ in range(5000)]
+    line = words(rng, 60, vocabulary).split()
+    edited = line[:30] + ["changed"] + line[31:]
+    docs = [(1, " ".join(line)), (2, "first\n" + " ".join(edited)), (3, words(rng, 60, vocabulary))]
+    got = paragraphs.op1_paragraph_minhash(spark, folder(docs)).where("n_words = 60").collect()
+    assert {r["doc_id"] for r in got} == {1, 2} and len({r["component_id"] for r in got}) == 1
+
+
+def test_links_in_blocks_join_what_all_pairs_join():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40, 20)) for _ in range(60)]
+    got = paragraphs.near_links(sets, list(range(60)), list(range(60)), list(range(60)), 0.5)
+
+    def roots(links):
+        p = list(range(60))
+        for a, b in links * 60:
+            p[a] = p[b] = min(p[a], p[b])
+        return p
+
+    every = [(i, j) for i in range(60) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))]
+    assert roots(got) == roots(every) and len(got) < 60
+
+
+# -- 2 --------------------------------------------------------------------------------------------
+
+
+def test_archives_say_what_was_written(folder, spark):
+    pages = [(5, "http://a/é", "<p>same</p>"), (3, None, "<p>same</p>"), (9, "u", None), (7, "v", ""), (1, "w", "é" * 1000), (3, None, "<p>same</p>"), (None, "n", "x"), (None, None, "<p>same</p>")]
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.op2_warc_roundtrip(spark, folder(pages=(pages, PAGES))).collect())
+    least: dict = {}
+    for i, _, h in pages:
+        if i is not None:
+            least[h or ""] = min(i, least.get(h or "", i))
+    want = []
+    for i, _, h in pages:
+        b = (h or "").encode()
+        first = least.get(h or "")
+        again = first is not None and i != first and sum((x or "") == (h or "") for _, _, x in pages) > 1
+        want.append((str(i), len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first if again else None))
+    assert got == sorted(want, key=lambda x: x)
+
+
+def test_reader_refuses_what_is_damaged():
+    raw = zlib.decompress(warc.record(1, "u", b"payload", None), 31)
+    assert warc.parse(raw)["payload"] == b"payload"
+    with pytest.raises(ValueError):
+        warc.parse(raw.replace(b"payload\r\n", b"paYload\r\n"))
+    with pytest.raises(warc.Truncated):
+        warc.parse(raw[:-6])
+
+
+# -- 3 --------------------------------------------------------------------------------------------
+
+
+def test_base_rules_and_random_strings():
+    path = secrets.ranks_path()
+    text = "Api_Key: 'abcdefghijkl' AKIAABCDEFGHIJKLMN deadbeefdeadbeef x Zq8vK2mN4pX7wR1tY6uB3cJ9 some_long_identifier_name_here " + "a" * 40
+    base, spans = secrets.scan(text, path)
+    assert [k for _, _, k in base] == ["assign", "access", "hex", "hex"]
+    assert [text[s:e] for s, e, k in spans if k == "random"] == ["Zq8vK2mN4pX7wR1tY6uB3cJ9"]
+    assert set(base) <= set(spans)
+
+
+def test_kelvin_sign_is_no_letter_of_a_rule():
+    assert secrets.base_spans("toKen = abcdefghijklmnop") == []
+
+
+# -- 4 --------------------------------------------------------------------------------------------
+
+
+def test_quality_of_held_out_rows(folder, spark):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(600):
+        good = rng.random() < 0.7
+        t = words(rng, rng.randint(5, 120))
+        docs.append((i, t if good else t.upper() + "!!"))
+        labels.append((i, int(good), 0))
+    got = quality.op4_quality_rules(spark, folder(docs, labels=(labels, LABELS))).collect()
+    truth = {i: q for i, q, _ in labels}
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert sum(truth[r["doc_id"]] == r["predicted"] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+# -- 5 --------------------------------------------------------------------------------------------
+
+
+def test_fingerprints_and_components(folder, spark):
+    import xxhash
+
+    rng = random.Random(5)
+    base = [words(rng, 200) for _ in range(12)]
+    docs = [(i, t) for i, t in enumerate(base)] + [(100 + i, t.replace("elm", "oak", 1)) for i, t in enumerate(base)] + [(300, None), (301, " "), (50, base[0])]
+    got = simhash.op5_simhash_anchors(spark, folder(docs)).collect()
+    fp = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))] if w else []
+        fp[i] = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+    assert {r["doc_id"]: int(r["fingerprint"], 16) for r in got} == fp
+    root = {i: i for i in fp}
+    for _ in fp:
+        for a in fp:
+            for b in fp:
+                if (fp[a] ^ fp[b]).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {r["doc_id"]: r["component_id"] for r in got} == root
+
+
+def test_every_near_pair_shares_an_anchor():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in x], dtype=np.uint64)
+    home = simhash.home_anchor(x)
+    at, anchor, _ = simhash.replicas(x ^ flips)
+    near = defaultdict(set)
+    for i, a in zip(at.tolist(), anchor.tolist(), strict=True):
+        near[i].add(a)
+    assert all(home[i] in near[i] for i in range(len(x)))
+
+
+# -- 6 --------------------------------------------------------------------------------------------
+
+
+def test_likeness_follows_the_jaccard_index(folder, spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{rng.getrandbits(30):x}" for _ in range(3000)]
+    docs = [(i, words(rng, rng.randint(1, 300), vocabulary)) for i in range(40)] + [(40, None), (41, "")]
+    got = {r["doc_id"]: r for r in minhash.op6_one_permutation_minhash(spark, folder(docs)).collect()}
+    text = {i: t or "" for i, t in docs}
+    order = sorted(text, reverse=True)
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
+    for k, i in enumerate(order):
+        t, nxt = text[i], text[order[(k + 1) % len(order)]]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        a, b = shingles(t), shingles(edited)
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[i]["near_edited"] - len(a & b) / len(a | b)) < 0.2
+    assert got[40]["fingerprint"] == got[41]["fingerprint"]
+
+
+# -- 7 --------------------------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    luhn = sum((c if k % 2 == 0 else 2 * c - 9 * (c > 4)) for k, c in enumerate(map(int, reversed(d)))) % 10 == 0
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.split(".")), "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+
+
+def test_base_spans_are_those_of_the_plain_patterns(folder, spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("0123456789+-. ()@a.éb𝒳") for _ in range(rng.randint(0, 120))) for _ in range(300)]
+    texts += ["a@b.com@d.org x@y.z_foo@bar.com", "4111 1111 1111 1111 and +1 (136) 555-7479", "1.2.3.4.5.6.7.8 256.1.1.1"]
+    got = {r["doc_id"]: r for r in pii.op7_pii_weak(spark, folder(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        spans = [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, t) if valid(k, m[0])]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest(), t
+        assert set(spans) <= set(got[i]["spans"].split(",")) | {""}
+
+
+def test_estimate_trusts_labelers_that_agree():
+    rows = [("local", (1, 0, 1, 1, 0), 90), ("local", (-1, 0, 0, -1, 0), 60), ("local", (1, 0, -1, 1, 0), 3)]
+    trust, post = pii.estimate(rows)
+    assert trust[0] > 0.9 and post[0] > 0.9 and post[1] < 0.1
+
+
+# -- 8 --------------------------------------------------------------------------------------------
+
+
+def test_copied_and_edited_items_are_found_and_others_left(folder, spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{rng.getrandbits(30):x}" for _ in range(3000)]
+    items = [(i, words(rng, 40, vocabulary)) for i in range(20)] + [(50, "short item"), (51, None), (52, "")]
+    edited = items[3][1].split()
+    for k in range(4, 40, 8):
+        edited[k] = "changed"
+    docs = [(0, words(rng, 300, vocabulary)), (1, f"{words(rng, 50, vocabulary)} {items[2][1].upper()}, {words(rng, 50, vocabulary)}"), (2, f"x {' '.join(edited)} y"), (3, "a short item here"), (None, items[5][1])]
+    d = folder(docs, benchmark=(items, BENCH))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op8_decontaminate(spark, d).collect()}
+    assert got == {(1, 2), (2, 3), (3, 50), (None, 5)}
+
+
+def test_alignment_is_that_of_the_plain_recurrence():
+    rng = random.Random(10)
+    for _ in range(50):
+        a, b = ([rng.randint(1, 4) for _ in range(rng.randint(1, 12))] for _ in range(2))
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+        assert decontaminate.align(np.array(a), np.array(b))[0] == max(map(max, h))
+
+
+# -- 9 --------------------------------------------------------------------------------------------
+
+
+def test_sequences_hold_every_piece_once(folder, spark, odd):
+    got = packing.op9_best_fit_packing(spark, folder(odd)).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    want = Counter()
+    for i, text in odd:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = np.array(ids[k : k + 4096], dtype="<u4").tobytes()
+            want[(i, k // 4096, k, len(part) // 4, zlib.crc32(part))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(n for _, n in parts) <= 4096
+
+
+def test_rounds_up_the_tree_fill_the_sequences(spark):
+    rng = random.Random(11)
+    rows = [(i, 0, 0, rng.randint(1, 1500), i) for i in range(6000)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), items_per_task=200)
+    assert got.count() == 6000
+    least = -(-sum(r[3] for r in rows) // 4096)
+    assert got.select("sequence_id").distinct().count() <= 1.01 * least + 1
+
+
+# -- 10 -------------------------------------------------------------------------------------------
+
+
+def brute(texts):
+    raw = [(t or "").encode() for t in texts]
+    n = Counter(r[k : k + 200] for r in raw for k in range(len(r) - 199))
+    out = []
+    for r in raw:
+        gone = np.zeros(len(r), bool)
+        for k in range(len(r) - 199):
+            if n[r[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        edges = np.diff(np.concatenate([[0], gone.astype(int)]))
+        out.append((len(r), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(r, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 1])
+def test_repeated_bytes_go(folder, spark, hot):
+    rng = random.Random(12)
+    common = words(rng, 60)
+    texts = [words(rng, 90, [f"w{rng.getrandbits(30):x}" for _ in range(500)]) for _ in range(12)]
+    texts = [f"{t[:150]}{common[: 190 + 7 * i]}{t[150:]}" for i, t in enumerate(texts)] + [common, common, "é" * 300, "ab" * 400, None, "", "é" * 99]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substrings.without_ranges(docs, substrings.repeated_ranges(docs, hot=hot)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute(texts)
+
+
+def test_suffixes_are_in_order():
+    rng = random.Random(13)
+    for k in range(40):
+        n = rng.randint(1, 200)
+        t = np.array([rng.randint(0, 3) for _ in range(n - 1)] + [0]) if k % 3 else np.array(([1, 2, 1, 1] * n)[: n - 1] + [0])
+        assert substrings.two_stage_suffix_array(t, n + 6).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+
+
+def test_long_texts_are_cut_without_losing_strings():
+    data = bytes(random.Random(14).randrange(256) for _ in range(5000))
+    parts = substrings.pieces(data, 700)
+    starts = [at + k for at, p in parts for k in range(len(p) - 199)]
+    assert sorted(starts) == list(range(4801)) and all(data[at : at + len(p)] == p for at, p in parts)

@@ -1,0 +1,33 @@
+"""The stages in order, each on what the one before kept."""
+
+import random
+
+from quillspark.llm import decontaminate, quality, secrets, simhash
+
+
+def test_stages(folder, spark):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    w = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.getrandbits(14):x}" for _ in range(900)]
+    text = lambda n: " ".join(rng.choice(w) for _ in range(n))
+    docs = [(i, text(80)) for i in range(200)] + [(1000 + i, text(60).upper() + "!!") for i in range(60)]
+    labels = [(i, int(i < 1000), 0) for i, _ in docs]
+    item = text(40)
+    docs += [(500, docs[0][1]), (501, f"{text(30)} {item} {text(30)}"), (502, text(50) + " token = 'a81f3b92cc0475d1e6f0' end"), (503, None), (503, None)]
+    d = folder(docs, labels=(labels, "doc_id long, quality int, toxic int"), benchmark=([(1, item)], "item_id long, text string"))
+    at = spark.read.parquet(f"{d}/documents.parquet")
+    ids = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, at, d)
+        assert now.columns == at.columns, name
+        now.write.parquet(f"{d}/{name}")
+        at = spark.read.parquet(f"{d}/{name}")
+        ids.append({r["doc_id"] for r in at.select("doc_id").collect()})
+    assert not ids[0] & set(range(1000, 1060)) and set(range(200)) <= ids[0]
+    assert 500 not in ids[1] and 0 in ids[1]
+    assert 501 in ids[1] and 501 not in ids[2]
+    assert ids[3] == ids[2]
+    masked = at.where("doc_id = 502").first()
+    assert "a81f3b92" not in masked["text"] and masked["n_chars"] == len(masked["text"])
+    assert corpus_pipeline.STAGES[-1][1](spark, at, d).select("doc_id").distinct().count() == len(ids[3])
