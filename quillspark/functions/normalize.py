@@ -62,7 +62,7 @@ def normalize_date(raw: Column, day_first: bool = True) -> Column:
     """ISO dates shadow local ones; more than one distinct date is ambiguous; two-digit years are invalid."""
     iso = F.regexp_extract_all(raw, F.lit(f"({ISO})"), F.lit(1))
     rest = F.regexp_replace(raw, ISO, " ")
-    local = F.regexp_extract_all(rest, F.lit(f"(?:^|[^0-9])({DMY})(?:[^0-9]|$)"), F.lit(1))
+    local = F.regexp_extract_all(rest, F.lit(f"(?<![0-9])({DMY})(?![0-9])"), F.lit(1))
 
     def parsed(x: Column) -> Column:
         p = lambda i: F.regexp_extract(x, f"^{DMY}$", i)
