@@ -55,8 +55,11 @@ def test_edited_lines_are_one_class(folder, spark):
     line = words(rng, 60, vocabulary).split()
     edited = line[:30] + ["changed"] + line[31:]
     docs = [(1, " ".join(line)), (2, "first\n" + " ".join(edited)), (3, words(rng, 60, vocabulary))]
-    got = paragraphs.op1_paragraph_minhash(spark, folder(docs)).where("n_words = 60").collect()
+    d = folder(docs)
+    got = paragraphs.repeated_units(spark.read.parquet(f"{d}/documents.parquet")).where("n_words = 60").collect()
     assert {r["doc_id"] for r in got} == {1, 2} and len({r["component_id"] for r in got}) == 1
+    spans = {(r["doc_id"], r["removed"]): r["word_spans"] for r in paragraphs.op1_paragraph_minhash(spark, d).collect()}
+    assert spans == {(1, False): "0:60", (2, True): "1:61"}
 
 
 def test_links_in_blocks_join_what_all_pairs_join():
