@@ -1,8 +1,6 @@
 """Names of the registered queries, with the SQL that checks them."""
 
-from .bindings import ORACLE_SQL, QUERIES
-from .intake import ORACLE_SQL as INTAKE_SQL
-from .intake import QUERIES as INTAKE
+from . import bindings, intake, more
 
-QUERIES = QUERIES | INTAKE
-ORACLE_SQL = ORACLE_SQL | INTAKE_SQL
+QUERIES = bindings.QUERIES | more.QUERIES | intake.QUERIES
+ORACLE_SQL = bindings.ORACLE_SQL | more.ORACLE_SQL | intake.ORACLE_SQL
