@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 ITEMS_PER_TASK = 20_000
 #: A round that saves less than this share of the bins it got ends the tree.
 LEAST_GAIN = 0.001
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,29 +44,42 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts of these characters alone are split here as the vocabulary's own splitter would: none of them
+#: changes under composition, and Python and the normaliser lower them alike.
+PLAIN = re.compile(r"[\t\n\r\x20-~À-ÖØ-öø-ÿ]*")
+LETTERS = "a-zß-öø-ÿ"
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+
+
 class WordIds:
-    """Ids of texts as little-endian bytes, by way of their white-space-delimited words.
+    """Ids of texts as little-endian bytes, by way of their words.
 
-    The vocabulary's normaliser and splitter never join what white space separates, so a text's
-    ids are its words' ids in order.  Words are kept up to ``CACHED_WORDS``, then forgotten at once.
+    The normaliser and splitter never join what white space separates, so a text's ids are its
+    words' ids in order.  New words of a text are encoded in one call; words are kept up to
+    ``CACHED_WORDS``, then forgotten at once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.encode = Tokenizer.from_file(path).encode
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        words = [w for line in text.split("\n") for w in line.split(" ")]
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            words = PIECE.findall(text.lower())
+        else:
+            words = [w for line in text.split("\n") for w in line.split(" ") if w]
         new = list(set(words).difference(self.known))
         if new:
             if len(self.known) > CACHED_WORDS:
                 self.known.clear()
                 new = list(set(words))
-            for w, x in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-                ids = x.ids
-                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids: list[list[int]] = [[] for _ in new]
+            for i, k in zip(found.ids, found.word_ids, strict=True):
+                ids[k].append(i)
+            self.known.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(new, ids, strict=True))
         return b"".join(map(self.known.__getitem__, words))
 
 
