@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import materialize, table, whole_text
-from .components import connected_components
 
 WORDS, SEED, THRESHOLD = 3, 42, 3
 GOLAY = 0b101011100011  # the generator polynomial of the binary Golay code [23,12]
