@@ -475,13 +475,13 @@ def running_offsets(spark, sf_dir):
 
 @query("""with e as (select event_id, user_id, ts from events where event_type = 'error'), p as (select user_id, ts, min(event_id) as event_id from events where event_type = 'purchase' group by 1, 2),
 j as (select e.event_id, e.user_id, p.event_id as nearest, abs(epoch_us(p.ts) - epoch_us(e.ts)) as d, p.ts >= e.ts as later from e left join p on e.user_id = p.user_id),
-r as (select *, row_number() over (partition by event_id order by d, later desc) as r from j) select event_id, user_id, nearest, d as distance_us from r where r = 1""")
+r as (select *, row_number() over (partition by event_id order by d, later desc) as r from j) select event_id, user_id, coalesce(nearest, -1) as nearest, coalesce(d, -1) as distance_us from r where r = 1""")
 def nearest_event(spark, sf_dir):
     """For each error the user's nearest purchase in time, the later of two equally near."""
     e = table(spark, sf_dir, "events")
     left = e.where("event_type = 'error'").select("event_id", "user_id", "ts")
     right = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    return sequence.nearest_later_first(left, right, "user_id", "ts", "event_id").select("event_id", "user_id", "nearest", "distance_us")
+    return sequence.nearest_later_first(left, right, "user_id", "ts", "event_id").select("event_id", "user_id", F.coalesce("nearest", F.lit(-1)).alias("nearest"), F.coalesce("distance_us", F.lit(-1)).alias("distance_us"))
 
 
 @query()
