@@ -103,10 +103,14 @@ def first_subtoken_labels(words: DataFrame, keys: list[str], pieces: Column, tag
 
 def postprocess(items: DataFrame, doc: str, item: str, quantity: str, price: str, total: str) -> DataFrame:
     """Per document a message of normalised items: amounts as plain strings, quantities inferred where missing, warnings."""
-    n = items.select(doc, item, N.normalize_quantity(F.col(quantity)).alias("q"), N.normalize_amount(F.col(price)).alias("p"), N.normalize_amount(F.col(total)).alias("t"))
-    dec = lambda c: F.col(c).try_cast("decimal(18,4)")
-    guess = infer_quantity(F.col("q.value").try_cast("decimal(18,3)"), F.coalesce(dec("p.value"), F.lit(0).cast("decimal(18,4)")), F.coalesce(dec("t.value"), F.lit(0).cast("decimal(18,4)")))
-    done = n.withColumn("quantity", N.strip_zeros(guess.cast("string"))).withColumn("inferred", F.col("q.value").isNull() & F.col("quantity").isNotNull())
-    row = F.struct(F.col(item).alias("item"), F.col("quantity"), F.col("p.value").alias("price"), F.col("t.value").alias("total"), F.col("inferred"))
-    per = done.groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("items"), F.count_if("inferred").alias("inferred"), F.count_if(F.col("quantity").isNull()).alias("unknown"))
-    return per.withColumn("warnings", collect_warnings({"quantity_inferred": F.col("inferred") > 0, "quantity_missing": F.col("unknown") > 0}))
+    read = F.struct(F.col(item).alias("item"), N.normalize_quantity(F.col(quantity)).alias("q"), N.normalize_amount(F.col(price)).alias("p"), N.normalize_amount(F.col(total)).alias("t"))
+    dec = lambda c: F.coalesce(c.try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
+
+    def finish(x: Column) -> Column:
+        guess = infer_quantity(x["q"]["value"].try_cast("decimal(18,3)"), dec(x["p"]["value"]), dec(x["t"]["value"]))
+        return N.let(N.strip_zeros(guess.cast("string")), lambda g: F.struct(x["item"].alias("item"), g.alias("quantity"), x["p"]["value"].alias("price"), x["t"]["value"].alias("total"), (x["q"]["value"].isNull() & g.isNotNull()).alias("inferred")))
+
+    per = items.select(doc, N.let(read, finish).alias("row")).groupBy(doc).agg(F.array_sort(F.collect_list("row")).alias("items"))
+    count = lambda test: F.size(F.filter("items", test)).cast("long")
+    facts = per.withColumns({"inferred": count(lambda x: x["inferred"]), "unknown": count(lambda x: x["quantity"].isNull())})
+    return facts.withColumn("warnings", collect_warnings({"quantity_inferred": F.col("inferred") > 0, "quantity_missing": F.col("unknown") > 0}))
