@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fields
 from ..functions import text as X
 from ..operators import documents
 from ..operators.folds import fold_sorted
@@ -145,3 +146,32 @@ def substring_match(spark, sf_dir):
     """Part names, with a letter dropped, looked for in name and type: least edits and where; no SQL: dynamic programming."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.expr("substr(p_name, 2)").alias("needle"), F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("hay"))
     return fold_sorted(p, ["p_partkey"], ["needle"], lambda rows: [(k, *X.substring_distance(n, h)) for k, n, h in rows], "p_partkey bigint, edits int, start int, end int")
+
+
+@query("""with o as (select o_orderkey as k, o_orderdate as d, o_totalprice as t from orders),
+f as (select 'company' as field, case when k % 10 = 0 then 'missing' else 'ok' end as status, case when k % 10 = 0 then 'EMPTY_VALUE' else '' end as warnings from o
+union all select 'date', case k % 4 when 0 then 'ok' when 1 then 'invalid' when 2 then case when day(d) <= 12 and day(d) <> month(d) then 'ambiguous' else 'ok' end else 'missing' end,
+  case k % 4 when 1 then 'TWO_DIGIT_YEAR_UNSUPPORTED' when 2 then case when day(d) <= 12 and day(d) <> month(d) then 'AMBIGUOUS_DATE' else '' end when 3 then 'MISSING_VALUE' else '' end from o
+union all select 'total', case k % 3 when 1 then 'ambiguous' else 'ok' end, case k % 3 when 1 then 'AMBIGUOUS_AMOUNT' when 2 then 'CURRENCY_FRACTION_UNEXPECTED' else '' end from o)
+select field, status, warnings, count(*) as n from f group by 1, 2, 3""")
+def field_normalize_audit(spark, sf_dir):
+    """Fields of receipts made from orders through the contract normalisers: status and warnings by field."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    n = F.format_string("%,.2f", "o_totalprice")
+    company = F.struct(F.lit("company").alias("field"), F.when(k % 10 == 0, " \t ").otherwise(F.concat(F.lit(" Shop  "), k.cast("string"))).alias("raw"), F.lit("vi-VN").alias("locale"))
+    raw = F.when(k % 4 == 0, F.date_format(d, "dd/MM/yyyy")).when(k % 4 == 1, F.date_format(d, "dd/MM/yy")).when(k % 4 == 2, F.date_format(d, "dd-MM-yyyy"))
+    date = F.struct(F.lit("date").alias("field"), raw.alias("raw"), F.when(k % 4 != 2, "vi-VN").alias("locale"))
+    amount = F.when(k % 3 == 0, n).when(k % 3 == 1, F.concat(n, F.lit("; "), n)).otherwise(F.concat(n, F.lit(" VND")))
+    total = F.struct(F.lit("total").alias("field"), amount.alias("raw"), F.lit("en-US").alias("locale"))
+    f = table(spark, sf_dir, "orders").select(F.explode(F.array(company, date, total)).alias("x")).select("x.*")
+    done = f.select("field", fields.normalize_field(F.col("field"), F.col("raw"), F.col("locale")).alias("r"))
+    return done.groupBy("field", F.col("r.status").alias("status"), F.array_join("r.warnings", ",").alias("warnings")).agg(F.count("*").alias("n"))
+
+
+@query("""select strftime(o_orderdate, '%Y-%m-%d') || 'T' || case o_orderkey % 3 when 0 then '08:05:00' when 1 then '20:05:09' else '00:00:00' end as stamp, case when o_orderkey % 3 = 2 then 'TIME_NOT_FOUND' else '' end as warnings, count(*) as n from orders group by 1, 2""")
+def receipt_timestamps(spark, sf_dir):
+    """Order dates with clocks before, after and missing."""
+    k, d = F.col("o_orderkey") % 3, F.date_format("o_orderdate", "dd/MM/yyyy")
+    raw = F.when(k == 0, F.concat(F.lit("08:05 - "), d)).when(k == 1, F.concat(d, F.lit(" (08:05:09 CH)"))).otherwise(d)
+    r = table(spark, sf_dir, "orders").select(fields.timestamp_field(raw).alias("r"))
+    return r.groupBy(F.col("r.value").alias("stamp"), F.array_join("r.warnings", ",").alias("warnings")).agg(F.count("*").alias("n"))
