@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Of every few consecutive word n-grams of a test item the one that the fewest documents hold is a
-seed.  A document that holds a seed gives a passage around it, which is aligned with the item by
-local alignment over words, so edited and paraphrased copies score too.  Seeds are relative to their
-neighbours in the item: an item that a third of the corpus copies still has some.
+Every pair of neighbouring words of a test item is a seed; a document holds it where the two words
+stand next to each other or with one word between.  An alignment of half the perfect score holds at
+least ``seeds_needed`` of them (see there), so a document with as many around one place gives a
+passage, which is aligned with the item by local alignment over words, and no other can score enough.
+Items of fewer than ``LONG_ITEM`` words, where two words would do, need three words in a row.
 
 The benchmark is a stated query set: its index goes to every task, in blocks of items of at most
 ``BLOCK_BYTES`` of text each, so its size is bounded whatever the benchmark; the documents are only
 scanned and never shuffled.
 
-Edge cases: a null or empty text or item matches nothing; items shorter than a seed are one seed of
-their own length; repeated items each report; a null ``doc_id`` is kept; empty tables give no rows;
+Edge cases: a null or empty text or item matches nothing; items shorter than three words are one
+seed of their own length; repeated items each report; a null ``doc_id`` is kept; empty tables give no rows;
 other columns are ignored by the query and kept by the filter.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table, whole_text
 
-SEED_WORDS, STRIDE, MIN_SCORE = 3, 3, 0.5
+SEED_WORDS, SHORT_SEED, LONG_ITEM, MIN_SCORE = 2, 3, 7, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16 << 20
 WORD = re.compile(r"[^\W_]+")
@@ -57,19 +58,36 @@ class Index:
     ids: list[int]
     items: list[np.ndarray]
     vocabulary: dict[str, int]
-    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: hash (sorted), item, position
+    grams: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length and whether the items are long: hash (sorted), item, position
 
-    def filters(self) -> dict[int, np.ndarray]:
+    def filters(self) -> dict[tuple[int, bool], np.ndarray]:
         out = {}
-        for n, (h, _, _) in self.grams.items():
+        for key, (h, _, _) in self.grams.items():
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[(h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-            out[n] = bits
+            out[key] = bits
         return out
 
 
-def build_index(rows: list[tuple[int, str]], n: int = SEED_WORDS) -> Index:
-    """All n-grams of the items."""
+def seeds_needed(size: int, min_score: float = MIN_SCORE) -> int:
+    """How many of the item's ``size - 1`` seeds an alignment of ``min_score`` holds at least.
+
+    Between two matched words that are no seed either an item word is passed over (one edit at least;
+    ``skipped`` times, and the item has room for so many only) or two words are inserted (two edits).
+    """
+    if size < LONG_ITEM:
+        return 1
+    held = 0
+    while held < size - 1:
+        skipped = (size - held - 1) // 2
+        if MATCH * (held + 1) + (MATCH + GAP) * skipped >= min_score * MATCH * size:
+            break
+        held += 1
+    return max(1, held)
+
+
+def build_index(rows: list[tuple[int, str]]) -> Index:
+    """All seeds of the items."""
     vocabulary: dict[str, int] = {}
     ids, items = [], []
     for i, text in rows:
@@ -77,41 +95,45 @@ def build_index(rows: list[tuple[int, str]], n: int = SEED_WORDS) -> Index:
         if w:
             ids.append(i)
             items.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], dtype=np.int64))
-    found: dict[int, list] = {}
+    found: dict[tuple[int, bool], list] = {}
     for k, item in enumerate(items):
-        size = min(n, len(item))
+        long = len(item) >= LONG_ITEM
+        size = SEED_WORDS if long else min(SHORT_SEED, len(item))
         h = gram_hashes(item, size)
-        found.setdefault(size, []).append((h, np.full(len(h), k), np.arange(len(h))))
+        found.setdefault((size, long), []).append((h, np.full(len(h), k), np.arange(len(h))))
     grams = {}
-    for size, parts in found.items():
+    for key, parts in found.items():
         h, k, p = (np.concatenate([x[j] for x in parts]) for j in range(3))
         order = np.argsort(h, kind="stable")
-        grams[size] = (h[order], k[order], p[order])
+        grams[key] = (h[order], k[order], p[order])
     return Index(ids, items, vocabulary, grams)
 
 
-def hits(index: Index, filters: dict, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(n, place in the text, rank of the hash)`` for the n-grams of a text that the index holds."""
+def hits(index: Index, filters: dict, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(item, place in the item, place in the text)`` for the seeds that a text holds."""
     known = ids > 0
-    for n, (h, _, _) in index.grams.items():
-        if len(ids) < n:
-            continue
-        whole = known[: len(ids) - n + 1].copy()
-        for k in range(1, n):
-            whole &= known[k : len(ids) - n + 1 + k]
-        at = np.flatnonzero(whole)
-        if not len(at):
-            continue
-        g = np.zeros(len(at), np.uint64)
-        for k in range(n):
-            g = (g ^ ids[at + k].astype(np.uint64)) * _ODD
-            g ^= g >> np.uint64(29)
-        keep = filters[n][(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
-        at, g = at[keep], g[keep]
-        rank = np.searchsorted(h, g)
-        ok = (rank < len(h)) & (h[np.minimum(rank, len(h) - 1)] == g)
-        if ok.any():
-            yield n, at[ok], rank[ok]
+    for (n, long), (h, item, place) in index.grams.items():
+        for step in (1, 2) if long else (1,):
+            span = (n - 1) * step
+            if len(ids) <= span:
+                continue
+            whole = known[: len(ids) - span].copy()
+            for k in range(1, n):
+                whole &= known[k * step : len(ids) - span + k * step]
+            at = np.flatnonzero(whole)
+            g = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                g = (g ^ ids[at + k * step].astype(np.uint64)) * _ODD
+                g ^= g >> np.uint64(29)
+            keep = filters[n, long][(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
+            at, g = at[keep], g[keep]
+            if not len(at):
+                continue
+            first = np.searchsorted(h, g)
+            many = np.searchsorted(h, g, side="right") - first
+            rank = np.repeat(first - np.concatenate([[0], many.cumsum()[:-1]]), many) + np.arange(many.sum())
+            if len(rank):
+                yield item[rank], place[rank], np.repeat(at, many)
 
 
 def number(text: str, vocabulary: dict[str, int]) -> np.ndarray:
@@ -119,40 +141,6 @@ def number(text: str, vocabulary: dict[str, int]) -> np.ndarray:
     return np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
 
 
-def document_frequency(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
-    """How many documents hold each n-gram of ``index`` (aligned with its sorted hashes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = index.filters()
-        counts = {n: np.zeros(len(h), np.int64) for n, (h, _, _) in index.grams.items()}
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                for n, _, rank in hits(index, filters, number(text, index.vocabulary)):
-                    counts[n][np.unique(rank)] += 1
-        for n, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n)), pa.array(at), pa.array(c[at])], ["n", "rank", "df"])
-
-    summed = docs.select(whole_text().alias("text")).mapInArrow(run, "n long, rank long, df long").groupBy("n", "rank").agg(F.sum("df").alias("df"))
-    out = {n: np.zeros(len(h), np.int64) for n, (h, _, _) in index.grams.items()}
-    for n, rank, df in summed.collect():  # at most one row per n-gram of the block
-        out[n][rank] = df
-    # Equal hashes share the count of the first.
-    return {n: out[n][np.searchsorted(h, h)] for n, (h, _, _) in index.grams.items()}
-
-
-def choose_seeds(index: Index, df: dict[int, np.ndarray], stride: int = STRIDE) -> Index:
-    """``index`` with only the rarest n-gram of every ``stride`` consecutive ones."""
-    grams = {}
-    for n, (h, k, p) in index.grams.items():
-        order = np.lexsort((p, df[n], p // stride, k))
-        group = np.stack([k[order], p[order] // stride], 1)
-        first = np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]) if len(order) else np.zeros(0, bool)
-        own = np.sort(order[first])
-        grams[n] = (h[own], k[own], p[own])
-    return Index(index.ids, index.items, index.vocabulary, grams)
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment score and the place in ``passage`` where it ends."""
     j = np.arange(len(passage) + 1)
@@ -170,6 +158,8 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 def scanner(index: Index, min_score: float = MIN_SCORE) -> Callable[[str], list[tuple[int, float, int, int]]]:
     """A function from a text to ``(item_id, score, first word, words)``, the best passage of each item."""
     filters, memo = index.filters(), {}
+    sizes = np.array([len(x) for x in index.items], dtype=np.int64)
+    needed = np.array([seeds_needed(len(x), min_score) for x in index.items], dtype=np.int64)
 
     def aligned(k: int, passage: np.ndarray) -> tuple[int, int]:
         key = (k, passage.tobytes())
@@ -181,32 +171,32 @@ def scanner(index: Index, min_score: float = MIN_SCORE) -> Callable[[str], list[
 
     def scan(text: str) -> list[tuple[int, float, int, int]]:
         ids = number(text, index.vocabulary)
-        starts: dict[int, list[int]] = {}
-        for n, at, rank in hits(index, filters, ids):
-            h, item, place = index.grams[n]
-            for a, r in zip(at.tolist(), rank.tolist(), strict=True):
-                g = h[r]
-                while r < len(h) and h[r] == g:
-                    starts.setdefault(int(item[r]), []).append(a - int(place[r]))
-                    r += 1
+        parts = list(hits(index, filters, ids))
+        if not parts:
+            return []
+        item, place, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        enough = np.bincount(item, minlength=len(needed)) >= needed
+        keep = enough[item]
+        start = at[keep] - place[keep]
+        order = np.lexsort((start, item[keep]))
+        item, place, start = item[keep][order], place[keep][order], start[order]
+        # An alignment has no more edits than the item has words: its seeds start within as many words of each other.
+        apart = np.flatnonzero((item[1:] != item[:-1]) | (start[1:] - start[:-1] > sizes[item[1:]])) + 1
+        cuts, best = [0, *apart.tolist(), len(item)] if len(item) else [], {}
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            k = int(item[s])
+            size = int(sizes[k])
+            if len(np.unique(place[s:e])) < needed[k]:
+                continue
+            a, b = max(0, int(start[s]) - size), min(len(ids), int(start[e - 1]) + 2 * size)
+            score, end = aligned(k, ids[a:b])
+            if score >= min_score * MATCH * size and score > best.get(k, (0,))[0]:
+                best[k] = (score, a, a + end)
         out = []
-        for k, where in starts.items():
-            size = len(index.items[k])
-            slack = size // 3 + 6
-            best, span = 0, (0, 0)
-            lo = hi = None
-            for s in [*sorted(where), None]:
-                if lo is not None and (s is None or s - slack > hi):
-                    a, b = max(0, lo - slack), min(len(ids), hi + size + slack)
-                    score, end = aligned(k, ids[a:b])
-                    if score > best:
-                        best, span = score, (a, a + end)
-                    lo = None
-                if s is not None:
-                    lo, hi = (s, s) if lo is None else (lo, s)
-            if best >= min_score * MATCH * size:
-                first = max(span[0], span[1] - size - slack)
-                out.append((index.ids[k], best / (MATCH * size), first, span[1] - first))
+        for k, (score, a, end) in best.items():
+            # Read backwards from its end, the alignment ends where it begins.
+            n = align(index.items[k][::-1], ids[a:end][::-1])[1]
+            out.append((index.ids[k], score / (MATCH * int(sizes[k])), end - n, n))
         return sorted(out, key=lambda x: (x[0] is None, x[0], -x[1]))
 
     return scan
@@ -225,11 +215,11 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield part
 
 
-def seeded_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
+def seeded_indexes(benchmark: DataFrame) -> Iterator[Index]:
     for rows in item_blocks(benchmark):
         index = build_index(rows)
         if index.items:
-            yield choose_seeds(index, document_frequency(docs, index))
+            yield index
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -237,7 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     schema = "doc_id long, item_id long, score double, first_word long, n_words long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     found: DataFrame | None = None
-    for index in seeded_indexes(docs, benchmark):
+    for index in seeded_indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             scan = scanner(index, min_score)
@@ -254,7 +244,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the rows that align with a test item; columns as they were."""
-    for index in seeded_indexes(docs, benchmark):
+    for index in seeded_indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             scan = scanner(index, min_score)

@@ -242,6 +242,40 @@ def test_copied_and_edited_items_are_found_and_others_left(folder, spark):
     assert got == {(1, 2), (2, 3), (3, 50), (None, 5)}
 
 
+def test_whatever_aligns_by_half_is_seeded(folder, spark):
+    rng = random.Random(15)
+    vocabulary = [f"w{rng.getrandbits(30):x}" for _ in range(3000)]
+    items = [(i, words(rng, 16 + 2 * i, vocabulary)) for i in range(20)]
+    docs = []
+    for i, text in items:
+        for every in (3, 4, 5, 6):
+            for first in range(every):
+                w = text.split()
+                for k in range(first, len(w), every):
+                    w[k] = "changed"
+                docs.append((len(docs), f"{words(rng, 20, vocabulary)} {' '.join(w)} {words(rng, 20, vocabulary)}"))
+        docs.append((len(docs), " inserted ".join(text.split())))
+        w = text.split()
+        docs.append((len(docs), " ".join(w[: len(w) // 2] + ["inserted"] * (len(w) // 2) + w[len(w) // 2 :])))
+        for share in (0.2, 0.35, 0.5):
+            docs.append((len(docs), " ".join(rng.choice([x, "", f"{x} more", "other"]) if rng.random() < share else x for x in w)))
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.op8_decontaminate(spark, folder(docs, benchmark=(items, BENCH))).collect()}
+    known: dict = {}
+    number = lambda t: np.array([known.setdefault(w, len(known) + 1) for w in t.split()])
+    want = {}
+    for i, text in docs:
+        for j, item in items:
+            score = decontaminate.align(number(item), number(text))[0] / (2 * len(item.split()))
+            if score >= 0.5:
+                want[i, j] = score
+    assert {k: r["score"] for k, r in got.items()} == want and len(want) > 300
+    text = dict(docs)
+    for (i, j), r in got.items():
+        passage = " ".join(text[i].split()[r["first_word"] : r["first_word"] + r["n_words"]])
+        item = dict(items)[j]
+        assert decontaminate.align(number(item), number(passage))[0] / (2 * len(item.split())) == r["score"]
+
+
 def test_alignment_is_that_of_the_plain_recurrence():
     rng = random.Random(10)
     for _ in range(50):
