@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import materialize, scratch, table
 from quillspark.llm.decontaminate import drop_leaks
+from quillspark.llm.near_copies import keep_one
 from quillspark.llm.packing import pack, tokenized_pieces
 from quillspark.llm.quality import keep_good
 from quillspark.llm.secrets import redact
-from quillspark.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest id."""
+    """One document of each group of near copies (Jaccard index of five-word shingles 0.8 or more) stays, that with the smallest id."""
     return keep_one(docs)
 
 
@@ -41,7 +41,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("packing", packing)]
-#: SQL cannot express the classifier's fit, SimHash components, alignment or best-fit packing.
+#: SQL cannot express the classifier's fit, MinHash components, alignment or best-fit packing.
 ORACLE_SQL = None
 
 

@@ -289,15 +289,3 @@ def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialize(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "fingerprints")
     found = prints.join(fingerprint_classes(prints, "doc_id"), "fp", "left")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that with the smallest ``doc_id`` (of equal ones, the first stored)."""
-    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    numbered = materialize(row.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    prints = materialize(with_fingerprint(numbered.select("rid", "doc_id", "text"), ["rid", "doc_id"]), "fingerprints")
-    # Ranks stand for ids: the first row of each fingerprint, then of each component, by (doc_id, rid).
-    first = materialize(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")), "firsts")
-    roots = connected_components(fingerprint_links(first.select("fp"))).withColumnRenamed("node", "fp")
-    kept = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.rid").alias("rid"))
-    return numbered.join(kept, "rid", "left_semi").select("__row.*")

@@ -31,3 +31,28 @@ def test_stages(folder, spark):
     masked = at.where("doc_id = 502").first()
     assert "a81f3b92" not in masked["text"] and masked["n_chars"] == len(masked["text"])
     assert corpus_pipeline.STAGES[-1][1](spark, at, d).select("doc_id").distinct().count() == len(ids[3])
+
+
+def test_near_copies_by_exact_jaccard_index(folder, spark):
+    from quillspark.llm import near_copies
+
+    rng = random.Random(2)
+    w = [f"w{rng.getrandbits(40):x}" for _ in range(4000)]
+    docs = [(1, None), (2, ""), (3, "Two words"), (4, "two  WORDS"), (5, "two words more"), (None, "two words more")]
+    for i in range(60):
+        base = [rng.choice(w) for _ in range(rng.randint(55, 240))]
+        docs.append((100 + 10 * i, " ".join(base)))
+        for k in range(1, 4):
+            copy = list(base)
+            for _ in range(max(1, k * len(base) // 130)):
+                copy[rng.randrange(len(copy))] = "changed"
+            docs.append((100 + 10 * i + k, " ".join(copy)))
+    d = folder(docs)
+    got = {r["doc_id"] for r in near_copies.keep_one(spark.read.parquet(f"{d}/documents.parquet")).collect()}
+    sets = {i: {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} for i, t in docs if i is not None for x in [(t or "").lower().split()]}
+    root = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(4):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == set(root.values()) and 50 < len(pairs)
