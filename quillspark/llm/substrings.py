@@ -38,8 +38,9 @@ from .common import materialize, table, whole_text
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
-CHUNK, HOT, SORT_BYTES = 4 << 20, 16_384, 1 << 19
-PLACE_BITS = 24
+#: Texts are hashed in chunks that fit a core's cache; a task holds about a dozen numbers per byte of one chunk.
+CHUNK, HOT, SORT_BYTES = 1 << 17, 4096, 1 << 18
+PLACE_BITS = 18
 FILTER_BITS = 26
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
 
@@ -47,7 +48,7 @@ _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random value per byte, and powers of an odd base and of its inverse modulo 2^64."""
-    n = 1 << PLACE_BITS - 1
+    n = 1 << PLACE_BITS
     inverse = pow(_BASE, -1, 1 << 64)
 
     def up(b: int) -> np.ndarray:
@@ -197,22 +198,35 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     direct = _sorted_directly(text, np.flatnonzero(smaller), depth)
     # Buckets by first value: induced suffixes lead, sorted ones end each.
     count = np.bincount(text, minlength=int(text.max()) + 1)
-    begin = (np.cumsum(count) - count).tolist()
+    begin = np.cumsum(count) - count
     own = np.bincount(text[direct], minlength=len(count))
     order = np.full(n, -1, np.int64)
     firsts = np.repeat(np.cumsum(count) - own, own) + np.arange(len(direct)) - np.repeat(np.cumsum(own) - own, own)
     order[firsts] = direct
-    sa, first, induced = order.tolist(), text.tolist(), (~smaller).tolist()
     # The last suffix, followed by nothing, is the smallest of its bucket.
-    sa[begin[first[-1]]] = n - 1
-    begin[first[-1]] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and induced[j]:
-            c = first[j]
-            sa[begin[c]] = j
-            begin[c] += 1
-    return np.array(sa)
+    put = begin.copy()
+    order[put[text[-1]]] = n - 1
+    put[text[-1]] += 1
+    induced, ends = ~smaller, begin + count
+    for c in np.flatnonzero(count).tolist():
+        # A bucket is scanned in waves: what a wave adds to the bucket itself is the next one; the
+        # directly sorted suffixes at its end are the last.
+        at, sorted_from = int(begin[c]), int(ends[c] - own[c])
+        while at < ends[c]:
+            to = int(put[c]) if at < sorted_from else int(ends[c])
+            before = order[at:to] - 1
+            before = before[before >= 0]
+            before = before[induced[before]]
+            if len(before):
+                into = text[before]
+                by = np.argsort(into, kind="stable")
+                before, into = before[by], into[by]
+                heads = np.concatenate([[0], np.flatnonzero(into[1:] != into[:-1]) + 1])
+                sizes = np.diff(np.concatenate([heads, [len(into)]]))
+                order[np.repeat(put[into[heads]] - heads, sizes) + np.arange(len(into))] = before
+                put[into[heads]] += sizes
+            at = to
+    return order
 
 
 def _words(text: np.ndarray, depth: int) -> np.ndarray:
@@ -225,23 +239,32 @@ def _words(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """``at`` in the order of the ``depth`` values there: ties of each step are sorted by the next six values."""
+    """``at`` in the order of the ``depth`` values there: of ties, those that the next six values tell apart are sorted by them."""
+    if not len(at):
+        return at
     words = _words(text, depth)
     order = at[np.argsort(words[at], kind="stable")]
-    group = np.concatenate([[0], np.cumsum(words[order[1:]] != words[order[:-1]])]) if len(order) else np.zeros(0, np.int64)
+    w = words[order]
+    head = np.concatenate([[True], w[1:] != w[:-1]])  # of each group of ties
+    tied = np.flatnonzero(~(head & np.concatenate([head[1:], [True]])))
     for step in range(6, depth, 6):
-        size = np.bincount(group, minlength=1) if len(group) else np.zeros(1, np.int64)
-        tied = np.flatnonzero(size[group] > 1) if len(group) else np.zeros(0, np.int64)
         if not len(tied):
             break
+        begins = head[tied]
+        group = np.cumsum(begins) - 1
         w = words[order[tied] + step]
-        new = np.lexsort((w, group[tied]))
-        order[tied] = order[tied][new]
+        apart = np.zeros(int(group[-1]) + 1, bool)
+        apart[group[1:][(w[1:] != w[:-1]) & ~begins[1:]]] = True
+        mixed = apart[group]
+        if not mixed.any():
+            continue
+        at_, g, w = tied[mixed], group[mixed], w[mixed]
+        new = np.lexsort((w, g))
+        order[at_] = order[at_][new]
         w = w[new]
-        cut = np.zeros(len(group), bool)
-        own = group[tied]
-        cut[tied[1:]] = (w[1:] != w[:-1]) & (own[1:] == own[:-1])
-        group = group + np.cumsum(cut)
+        head[at_[1:]] |= (w[1:] != w[:-1]) & (g[1:] == g[:-1])
+        last = np.concatenate([head[tied][1:], [True]])
+        tied = tied[~(head[tied] & last)]
     return order
 
 
