@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, scratch, shared_dir
 
-__all__ = ["discard", "materialize", "scratch", "shared_dir", "table", "whole_text"]
+__all__ = ["discard", "join_hot", "materialize", "scratch", "shared_dir", "table", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,3 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole_text(column: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, n: str, share: int = 512) -> DataFrame:
+    """Inner join of ``rows`` with one row per group, whose ``n`` counts the rows of ``key``.
+
+    At most ``share`` groups can have more than one in ``share`` of the rows: those few are broadcast, so
+    that no task gets the rows of a hot group; the others meet by an ordinary join.  Both sides should be
+    written tables, for both are read twice.
+    """
+    least = (groups.agg(F.sum(n)).first()[0] or 0) // share
+    hot, rest = groups.where(F.col(n) > least), groups.where(F.col(n) <= least)
+    if least == 0:
+        return rows.join(groups, key)
+    few = F.broadcast(hot)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))

@@ -1,19 +1,28 @@
 """Repeated paragraphs and passages by MinHash banding.
 
-Units are lines of ``LINE_WORDS`` words or more, and passages of ``PASSAGE_WORDS`` words that begin at
-anchors chosen by content (the smallest hash of three words among ``ANCHOR_WINDOW``), so any common
-stretch of 51 words holds a common passage wherever its lines break.  A unit's five-word shingles
-give MinHash bands: ``LINE_BANDS`` of ``LINE_ROWS`` for a line (at a Jaccard index of 0.8 a band
-collides in 99.4 % of cases), one of ``PASSAGE_ROWS`` for a passage, of which a stretch has several.
-
-Bands whose units are all equal need no check.  In the others the distinct units of a band are
-compared by exact Jaccard index, in blocks of bounded size, and of the links found only those that
-join sets not yet joined are kept.  Components of the linked units are the classes; of a class, the
-unit that comes first by ``(doc_id, start_word)`` stays and the others are marked for removal.
-
-Edge cases: a null or empty text has no units; equal rows of one ``doc_id`` are one document, and
-only classes with two documents or more are reported; rows with a null ``doc_id`` are left out, for
-a removal has to name its document; empty tables give no rows; other columns are ignored.
+Units are lines of a shingle (``SHINGLE`` words) or more, and passages of ``PASSAGE_WORDS`` words that
+begin at anchors chosen by content (the smallest hash of three words among ``ANCHOR_WINDOW``), so any
+common stretch of ``ANCHOR_WINDOW + PASSAGE_WORDS - 1`` words (51) holds a common passage wherever its
+lines break.  The texts are cut into units once; a table of them without their words is all the rest
+works on.
+
+A line's five-word shingles give MinHash bands, ``BANDS`` of ``ROWS`` (at a Jaccard index of 0.8 two
+lines share one in 99.4 % of cases).  Lines of up to three shingles reach 0.8 only if their sets are
+equal, so one band finds them all.  Passages are compared whole: a changed word in the middle of one
+takes it below 0.8.
+
+Units with equal words (64-bit digest) are one node.  The distinct lines of a band are compared by
+exact Jaccard index, in blocks of bounded size; of bands with the same members one is, and of the links
+found only those that join sets not yet joined are kept.  Components of the linked units are the
+classes; of a class, the unit that comes first by ``(doc_id, start_word)`` stays and the others are
+marked for removal, also where they repeat inside one document.
+
+Filters travel as bitmaps of fixed size; once full they let everything pass, which costs time but never
+a result.
+
+Edge cases: words are what white space separates, in lower case; a null or empty text has no units;
+equal rows of one ``doc_id`` are one document; rows with a null ``doc_id`` are left out, for a removal
+has to name its document; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +32,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest as xxh64
 
 from ..operators.graph import connected_components
-from .common import materialize, table, whole_text
+from .common import discard, join_hot, materialize, table, whole_text
 from .substrings import _bitmap, _inside, _signed, window_min
 
-LINE_WORDS, LINE_BANDS, LINE_ROWS = 20, 5, 2
-PASSAGE_WORDS, PASSAGE_ROWS, ANCHOR_WORDS, ANCHOR_WINDOW = 26, 2, 3, 26
-SHINGLE, JACCARD = 5, 0.8
+SHINGLE, JACCARD, BANDS, ROWS = 5, 0.8, 5, 2
+PASSAGE_WORDS, ANCHOR_WORDS, ANCHOR_WINDOW = 26, 3, 26
 BLOCK = 1024
-CHUNK_WORDS = 1 << 20
+#: Texts are cut into units in chunks of about so many bytes.
+CHUNK_BYTES = 2 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BASE = 0xD1342543DE82EF95
 
 
 def mixed_up(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -57,112 +69,159 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        import xxhash
-
-        out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 5)
+        out = xxh64(word.encode("utf-8", "surrogatepass"), 5)
         if len(self) < 500_000:
             self[word] = out
         return out
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
-class Units:
-    """The units of some texts: arrays of text number, first word in the text, words, digest, band keys, place."""
-
-    def __init__(self, texts: list[list[list[str]]]):
-        known = word_hashes()
-        lines = [(t, w) for t, text in enumerate(texts) for w in text]
-        self.tokens = [x for _, w in lines for x in w]
-        self.ids = np.array([known[x] for x in self.tokens], dtype=np.uint64)
-        sizes = np.array([len(w) for _, w in lines], np.int64)
-        owner = np.array([t for t, _ in lines], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        total = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64) if len(lines) else np.zeros(len(texts), np.int64)
-        ends = np.cumsum(total)
-        self.text_begin = ends - total
-        self.shingles = grams(self.ids, SHINGLE)
-        parts = [self._lines(begin, sizes, owner), self._passages(ends)]
-        self.text, self.at, self.words, self.digest = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        self.keys = [p[4] for p in parts]
-
-    def _lines(self, begin: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> tuple:
-        keep = sizes >= LINE_WORDS
-        s, n, t = begin[keep], sizes[keep], owner[keep]
+_FACTORS = mixed_up(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 13) | np.uint64(1)
+
+
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+
+    def up(b: int) -> np.ndarray:
+        out = np.full((1 << bits) + 1, b, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    return up(_BASE), up(pow(_BASE, -1, 1 << 64))
+
+
+class Words:
+    """The words of some texts in order: ``ids`` (a hash each), and of every line its text, first word and size."""
+
+    def __init__(self, texts: pa.Array):
+        lines = pc.split_pattern(pc.utf8_lower(texts), "\n")
+        self.line_text = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lines)))
+        parts = pc.utf8_split_whitespace(lines.flatten())
+        line = np.repeat(np.arange(len(parts)), np.asarray(pc.list_value_length(parts)))
+        flat = parts.flatten()
+        real = np.asarray(pc.binary_length(flat)) > 0
+        self.tokens = flat.filter(pa.array(real))
+        self.size = np.bincount(line[real], minlength=len(parts))
+        self.begin = np.cumsum(self.size) - self.size
+        of_text = np.bincount(self.line_text, weights=self.size, minlength=len(texts)).astype(np.int64)
+        self.text_end = np.cumsum(of_text)
+        self.text_begin = self.text_end - of_text
+        coded = self.tokens.dictionary_encode()
+        known = np.array([xxh64(w, 5) for w in coded.dictionary.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+        self.ids = known[np.asarray(coded.indices)] if len(coded) else known
+        powers, self.inverse = _powers(max(20, len(self.ids).bit_length()))
+        self.sums = np.zeros(len(self.ids) + 1, np.uint64)
+        np.cumsum(self.ids * powers[: len(self.ids)], out=self.sums[1:])
+
+    def digest(self, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A hash of the ``n`` words from ``s`` on, in order."""
+        return mixed_up((self.sums[s + n] - self.sums[s]) * self.inverse[s] ^ n.astype(np.uint64), 3)
+
+    def lines(self) -> tuple[np.ndarray, ...]:
+        """Text, first word, words and digest of every line that is a unit."""
+        own = np.flatnonzero(self.size >= SHINGLE)
+        s, n = self.begin[own], self.size[own]
+        return self.line_text[own], s, n, self.digest(s, n)
+
+    def band_keys(self, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the lines one after another, and how many each has: one up to three shingles, else all bands."""
         if not len(s):
-            return t, s, n, np.zeros(0, np.uint64), np.zeros((0, LINE_BANDS), np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        tail = np.concatenate([grams(self.ids, SHINGLE), np.full(SHINGLE, np.iinfo(np.uint64).max, np.uint64)])
         cuts = np.stack([s, s + n - SHINGLE + 1], 1).ravel()
-        tail = np.concatenate([self.shingles, np.full(SHINGLE, np.iinfo(np.uint64).max, np.uint64)])
-        least = [np.minimum.reduceat(mixed_up(tail, j), cuts)[::2] for j in range(LINE_BANDS * LINE_ROWS)]
-        keys = np.stack([self._band(least[b * LINE_ROWS : (b + 1) * LINE_ROWS], b + 1) for b in range(LINE_BANDS)], 1)
-        return t, s, n, self._digest(s, n), keys
-
-    def _passages(self, ends: np.ndarray) -> tuple:
-        w = ANCHOR_WINDOW
+        key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(s), 1))
+        for j, factor in enumerate(_FACTORS):
+            key[:, j // ROWS] = mixed_up(key[:, j // ROWS] ^ np.minimum.reduceat(tail * factor, cuts)[::2], 7)
+        many = np.where(n - SHINGLE + 1 <= 3, 1, BANDS)
+        return key[np.arange(BANDS)[None, :] < many[:, None]], many
+
+    def passages(self) -> tuple[np.ndarray, ...]:
+        """Text, first word, words and digest of every passage."""
+        w, none = ANCHOR_WINDOW, np.zeros(0, np.int64)
         h = mixed_up(grams(self.ids, ANCHOR_WORDS), 99)
-        none = np.zeros(0, np.int64)
-        if len(h) < w:
-            return none, none, none, np.zeros(0, np.uint64), np.zeros((0, 1), np.uint64)
-        mask = np.uint64((1 << 22) - 1)
-        v = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))
-        at = (mask - (window_min(v, w) & mask)).astype(np.int64)
-        text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-        first = np.arange(len(at))
-        inside = first + w + ANCHOR_WORDS - 1 <= ends[text[: len(at)]]
-        at = np.unique(at[inside])
-        at = at[at + PASSAGE_WORDS <= ends[text[at]]]
-        least = [window_min(mixed_up(self.shingles, j), PASSAGE_WORDS - SHINGLE + 1)[at] for j in range(PASSAGE_ROWS)] if len(at) else [np.zeros(0, np.uint64)] * PASSAGE_ROWS
+        if len(h) < max(w, PASSAGE_WORDS):
+            return none, none, none, none.astype(np.uint64)
+        mask = np.uint64((1 << 22) - 1)  # places within a chunk; equal up to them, the last of a window counts
+        v = (h & ~mask) | (mask - (np.arange(len(h), dtype=np.uint64) & mask))
+        least = window_min(v, w)
+        text = np.repeat(np.arange(len(self.text_end)), self.text_end - self.text_begin)[: len(h)]
+        first = np.arange(len(least))
+        inside = first + w + ANCHOR_WORDS - 1 <= self.text_end[text[: len(least)]]
+        back = (mask - (least & mask)).astype(np.int64)
+        at = np.unique((first + ((back - first) & int(mask)))[inside])
+        at = at[at + PASSAGE_WORDS <= self.text_end[text[at]]]
         n = np.full(len(at), PASSAGE_WORDS)
-        return text[at], at, n, self._digest(at, n) if len(at) else np.zeros(0, np.uint64), self._band(least, 0)[:, None]
-
-    @staticmethod
-    def _band(least: list[np.ndarray], number: int) -> np.ndarray:
-        key = np.full(len(least[0]), number, np.uint64)
-        for x in least:
-            key = mixed_up(key ^ x, 7)
-        return key
-
-    def _digest(self, s: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """A hash of a unit's words in order."""
-        out = np.full(len(s), 17, np.uint64)
-        longest = int(n.max())
-        live = np.arange(len(s))
-        for k in range(longest):
-            live = live[n[live] > k]
-            out[live] = mixed_up(out[live] ^ self.ids[s[live] + k], 3)
-        return out
+        return text[at], at, n, self.digest(at, n)
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
+    """The words of a batch's texts, some texts at a time, with the number of the first."""
+    size = np.cumsum(np.asarray(pc.binary_length(texts)))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_BYTES)))
+        yield at, Words(texts.slice(at, to - at))
+        at = to
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """``(unit, key)`` of every band."""
-        lines = len(self.keys[0])
-        unit = np.concatenate([np.repeat(np.arange(lines), self.keys[0].shape[1]), lines + np.arange(len(self.keys[1]))])
-        return unit, np.concatenate([self.keys[0].ravel(), self.keys[1].ravel()])
-
-
-def _units(b: pa.RecordBatch) -> Iterator[tuple[list[int], Units]]:
-    """Units of a batch's texts, some texts at a time."""
-    part, numbers, total = [], [], 0
-    for i, t in enumerate(b.column("text").to_pylist()):
-        words = [w for line in t.lower().split("\n") if (w := line.split())]
-        part.append(words)
-        numbers.append(i)
-        total += sum(map(len, words))
-        if total >= CHUNK_WORDS:
-            yield numbers, Units(part)
-            part, numbers, total = [], [], 0
-    if part:
-        yield numbers, Units(part)
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+UNIT = "doc_id long, start_word int, n_words int, digest long, keys array<long>"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, u in _units(b):
-            unit, key = u.rows()
-            short = (u.digest[unit] & np.uint64(0x7FFFFFFF)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(short)], ["key", "digest"])
+        doc = np.asarray(b.column("doc_id"))
+        for at, words in chunks(b.column("text")):
+            lines, passages = words.lines(), words.passages()
+            key, many = words.band_keys(lines[1], lines[2])
+            text, s, n, digest = (np.concatenate(x) for x in zip(lines, passages, strict=True))
+            offsets = np.concatenate([[0], np.cumsum(many), np.full(len(passages[0]), len(key))]).astype(np.int32)
+            cols = [pa.array(doc[at + text]), pa.array((s - words.text_begin[text]).astype(np.int32)), pa.array(n.astype(np.int32)), _signed(digest), pa.ListArray.from_arrays(pa.array(offsets), _signed(key))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start_word", "n_words", "digest", "keys"])
+
+
+def _only(column: str, names: list[str], bitmap):
+    """Rows whose ``column`` is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = _inside(bitmap.value, np.asarray(b.column(column)).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names], names).filter(pa.array(keep))
+
+    return run
+
+
+def _pairs(bitmap):
+    """``(key, digest)`` for the keys in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("keys")
+            key = np.asarray(lists.flatten()).view(np.uint64)
+            keep = _inside(bitmap.value, key)
+            digest = np.repeat(np.asarray(b.column("digest")), np.asarray(pc.list_value_length(lists)))
+            yield pa.RecordBatch.from_arrays([_signed(key[keep]), pa.array(digest[keep])], ["key", "digest"])
+
+    return run
+
+
+def _line_texts(holders, wanted):
+    """``(digest, text)`` of the wanted lines in the texts of documents that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()  # what this task has sent
+        for b in batches:
+            b = b.filter(pa.array(_inside(holders.value, np.asarray(b.column("holder")).view(np.uint64))))
+            for _, words in chunks(b.column("text")):
+                _, s, n, digest = words.lines()
+                out = {}
+                for k in np.flatnonzero(_inside(wanted.value, digest)).tolist():
+                    if (d := int(digest[k])) not in told and d not in out:
+                        out[d] = " ".join(words.tokens.slice(int(s[k]), int(n[k])).to_pylist())
+                if len(told) < 1_000_000:
+                    told.update(out)
+                yield pa.RecordBatch.from_arrays([_signed(np.array(list(out), np.uint64)), pa.array(list(out.values()), pa.string())], ["digest", "text"])
+
+    return run
 
 
 def shingle_set(text: str, known: dict[str, int]) -> np.ndarray:
@@ -250,61 +309,49 @@ def _verify(threshold: float):
     return run
 
 
-def repeated_units(docs: DataFrame, threshold: float = JACCARD, block: int = BLOCK) -> DataFrame:
-    """``doc_id, start_word, n_words, component_id, keep_doc_id, removed`` of every unit in a class of two documents or more."""
-    spark = docs.sparkSession
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    counted = rows.select("text").mapInArrow(_bands, "key long, digest int").groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-    known = materialize(counted.where("n > 1").select("key", F.expr("lo != hi").alias("mixed")), "bands")
-    repeated, mixed = (spark.sparkContext.broadcast(_bitmap(x)) for x in (known, known.where("mixed")))
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[int] = set()  # digests whose keys and words this task has sent
-        for b in batches:
-            doc = np.asarray(b.column("doc_id"))
-            for numbers, u in _units(b):
-                unit, key = u.rows()
-                keep = _inside(repeated.value, key)
-                unit, key = unit[keep], key[keep]
-                own = np.unique(unit)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), _signed(u.digest[own]), pa.array(doc[np.array(numbers)[u.text[own]]]), pa.array((u.at[own] - u.text_begin[u.text[own]]).astype(np.int32)), pa.array(u.words[own].astype(np.int32)), pa.nulls(len(own), pa.string())], names)
-                keys, digests, texts = [], [], []
-                held = np.flatnonzero(_inside(mixed.value, key))
-                for i, k in zip(unit[held].tolist(), key[held].view(np.int64).tolist(), strict=True):
-                    d = int(u.digest[i])
-                    if d in told:
-                        continue
-                    if not digests or digests[-1] != d:
-                        texts.append(" ".join(u.tokens[u.at[i] : u.at[i] + u.words[i]]))
-                        if digests:
-                            told.add(digests[-1])
-                    else:
-                        texts.append(None)
-                    keys.append(k)
-                    digests.append(d)
-                if digests:
-                    told.add(digests[-1])
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _signed(np.array(digests, np.uint64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(texts, pa.string())], names)
-
-    # Two kinds of rows in one pass over the texts: a unit with a repeated key, and, once per task, the mixed
-    # keys and the words of a digest.  Keys that only passed a filter stand alone and change nothing.
-    names = ["key", "digest", "doc_id", "start_word", "n_words", "text"]
-    found = materialize(rows.mapInArrow(hits, "key long, digest long, doc_id long, start_word int, n_words int, text string"), "hits")
-    texts = found.where("text is not null").groupBy("digest").agg(F.max("text").alias("text"))
-    pairs = found.where("key is not null").select("key", "digest").distinct()
-    crowded = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    distinct = pairs.join(crowded, "key").join(texts, "digest")
-    split = distinct.select("key", "digest", "text", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+def line_links(rows: DataFrame, units: DataFrame, threshold: float = JACCARD, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` of line digests whose components are those of all pairs that share a band and reach ``threshold``."""
+    spark = rows.sparkSession
+    lines = units.where("size(keys) > 0")
+    mixed = lines.select("digest", F.explode("keys").alias("key")).groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi")
+    found = lines.select("keys", "digest").mapInArrow(_pairs(spark.sparkContext.broadcast(_bitmap(mixed))), "key long, digest long")
+    pairs = materialize(found.distinct(), "bands")
+    groups = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.bit_xor(F.xxhash64("digest")).alias("members")).where("n > 1")
+    chosen = groups.groupBy("n", "lo", "hi", "members").agg(F.min("key").alias("key")).select("key", "n")
+    crowded = materialize(pairs.join(chosen, "key"), "crowded")
+    # The words come from the document with the smallest id that holds a line.
+    wanted = spark.sparkContext.broadcast(_bitmap(crowded.select(F.col("digest").alias("key"))))
+    holders = lines.select("digest", "doc_id").mapInArrow(_only("digest", ["digest", "doc_id"], wanted), "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    held = spark.sparkContext.broadcast(_bitmap(holders.select(F.xxhash64("doc_id").alias("key"))))
+    told = rows.select(F.xxhash64("doc_id").alias("holder"), "text").mapInArrow(_line_texts(held, wanted), "digest long, text string")
+    texts = told.groupBy("digest").agg(F.max("text").alias("text"))
+    split = crowded.join(texts, "digest").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = split.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "digest", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(tasks, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(_verify(threshold), "a long, b long")
+    links = materialize(dealt.repartition(tasks, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(_verify(threshold), "a long, b long"), "links")
+    discard(pairs)
+    discard(crowded)
+    return links
+
+
+def repeated_units(docs: DataFrame, threshold: float = JACCARD, block: int = BLOCK) -> DataFrame:
+    """``doc_id, start_word, n_words, component_id, keep_doc_id, removed`` of every unit in a class of two or more."""
+    spark = docs.sparkSession
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    units = materialize(rows.mapInArrow(_units, UNIT), "units")
+    repeated = materialize(units.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "repeated")
+    links = line_links(rows, units, threshold, block)
     roots = connected_components(links).withColumnRenamed("node", "digest")
-    units = found.where("key is null").select("digest", "doc_id", "start_word", "n_words").distinct()
-    placed = materialize(units.join(roots, "digest", "left").withColumn("component_id", F.coalesce("root", "digest")).drop("root", "digest"), "units")
-    classes = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "start_word")).alias("keep"), F.max("doc_id").alias("last")).where("keep.doc_id != last").drop("last")
-    out = placed.join(classes, "component_id")
+    classes = materialize(repeated.join(roots, "digest", "full").select("digest", F.coalesce("root", "digest").alias("component_id")), "classes")
+    inside = spark.sparkContext.broadcast(_bitmap(classes.select(F.col("digest").alias("key"))))
+    names = ["doc_id", "start_word", "n_words", "digest"]
+    held = units.select(*names).mapInArrow(_only("digest", names, inside), "doc_id long, start_word int, n_words int, digest long")
+    placed = materialize(held.join(classes, "digest").select("doc_id", "start_word", "n_words", "component_id").distinct(), "placed")
+    for done in (units, repeated, links, classes):
+        discard(done)
+    kept = materialize(placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "start_word")).alias("keep"), F.count("*").alias("n")).where("n > 1"), "kept")
+    out = join_hot(placed, kept, "component_id", "n")
     return out.select("doc_id", F.col("start_word").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), "component_id", F.col("keep.doc_id").alias("keep_doc_id"), (F.struct("doc_id", "start_word") != F.col("keep")).alias("removed"))
 
 
@@ -319,7 +366,7 @@ def stretches(units: DataFrame) -> DataFrame:
 
 
 def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What of ``documents`` repeats in other documents: per document and kept document the stretches, kept or removed."""
+    """What of ``documents`` repeats: per document and kept document the stretches, kept or removed."""
     found = stretches(repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text")))
     words = F.aggregate("stretches", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     spans = F.array_join(F.transform("stretches", lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
