@@ -4,11 +4,13 @@ Candidate spans come from regular expressions.  Labelers vote on each (for, agai
 pattern, a gazetteer of endings, prefixes and ranges, words in front of it, its edges, and whether
 it looks made up.  Expectation-maximisation over the table of vote patterns, which has a bounded
 number of rows whatever the input, estimates how reliable each labeler is and the posterior of each
-pattern; a logistic span classifier is trained on those posteriors and compiled into an expression.
+pattern; a logistic span classifier is trained on those posteriors, from the votes and from features of
+the span and its neighbours that no labeler sees, and compiled into an expression.
 Spans of the four base kinds always stay; the classifier decides on the two further kinds.
 
 Offsets are worked out from the pieces between matches, in code points.  The patterns are written so
-that a search begins only where a run begins, which keeps them linear in long runs.
+that a search begins only where a run begins, which keeps them linear in long runs; groups that
+repeat without bound are possessive, for Java's matcher recurses in others.
 
 Edge cases: a null text is an empty one; a null ``doc_id`` is kept; repeated rows each give a row;
 an empty table gives no rows; other columns are ignored.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ FURTHER = ("local", "national")
 # leftmost, non-overlapping search would begin a match anyway.
 LOCAL_PART = "[A-Za-z0-9._%+-]"
 PATTERNS = {
-    "email": rf"(?:(?<!{LOCAL_PART})|\G){LOCAL_PART}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": rf"(?:(?<!{LOCAL_PART})|\G){LOCAL_PART}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -78,6 +81,18 @@ LABELERS = {
     "made_up": r"if(regexp_replace(x.m, '[^0-9]', '') rlike '^([0-9])\\1+$|^0?123456789', -1, 0)",
 }
 
+#: What else the classifier sees of a candidate x, each true or false: its shape and its neighbours.
+FEATURES = {
+    "separated": r"x.m rlike '[\\x20().-]'",
+    "long": "char_length(x.m) > 14",
+    "mixed": r"x.m rlike '[A-Za-z]' and x.m rlike '[0-9]'",
+    "labelled": r"x.before rlike '[:=][\\x20]?$'",
+    "bracketed": r"x.before rlike '[(<\\[]$'",
+    "line_start": r"x.before rlike '(?:^|\\n)$'",
+    "word_before": r"x.before rlike '[A-Za-z][\\x20]$'",
+    "clause_end": r"x.after rlike '^[.,;!?]?$'",
+}
+
 
 def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -104,11 +119,21 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.selectExpr(f"`{id_col}`", f"{base} as base", f"filter(concat(local, national), x -> not exists({base}, b -> b.start < x.end and x.start < b.end)) as further")
 
 
-def vote_table(found: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
-    """``(kind, votes, candidates)``: at most kinds times 3 to the number of labelers rows."""
-    each = found.selectExpr("explode(concat(base, further)) as x").selectExpr("x.kind as kind", *(f"{v} as v_{k}" for k, v in LABELERS.items()))
-    names = [f"v_{k}" for k in LABELERS]
-    return sorted((r["kind"], tuple(r[n] for n in names), r["n"]) for r in each.groupBy("kind", *names).agg(F.count("*").alias("n")).collect())
+def vote_table(found: DataFrame) -> list[tuple[str, tuple[int, ...], tuple[int, ...], int]]:
+    """``(kind, votes, features, candidates)``: at most kinds times 3 to the number of labelers times 2 to that of features rows."""
+    asked = [f"{v} as v_{k}" for k, v in LABELERS.items()] + [f"int({v}) as f_{k}" for k, v in FEATURES.items()]
+    each = found.selectExpr("explode(concat(base, further)) as x").selectExpr("x.kind as kind", *asked)
+    votes, features = [f"v_{k}" for k in LABELERS], [f"f_{k}" for k in FEATURES]
+    rows = each.groupBy("kind", *votes, *features).agg(F.count("*").alias("n")).collect()
+    return sorted((r["kind"], tuple(r[n] for n in votes), tuple(r[n] for n in features), r["n"]) for r in rows)
+
+
+def by_votes(rows: list[tuple]) -> dict[tuple[str, tuple[int, ...]], int]:
+    """Candidates of each kind and pattern of votes."""
+    out: dict[tuple[str, tuple[int, ...]], int] = {}
+    for kind, votes, _, n in rows:
+        out[kind, votes] = out.get((kind, votes), 0) + n
+    return out
 
 
 def estimate(rows: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) -> tuple[list[float], list[float]]:
@@ -130,28 +155,26 @@ def estimate(rows: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) ->
     return trust, post
 
 
-def train(rows: list[tuple[str, tuple[int, ...], int]], post: list[float], rounds: int = 400) -> tuple[dict[str, float], list[float]]:
-    """A logistic classifier of spans on kind and votes, fitted to the posteriors: bias by kind, weight by labeler."""
-    bias, weight = dict.fromkeys((*BASE, *FURTHER), 0.0), [0.5] * len(LABELERS)
-    total = sum(math.log1p(n) for _, _, n in rows) or 1.0
+def train(rows: list[tuple], post: list[float], rounds: int = 300) -> tuple[dict[str, float], np.ndarray]:
+    """A logistic classifier of spans on kind, votes and features, fitted to the posteriors: bias by kind, weights."""
+    kinds = (*BASE, *FURTHER)
+    x = np.array([[*(float(k == kind) for k in kinds), *votes, *features] for kind, votes, features, _ in rows], dtype=float).reshape(len(rows), -1)
+    if not len(rows):
+        return dict.fromkeys(kinds, 0.0), np.zeros(len(LABELERS) + len(FEATURES))
+    n, p = np.log1p([r[3] for r in rows]), np.array(post)
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        gb, gw = dict.fromkeys(bias, 0.0), [0.0] * len(weight)
-        for (kind, votes, n), p in zip(rows, post, strict=True):
-            q = 1 / (1 + math.exp(-bias[kind] - sum(w * v for w, v in zip(weight, votes, strict=True))))
-            g = (q - p) * math.log1p(n) / total
-            gb[kind] += g
-            for j, v in enumerate(votes):
-                gw[j] += g * v
-        bias = {k: v - 2.0 * (gb[k] + 0.001 * v) for k, v in bias.items()}
-        weight = [w - 2.0 * (g + 0.001 * w) for w, g in zip(weight, gw, strict=True)]
-    return bias, weight
-
-
-def classified(found: DataFrame, bias: dict[str, float], weight: list[float], threshold: float = 0.5) -> DataFrame:
+        q = 1 / (1 + np.exp(-(x @ w)))
+        w -= 2.0 * (x.T @ ((q - p) * n) / n.sum() / 2 + 0.0005 * w)
+    return dict(zip(kinds, w.tolist(), strict=False)), w[len(kinds) :]
+
+
+def classified(found: DataFrame, bias: dict[str, float], weight: np.ndarray, threshold: float = 0.5) -> DataFrame:
     """``found`` with ``spans``: base spans and the further candidates that the classifier accepts."""
     cut = math.log(threshold / (1 - threshold))
     by_kind = " ".join(f"when '{k}' then {b!r}D" for k, b in bias.items())
-    score = " + ".join([f"(case x.kind {by_kind} else 0D end)", *(f"{w!r}D * ({v})" for w, v in zip(weight, LABELERS.values(), strict=True))])
+    inputs = [*LABELERS.values(), *(f"int({v})" for v in FEATURES.values())]
+    score = " + ".join([f"(case x.kind {by_kind} else 0D end)", *(f"{w!r}D * ({v})" for w, v in zip(weight.tolist(), inputs, strict=True))])
     return found.withColumn("spans", F.expr(f"concat(base, filter(further, x -> {score} >= {cut!r}D))"))
 
 
@@ -159,8 +182,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: id, base and all spans with ``kind, start, end, m`` and surroundings."""
     found = candidates(docs)
     rows = vote_table(found)
-    _, post = estimate(rows)
-    return classified(found, *train(rows, post))
+    patterns = by_votes(rows)
+    _, post = estimate([(k, v, n) for (k, v), n in patterns.items()])
+    of = dict(zip(patterns, post, strict=True))
+    return classified(found, *train(rows, [of[k, v] for k, v, _, _ in rows]))
 
 
 def op7_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
