@@ -2,7 +2,8 @@
 
 A random string has no long pieces in a byte-pair vocabulary, so it costs many tokens for its
 length.  Strings of the secret alphabet whose characters-per-token ratio is low are reported, after
-digests of known lengths and ordinary identifiers are excluded.  Three base rules (assignments,
+digests of known lengths and ordinary identifiers are excluded; of a string that a base span covers in
+part, what is left is measured.  Three base rules (assignments,
 access ids, hexadecimal runs) report beside them and are never withdrawn.
 
 Edge cases: a null text is scanned as an empty one; a null ``doc_id`` is kept; repeated rows each
@@ -33,7 +34,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_MIN, ACCESS_MIN = 12, 18
 
 #: Candidates for the token-efficiency test.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE_MIN, WORD_MAX = 12, 24
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_MIN)
 #: Hexadecimal digests of usual widths (128 to 512 bits) and UUIDs are known digests, not secrets.
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})")
 #: One part of an identifier: a word, an acronym, a short number, or camel case.
@@ -63,8 +65,8 @@ def encoder(path: str):
 
 
 def is_identifier(run: str) -> bool:
-    """Parts joined by separators, or one long number."""
-    return run.isdigit() or all(PART.fullmatch(x) for x in SEPARATORS.split(run))
+    """Parts joined by separators, none longer than a word (``WORD_MAX``), or one long number."""
+    return run.isdigit() or all(len(x) < WORD_MAX and PART.fullmatch(x) for x in SEPARATORS.split(run))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -75,15 +77,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def outside(s: int, e: int, taken: list[tuple[int, int, str]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """What of ``s`` to ``e`` the spans of ``taken`` (in order of starts, from number ``at`` on) leave, and the number to go on from."""
+    left = []
+    while at < len(taken) and taken[at][1] <= s:
+        at += 1
+    for a, b, _ in taken[at:]:
+        if a >= e:
+            break
+        if a > s:
+            left.append((s, a))
+        s = max(s, b)
+    if s < e:
+        left.append((s, e))
+    return left, at
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], path: str, ratio: float) -> list[tuple[int, int, str]]:
-    """Candidates outside ``taken`` that cost more than one token per ``ratio`` characters."""
-    out = []
+    """Candidates, or what ``taken`` leaves of them, that cost more than one token per ``ratio`` characters."""
+    out, at = [], 0
+    # Spans inside others would hide later ends from the sweep.
+    cover: list[tuple[int, int, str]] = []
+    for x in sorted(taken):
+        if not cover or x[1] > cover[-1][1]:
+            cover.append(x)
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b, _ in taken) or DIGEST.fullmatch(m[0]) or is_identifier(m[0]):
-            continue
-        if e - s < ratio * len(encoder(path).encode_ordinary(m[0])):
-            out.append((s, e, "random"))
+        left, at = outside(*m.span(), cover, at)
+        for s, e in left:
+            run = text[s:e]
+            if e - s < CANDIDATE_MIN or DIGEST.fullmatch(run) or is_identifier(run):
+                continue
+            if e - s < ratio * len(encoder(path).encode_ordinary(run)):
+                out.append((s, e, "random"))
     return out
 
 
