@@ -8,7 +8,8 @@ The fit learns from at most ``MAX_FIT_ROWS`` labelled rows (those first in the o
 the id), never from held-out rows.  Label, language, source and id are no inputs of the score.
 
 Edge cases: a null text is scored as an empty one; a null ``doc_id`` counts as held out; repeated
-rows each get a score; labels that repeat an id count once (the smallest), null labels not at all;
+rows each get a score; labels that repeat an id count once (the smallest), null labels not at all, and
+of labelled documents that share an id the one with the least statistics is learnt from;
 if one of the classes has no labelled row the score is the smoothed base rate; an empty table gives
 no rows; other columns are ignored.
 """
@@ -180,7 +181,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows small rows: a proven bound for the broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(texts, keep=("doc_id", "y")).drop("q_row").collect()
+    # One row of each id, the least, so that repeated ids do not add to what the driver gets.
+    each = with_statistics(texts, keep=("doc_id", "y")).groupBy("doc_id").agg(F.min(F.struct("y", *(f"q_{n}" for n in FEATURES))).alias("r"))
+    rows = each.select("doc_id", "r.*").collect()
     rows.sort(key=tuple)
     data = np.array([[*r][1:] for r in rows], dtype=float).reshape(len(rows), len(FEATURES) + 1)
     return fit_rules(data[:, 1:], (data[:, 0] > 0).astype(float))
