@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by hierarchical residuals.
 
-Every partition packs its own pieces best-fit, longest first.  Bins that no remaining piece could
-still enter are emitted; the others go up a tree as items of their own (their contents stay
-together) and are packed again among fewer, larger groups, until one group is left or a round
-merges next to nothing.  A task never holds more than ``ITEMS_PER_TASK`` items on average, and an
-item carries at most ``capacity`` members, so memory does not follow the size of the table.
+Every partition packs its own pieces best-fit, longest first.  Bins filled to ``FULL`` or more, or that
+no piece could still enter, are emitted; the others go up a tree as items of their own (their contents
+stay together) and are packed again among at most half as many groups, until one group is left.  A
+group takes ``ITEMS_PER_TASK`` items on average; where more bins are left, the emptiest go up and the
+others are emitted as they are.  (Of bins at most half full a group leaves one, so all of these go up.)
+An item carries at most ``capacity`` members, so memory does not follow the size of the table.
 
 Edge cases: a null or empty text is the single end id; repeated rows are separate pieces; a null
 ``doc_id`` is kept; an empty table gives no rows; other columns are ignored.
@@ -31,9 +32,9 @@ from .common import materialize, table, whole_text
 CAPACITY, END_ID = 4096, 1
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 ITEMS_PER_TASK = 20_000
-#: A round that saves less than this share of the bins it got ends the tree.
-LEAST_GAIN = 0.001
-CACHED_WORDS = 800_000
+#: Bins filled to this share are not packed again.
+FULL = 0.99
+CACHED_WORDS = 500_000
 MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,7 +57,7 @@ class WordIds:
 
     The normaliser and splitter never join what white space separates, so a text's ids are its
     words' ids in order.  New words of a text are encoded in one call; words are kept up to
-    ``CACHED_WORDS``, then forgotten at once.
+    ``CACHED_WORDS``, then forgotten at once.  Texts for other vocabularies than the default are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -64,8 +65,12 @@ class WordIds:
 
         self.encode = Tokenizer.from_file(path).encode
         self.known: dict[str, bytes] = {}
+        self.by_words = os.path.basename(path) == DEFAULT_TOKENIZER  # what PLAIN and PIECE are written for
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_words:
+            ids = self.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         if PLAIN.fullmatch(text) and "<|" not in text:
             words = PIECE.findall(text.lower())
         else:
@@ -140,7 +145,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack_partition(capacity: int, closed_at: int):
-    """Packs a partition's items; ``done`` marks bins that no item anywhere could still enter."""
+    """Packs a partition's items; ``done`` marks bins filled beyond ``closed_at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
@@ -162,26 +167,32 @@ def _pack_partition(capacity: int, closed_at: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``: as few sequences of at most ``capacity`` as the rounds find."""
-    spark = pieces.sparkSession
+    """``pieces`` (a written table) with ``sequence_id`` and ``offset``: as few sequences of at most ``capacity`` as the rounds find."""
     items = pieces.select(F.col("length").alias("fill"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).cast(MEMBERS).alias("members"))
     facts = pieces.agg(F.count("*"), F.min("length")).first()
-    count, least = facts[0], facts[1] or capacity
+    closed_at = min(capacity - (facts[1] or 0), int(FULL * capacity) - 1)
+    tasks = max(1, -(-facts[0] // items_per_task))
     emitted: list[DataFrame] = []
     schema = f"fill long, members {MEMBERS}, done boolean"
     while True:
-        tasks = max(1, -(-count // items_per_task))
-        # A hash of the first member, so that a recomputed task deals the same rows to the same place.
-        first = F.col("members")[0]
-        dealt = items.repartition(tasks, F.xxhash64(first["doc_id"], first["piece"], first["ids_crc32"], F.lit(len(emitted))))
-        packed = materialize(dealt.mapInArrow(_pack_partition(capacity, capacity - least), schema), "pack")
-        open_bins = packed.where("not done").count()
-        total = packed.count()
-        emitted.append(packed.where("done"))
-        if tasks == 1 or open_bins == 0 or count - total < LEAST_GAIN * count:
-            emitted.append(packed.where("not done"))
+        # Dealt by row number, so that equal rows part; the tables are written, so the numbers stay.
+        dealt = items.withColumn("__row", F.monotonically_increasing_id()).repartition(tasks, F.xxhash64("__row", F.lit(len(emitted)))).select("fill", "members")
+        packed = materialize(dealt.mapInArrow(_pack_partition(capacity, closed_at), schema), "pack")
+        # At most one row per possible fill.
+        fills = sorted((r["fill"], r["count"]) for r in packed.where("not done").groupBy("fill").count().collect())
+        left = sum(n for _, n in fills)
+        groups = max(1, min(tasks // 2, -(-left // items_per_task)))
+        limit, taken = -1, 0
+        for fill, n in fills:
+            if taken + n > groups * items_per_task:
+                break
+            limit, taken = fill, taken + n
+        if tasks == 1 or taken < 2:
+            emitted.append(packed.select("members"))
             break
-        items, count = packed.where("not done").select("fill", "members"), open_bins
+        up = ~F.col("done") & (F.col("fill") <= limit)
+        emitted.append(packed.where(~up).select("members"))
+        items, tasks = packed.where(up).select("fill", "members"), groups
     bins = emitted[0]
     for x in emitted[1:]:
         bins = bins.unionByName(x)
