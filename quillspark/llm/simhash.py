@@ -8,10 +8,10 @@ in at most ``t`` bits then share the home of either, because the other lies with
 threshold, where a block's distance counts only beyond that block's radius (what the triangle
 inequality needs), and compared there with the fingerprints at home.
 
-A Bloom filter of the occupied places (a home with its 18 other bits; 8 MB whatever the input) removes
-replicas nobody could meet: a replica whose blocks lie ``e`` beyond their radius can only meet homes
-that differ in at most ``t - e`` of the other bits, and all of these are looked up.  Once the filter
-is more than half full it would remove too little, and every replica goes out.
+A Bloom filter of the occupied places (a home with its 18 other bits; ``BITS_EACH`` bits for each
+fingerprint, 64 MB at most) removes replicas nobody could meet: a replica whose blocks lie ``e`` beyond
+their radius can only meet homes that differ in at most ``t - e`` of the other bits, and all of these
+are looked up.  As it fills beyond that it removes less; it never removes a link.
 Anchors with many fingerprints are dealt out as blocks of bounded size, and of the links in a block
 only those that join sets not yet joined leave it, so a ball of near copies gives a forest of links,
 not all its pairs.
@@ -32,14 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import materialize, table, whole_text
+from .common import discard, join_hot, materialize, table, whole_text
 
 WORDS, SEED, THRESHOLD = 3, 42, 3
 GOLAY = 0b101011100011  # the generator polynomial of the binary Golay code [23,12]
 RADIUS = 3
 BLOCK = 2048
 LEFT_BITS = 18
-FILTER_BITS, PROBES = 26, 4
+LEAST_BITS, MOST_BITS, BITS_EACH, PROBES = 20, 29, 16, 4
+FINGERPRINTS_PER_TASK = 50_000
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -95,12 +96,12 @@ def home_anchor(fp: np.ndarray) -> np.ndarray:
     return a << 12 | b
 
 
-def places(anchor: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
-    """The filter's ``PROBES`` bit numbers of an anchor with the 18 bits left."""
+def places(anchor: np.ndarray, left: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The ``PROBES`` bit numbers, in a filter of 2 to the ``bits`` bits, of an anchor with the 18 bits left."""
     x = (anchor.astype(np.uint64) << np.uint64(LEFT_BITS)) | left.astype(np.uint64)
     for seed in range(PROBES):
         x = (x ^ (x >> np.uint64(23)) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-        yield (x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        yield (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def left_bits(fp: np.ndarray) -> np.ndarray:
@@ -119,7 +120,7 @@ def flips(most: int) -> np.ndarray:
 
 def may_meet(occupied: np.ndarray, anchor: np.ndarray, left: np.ndarray, beyond: np.ndarray, threshold: int) -> np.ndarray:
     """Which replicas could meet a home, by the filter."""
-    keep = np.zeros(len(anchor), bool)
+    keep, bits = np.zeros(len(anchor), bool), (8 * len(occupied)).bit_length() - 1
     for e in range(threshold + 1):
         own = np.flatnonzero(beyond == e)
         near = flips(threshold - e)
@@ -128,7 +129,7 @@ def may_meet(occupied: np.ndarray, anchor: np.ndarray, left: np.ndarray, beyond:
         for k in range(PROBES):
             if not len(who):
                 break
-            bit = next(x for j, x in enumerate(places(anchor[who], look)) if j == k)
+            bit = next(x for j, x in enumerate(places(anchor[who], look, bits)) if j == k)
             hit = (occupied[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             who, look = who[hit], look[hit]
         keep[who] = True
@@ -206,7 +207,7 @@ def _links(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for fp, home in blocks(batches):
-            if len(fp) > 2 and home.any() and not home.all():
+            if home.any() and not home.all():
                 out += forest(fp[home], fp[~home], threshold)
             if len(out) > 50_000:
                 yield _pairs(out)
@@ -236,19 +237,21 @@ def with_fingerprint(docs: DataFrame, id_cols: list[str], text: Column | None =
 def fingerprint_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all pairs of the distinct ``fp`` within ``threshold`` bits."""
     spark = prints.sparkSession
+    tasks, count = int(spark.conf.get("spark.sql.shuffle.partitions")), prints.count()
+    size = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * count).bit_length()))
+    spread = prints.select("fp").repartition(max(tasks, -(-count // FINGERPRINTS_PER_TASK)), "fp")
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.asarray(b.column("fp")).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*places(home_anchor(fp), left_bits(fp))]))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*places(home_anchor(fp), left_bits(fp), size)]))], ["bit"])
 
-    # 2048 rows of 4 KB at most, whatever the input.
+    # 16384 rows of 4 KB at most, whatever the input.
     bits = prints.select("fp").mapInArrow(homes, "bit long").groupBy(F.shiftright("bit", 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
-    occupied = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    occupied = np.zeros((1 << size) // 8, dtype=np.uint8)
     for r in bits.toLocalIterator():
         occupied[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    full = np.bitwise_count(occupied).sum(dtype=np.int64) > 1 << (FILTER_BITS - 1)
-    shared = spark.sparkContext.broadcast(None if full else occupied)
+    shared = spark.sparkContext.broadcast(occupied)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = shared.value
@@ -257,35 +260,40 @@ def fingerprint_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFram
             for s in range(0, len(fps), 1000):
                 fp = fps[s : s + 1000]
                 at, anchor, beyond = replicas(fp, threshold)
-                if filled is not None:
-                    keep = may_meet(filled, anchor, left_bits(fp)[at], beyond, threshold)
-                    at, anchor = at[keep], anchor[keep]
+                keep = may_meet(filled, anchor, left_bits(fp)[at], beyond, threshold)
+                at, anchor = at[keep], anchor[keep]
                 home = np.concatenate([np.zeros(len(at), bool), np.ones(len(fp), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchor, home_anchor(fp)]).astype(np.int32)), pa.array(np.concatenate([fp[at], fp]).view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
-    rows = prints.select("fp").mapInArrow(replicate, "anchor int, fp long, home boolean")
+    rows = materialize(spread.mapInArrow(replicate, "anchor int, fp long, home boolean"), "replicas")
     sizes = rows.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count("*").alias("n")).where("n > 2")
     # An anchor with one home and its own replica (n = 2) has nothing to compare.
     sized = rows.join(sizes, "anchor").withColumns({"H": F.ceil(F.col("h") / BLOCK).cast("int"), "R": F.ceil((F.col("n") - F.col("h")) / BLOCK).cast("int")})
     own = lambda n: F.array(F.pmod(F.xxhash64("fp"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0)))
     dealt = sized.select("anchor", "fp", "home", F.explode(F.when(F.col("home"), own("H")).otherwise(every("H"))).alias("hb"), "R").select("anchor", "fp", "home", "hb", F.explode(F.when(F.col("home"), every("R")).otherwise(own("R"))).alias("rb"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = dealt.repartition(tasks, "anchor", "hb", "rb").sortWithinPartitions("anchor", "hb", "rb")
-    return sorted_rows.mapInArrow(_links(threshold), "a long, b long")
+    links = materialize(sorted_rows.mapInArrow(_links(threshold), "a long, b long"), "links")
+    discard(rows)
+    return links
 
 
 def fingerprint_classes(prints: DataFrame, id_col: str, threshold: int = THRESHOLD) -> DataFrame:
-    """``fp, component`` for every distinct ``fp`` of ``prints``: the smallest ``id_col`` reachable."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "prints")
-    roots = connected_components(fingerprint_links(distinct, threshold)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    return materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component"), "classes")
+    """``fp, component, n`` for every distinct ``fp`` of ``prints``: the smallest ``id_col`` reachable, and the rows of ``fp``."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "prints")
+    links = fingerprint_links(distinct, threshold)
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    rooted = materialize(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("prints")), "least")
+    out = materialize(join_hot(rooted, least, "root", "prints").select("fp", "component", "n"), "classes")
+    for done in (distinct, links, rooted, least):
+        discard(done)
+    return out
 
 
 def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = table(spark, sf_dir, "documents")
     prints = materialize(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "fingerprints")
-    found = prints.join(fingerprint_classes(prints, "doc_id"), "fp", "left")
+    found = join_hot(prints, fingerprint_classes(prints, "doc_id"), "fp", "n")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
