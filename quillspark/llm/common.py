@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, scratch, shared_dir
 
-__all__ = ["discard", "join_hot", "materialize", "scratch", "shared_dir", "table", "whole_text"]
+__all__ = ["discard", "give_back", "join_hot", "materialize", "scratch", "shared_dir", "table", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +26,8 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, key: str, n: str, share: int = 512) -> DataFrame:
-    """Inner join of ``rows`` with one row per group, whose ``n`` counts the rows of ``key``.
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, n: str, share: int = 512, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``rows`` with one row per group, whose ``n`` counts the rows of ``key``.
 
     At most ``share`` groups can have more than one in ``share`` of the rows: those few are broadcast, so
     that no task gets the rows of a hot group; the others meet by an ordinary join.  Both sides should be
@@ -30,6 +36,20 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, n: str, share: int =
     least = (groups.agg(F.sum(n)).first()[0] or 0) // share
     hot, rest = groups.where(F.col(n) > least), groups.where(F.col(n) <= least)
     if least == 0:
-        return rows.join(groups, key)
+        return rows.join(groups, key, how)
     few = F.broadcast(hot)
-    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key, how))
+
+
+def give_back(run):
+    """``run`` (for ``mapInArrow``), after whose last batch the worker's free memory goes back: workers outlive their tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
