@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import give_back, table, whole_text
 
 SEED_WORDS, SHORT_SEED, LONG_ITEM, MIN_SCORE = 2, 3, 7, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -164,7 +164,7 @@ def scanner(index: Index, min_score: float = MIN_SCORE) -> Callable[[str], list[
     def aligned(k: int, passage: np.ndarray) -> tuple[int, int]:
         key = (k, passage.tobytes())
         if key not in memo:
-            if len(memo) > 50_000:
+            if len(memo) > 5_000:
                 memo.clear()
             memo[key] = align(index.items[k], passage)
         return memo[key]
@@ -237,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "first_word", "n_words"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(give_back(run), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -251,7 +251,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
             for b in batches:
                 yield b.filter(pa.array([not scan(t or "") for t in b.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(give_back(run), docs.schema)
     return docs
 
 
