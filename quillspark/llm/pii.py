@@ -158,9 +158,9 @@ def estimate(rows: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) ->
 def train(rows: list[tuple], post: list[float], rounds: int = 300) -> tuple[dict[str, float], np.ndarray]:
     """A logistic classifier of spans on kind, votes and features, fitted to the posteriors: bias by kind, weights."""
     kinds = (*BASE, *FURTHER)
-    x = np.array([[*(float(k == kind) for k in kinds), *votes, *features] for kind, votes, features, _ in rows], dtype=float).reshape(len(rows), -1)
-    if not len(rows):
+    if not rows:
         return dict.fromkeys(kinds, 0.0), np.zeros(len(LABELERS) + len(FEATURES))
+    x = np.array([[*(float(k == kind) for k in kinds), *votes, *features] for kind, votes, features, _ in rows], dtype=float)
     n, p = np.log1p([r[3] for r in rows]), np.array(post)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
