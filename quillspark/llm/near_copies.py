@@ -1,12 +1,17 @@
-"""One document of each near-duplicate group: MinHash candidates, exact Jaccard index.
+"""One document of each near-duplicate group: SimHash links, and MinHash candidates with the exact Jaccard index.
 
-A text's set of five-word shingles (lower case) gives ``BANDS`` MinHash bands of ``ROWS`` rows; at a
-Jaccard index of 0.8 two sets share a band in 99.94 % of cases.  Texts with equal sets are one node;
-bands with the same members are compared once, by the exact Jaccard index, in blocks of bounded size
-of which only links that join sets not yet joined come out.
+Texts with equal sets of five-word shingles (lower case) are one node.  Nodes whose SimHash fingerprints
+of five-word shingles lie within 3 bits are linked by the covering-code anchors of ``simhash``.  Three
+bits reach only copies that are almost equal (at a Jaccard index of 0.8 about 10 of 64 bits differ, for
+which no covering code is small enough), so links by ``BANDS`` MinHash bands of ``ROWS`` rows come to
+them: at 0.8 two sets share a band in 99.94 % of cases.  Bands with the same members are compared once,
+by the exact Jaccard index, in blocks of bounded size of which only links that join sets not yet joined
+come out.  Components of both kinds of links are the groups.
 
 Edge cases: a null text is an empty one; fewer than five words are one shingle, which equals another
-or has nothing in common with it; texts without words are copies of each other; other columns are kept.
+or has nothing in common with it; texts without words are copies of each other; of equal smallest ids
+the row stored first stays; a null ``doc_id`` stays only where its group has no other; an empty table
+gives no rows; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import materialize, whole_text
+from .common import discard, give_back, join_hot, materialize, whole_text
 from .paragraphs import JACCARD, SHINGLE, WordHashes, _verify, grams, mixed_up
+from .simhash import fingerprint, fingerprint_classes
 from .substrings import _bitmap, _inside, _signed
 
 BANDS, ROWS = 14, 4
@@ -53,12 +59,19 @@ def sketch(text: str, known: WordHashes) -> tuple[int, np.ndarray]:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()  # ends with the task: the stages after this one need the memory
     for b in batches:
-        digests, keys = [], []
+        digests, keys, prints = [], [], []
         for t in b.column("text").to_pylist():
             d, k = sketch(t, known)
             digests.append(d)
             keys.append(k.view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), _signed(np.array(digests, np.uint64)), pa.array(keys, pa.list_(pa.int64()))], ["rid", "doc_id", "digest", "keys"])
+            prints.append(fingerprint(t, SHINGLE))
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), _signed(np.array(digests, np.uint64)), pa.array(keys, pa.list_(pa.int64())), _signed(np.array(prints, np.uint64))], ["rid", "doc_id", "digest", "keys", "fp"])
+
+
+def near_print_links(nodes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of the ``digest`` of ``nodes`` that join those whose fingerprints ``fp`` have one SimHash class."""
+    classes = fingerprint_classes(nodes.select("fp", "digest"), "digest")
+    return join_hot(nodes.select("digest", "fp"), classes, "fp", "n").select(F.col("digest").alias("a"), F.col("component").alias("b")).where("a != b")
 
 
 def near_copy_links(texts: DataFrame, nodes: DataFrame, threshold: float = JACCARD, block: int = BLOCK) -> DataFrame:
@@ -87,10 +100,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs["doc_id"].cast("long").alias("doc_id"))
     numbered = materialize(row.withColumn("rid", F.monotonically_increasing_id()), "rows")
     texts = numbered.select("rid", "doc_id", whole_text("__row.text").alias("text"))
-    sketches = materialize(texts.mapInArrow(_sketches, "rid long, doc_id long, digest long, keys array<long>"), "sketches")
+    sketches = materialize(texts.mapInArrow(give_back(_sketches), "rid long, doc_id long, digest long, keys array<long>, fp long"), "sketches")
     # Ranks stand for ids: the first row of each shingle set, then of each component, by (doc_id, rid).
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
-    first = materialize(sketches.groupBy("digest").agg(least, F.first("keys").alias("keys")), "firsts")
-    roots = connected_components(near_copy_links(texts, first.select("digest", "least.rid", "keys"))).withColumnRenamed("node", "digest")
+    first = materialize(sketches.groupBy("digest").agg(least, F.first("keys").alias("keys"), F.min("fp").alias("fp")), "firsts")
+    discard(sketches)
+    nodes = first.select("digest", "least.rid", "keys", "fp")
+    roots = connected_components(near_copy_links(texts, nodes).unionByName(near_print_links(nodes))).withColumnRenamed("node", "digest")
     kept = first.join(roots, "digest", "left").groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.rid").alias("rid"))
     return numbered.join(kept, "rid", "left_semi").select("__row.*")
