@@ -77,6 +77,48 @@ def test_links_in_blocks_join_what_all_pairs_join():
     assert roots(got) == roots(every) and len(got) < 60
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_nearly_all_like_lines_are_in_one_class(folder, spark):
+    rng = random.Random(23)
+    vocabulary = [f"w{rng.getrandbits(40):x}" for _ in range(5000)]
+    lines = []
+    for _ in range(150):
+        line = words(rng, rng.randint(5, 90), vocabulary).split()
+        lines.append(" ".join(line))
+        for _ in range(2):
+            copy = list(line)
+            for _ in range(rng.randint(0, 1 + len(line) // 60)):
+                copy[rng.choice([0, -1, rng.randrange(len(copy))])] = rng.choice(vocabulary)
+            lines.append(" ".join(copy))
+    docs = [(i, f"{words(rng, 3, vocabulary)}\n{x}\n{words(rng, 4, vocabulary)}") for i, x in enumerate(lines)]
+    d = folder(docs)
+    got = paragraphs.repeated_units(spark.read.parquet(f"{d}/documents.parquet")).where("start_word = 3").collect()
+    of = {}
+    for r in got:
+        of.setdefault(r["doc_id"], set()).add(r["component_id"])
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if i // 3 == j // 3 and jaccard(lines[i], lines[j]) >= 0.8]
+    equal = [(i, j) for i, j in pairs if jaccard(lines[i], lines[j]) == 1]
+    joined = lambda i, j: bool(of.get(i, set()) & of.get(j, set()))
+    assert all(joined(i, j) for i, j in equal) and len(pairs) - len(equal) > 150
+    assert sum(joined(i, j) for i, j in pairs) >= 0.97 * len(pairs)
+    # Lines of one class are like each other, or like others that are: none of different origin here.
+    for i in of:
+        for j in of:
+            assert not joined(i, j) or i // 3 == j // 3
+
+
+def test_repeats_inside_one_document_and_odd_rows(folder, spark, odd):
+    rows = [*odd, (70, "one line of six plain words\nother\none line of six plain words"), (71, "x " * 3)]
+    got = {(r["doc_id"], r["removed"]): r["word_spans"] for r in paragraphs.op1_paragraph_minhash(spark, folder(rows)).collect()}
+    assert got[70, False] == "0:6" and got[70, True] == "7:13"
+    assert got[6, False] == "0:10" and got[7, True] == "0:10"
+    assert {i for i, _ in got} == {6, 7, 9, 70}
+
+
 # -- 2 --------------------------------------------------------------------------------------------
 
 
@@ -117,6 +159,35 @@ def test_base_rules_and_random_strings():
     assert set(base) <= set(spans)
 
 
+def test_columns_are_those_of_the_plain_rules(folder, spark):
+    import tiktoken  # noqa: F401 (the scan needs it)
+
+    rng = random.Random(31)
+    parts = ["password", "Token", "api_key", "apikey", " = ", ": '", '"', "=", " ", "\n", "AKIA", "ABCDEFGH12345678", "deadbeef0123", "0123456789abcdef", "Zq8vK2mN4pX7wR1t", "plain words", "é𝒳", "some_name", "x" * 30, "qzjxkvbwpmtgfhrnqzjxkvbw"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    got = {r["doc_id"]: r for r in secrets.op3_secret_scan(spark, folder(list(enumerate(texts)))).collect()}
+    rules = {"assign": r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+    encode = secrets.encoder(secrets.ranks_path()).encode_ordinary
+    for i, t in enumerate(texts):
+        base = [(m.start(), list(rules).index(k), m.end(), k) for k, p in rules.items() for m in re.finditer(p, t, re.I | re.A if k == "assign" else 0) if {"assign": k == "assign" and len(m[2]) >= 12, "access": len(m[0]) >= 18, "hex": len(m[0]) >= 16}[k]]
+        assert [got[i][f"n_{k}"] for k in rules] == [sum(x[3] == k for x in base) for k in rules]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base)).encode()).hexdigest()
+        free = [not any(s <= k < e for s, _, e, _ in base) for k in range(len(t))]
+        more = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", t):
+            for run in re.finditer("1+", "".join("01"[free[k]] for k in range(*m.span()))):
+                s, e = m.start() + run.start(), m.start() + run.end()
+                if e - s >= 12 and not secrets.DIGEST.fullmatch(t[s:e]) and not secrets.is_identifier(t[s:e]) and e - s < 2.3 * len(encode(t[s:e])):
+                    more.append((s, 3, e, "random"))
+        assert got[i]["spans"] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base + more))
+
+
+def test_what_is_left_beside_a_base_span_is_measured():
+    path = secrets.ranks_path()
+    text = "deadbeefdeadbeefZq8vK2mN4pX7wR1tY6 qzjxkvbwpmtgfhrnqzjxkvbw"
+    assert [text[s:e] for s, e, k in secrets.scan(text, path)[1] if k == "random"] == ["Zq8vK2mN4pX7wR1tY6", "qzjxkvbwpmtgfhrnqzjxkvbw"]
+
+
 def test_kelvin_sign_is_no_letter_of_a_rule():
     assert secrets.base_spans("toKen = abcdefghijklmnop") == []
 
@@ -140,6 +211,32 @@ def test_quality_of_held_out_rows(folder, spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_compiled_score_is_the_fitted_one(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((400, len(quality.FEATURES)))
+    y = ((x[:, 2] > 0.5) & (x[:, 5] < 0.6)).astype(float)
+    model = quality.fit_rules(x, y)
+    raw = np.full(len(x), model.intercept)
+    for rule in model.rules:
+        raw += rule.weight * np.logical_and.reduce([(x[:, f] <= t) == below for f, below, t in rule.terms])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["i", *(f"q_{n}" for n in quality.FEATURES)])
+    got = [r["s"] for r in df.select("i", model.score().alias("s")).orderBy("i").collect()]
+    assert len(model.rules) > 1 and np.allclose(got, 1 / (1 + np.exp(-raw)))
+    assert ((np.array(got) > 0.5) == (y > 0)).mean() > 0.95
+
+
+def test_repeated_ids_are_learnt_from_once(spark):
+    docs = spark.createDataFrame([(i % 7, "word " * (i % 5)) for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(7)], LABELS)
+    seen = []
+    keep, quality.fit_rules = quality.fit_rules, lambda x, y: seen.append((len(x), len(y)))
+    try:
+        quality.fit_quality(docs, labels)
+    finally:
+        quality.fit_rules = keep
+    assert seen == [(sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(7)),) * 2]
+
+
 # -- 5 --------------------------------------------------------------------------------------------
 
 
@@ -220,6 +317,21 @@ def test_base_spans_are_those_of_the_plain_patterns(folder, spark):
         assert set(spans) <= set(got[i]["spans"].split(",")) | {""}
 
 
+def test_long_runs_of_any_pattern(folder, spark):
+    n = 100_000
+    texts = ["a@b" + ".c" * n, "a" * n + "@", "@" * n, "1." * n, "1" * n, "1 " * n, "4-" * n, "+1" + "(" * n, "+" * n, "+1" * n, "123-" * n, "(123) " * n, "1.2.3.4 " * 2000]
+    got = {r["doc_id"]: r for r in pii.op7_pii_weak(spark, folder(list(enumerate(texts)))).collect()}
+    assert got[0]["n_email"] == 1 and got[0]["spans"] == f"email:0:{3 + 2 * n}"
+    assert got[12]["n_ip"] == 2000
+
+
+def test_further_kinds_follow_their_context(folder, spark):
+    texts = [f"call ({200 + i}) 555-{1000 + i} now" for i in range(60)] + [f"phone: {300 + i}-555-{2000 + i}." for i in range(60)] + [f"order {100 + i % 80} 1{i % 90:02d} {3000 + i}x" for i in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in pii.op7_pii_weak(spark, folder(list(enumerate(texts)))).collect()}
+    assert sum("local:" in got[i] for i in range(120)) >= 114
+    assert not any("local:" in got[i] for i in range(120, 180))
+
+
 def test_estimate_trusts_labelers_that_agree():
     rows = [("local", (1, 0, 1, 1, 0), 90), ("local", (-1, 0, 0, -1, 0), 60), ("local", (1, 0, -1, 1, 0), 3)]
     trust, post = pii.estimate(rows)
@@ -319,6 +431,25 @@ def test_rounds_up_the_tree_fill_the_sequences(spark):
     assert got.select("sequence_id").distinct().count() <= 1.01 * least + 1
 
 
+def test_bins_that_cannot_merge_end_the_tree(spark):
+    rows = [(i, 0, 0, 2500, i) for i in range(3000)] + [(9000 + i, 0, 0, 1, i) for i in range(5)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), items_per_task=100)
+    assert got.count() == 3005 and got.select("sequence_id").distinct().count() == 3000
+
+
+def test_other_vocabularies_are_encoded_whole():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a b": 5, "[U]": 0, "a": 1, "b": 2}, "[U]"))
+    t.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        f.write(t.to_str())
+        f.flush()
+        assert packing.WordIds(f.name)("a b,a") == np.array([5, 1], "<u4").tobytes()
+
+
 # -- 10 -------------------------------------------------------------------------------------------
 
 
