@@ -1,6 +1,6 @@
-"""Normalisers from free text to typed values as decimal and ISO strings.
+"""What the normalisers share: a name for a value, and their result ``value, status, warnings``.
 
-Each returns a struct ``value, status, warnings``; status is ``ok``, ``missing``, ``invalid`` or ``ambiguous``.
+The status is ``ok``, ``missing``, ``invalid`` or ``ambiguous``.
 """
 
 from __future__ import annotations
@@ -10,9 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DMY = "([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{2,4})"
-ISO = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value`` worked out once: the optimiser would otherwise copy it to every use."""
@@ -26,85 +23,3 @@ def result(value: Column, status: Column, warnings: Column | None = None) -> Col
 def strip_zeros(c: Column) -> Column:
     """A decimal string without zeros after the last digit that counts."""
     return F.when(c.contains("."), F.regexp_replace(F.regexp_replace(c, "0+$", ""), "[.]$", "")).otherwise(c)
-
-
-def fix_numeric_ocr(c: Column) -> Column:
-    """``O`` as 0 and ``l I |`` as 1, only in tokens that hold a digit."""
-    return F.array_join(F.transform(F.split(c, " "), lambda t: F.when(t.rlike("[0-9]"), F.translate(t, "OolI|", "00111")).otherwise(t)), " ")
-
-
-def plain_amount(number: Column) -> Column:
-    """A number with group and decimal marks as a plain decimal string, null if it is none.
-
-    Both marks: the last is the decimal one.  One mark repeated: groups.  One mark once: decimal
-    unless exactly three digits follow.
-    """
-
-    def plain(token: Column) -> Column:
-        dots, commas = (F.char_length(token) - F.char_length(F.replace(token, F.lit(m))) for m in ".,")
-        last_dot = F.char_length(token) - F.instr(F.reverse(token), ".")
-        last_comma = F.char_length(token) - F.instr(F.reverse(token), ",")
-        both = F.when(last_dot > last_comma, F.replace(token, F.lit(","))).otherwise(F.replace(F.replace(token, F.lit(".")), F.lit(","), F.lit(".")))
-        one = lambda m, n: F.when((n > 1) | token.rlike(f"^-?[0-9]{{1,3}}[{m}][0-9]{{3}}$"), F.replace(token, F.lit(m))).otherwise(F.replace(token, F.lit(m), F.lit(".")))
-        return F.when((dots > 0) & (commas > 0), both).when(dots > 0, one(".", dots)).when(commas > 0, one(",", commas)).otherwise(token)
-
-    return let(let(number, plain), lambda x: F.when(x.rlike("^-?[0-9]+([.][0-9]+)?$"), x))
-
-
-def normalize_amount(raw: Column) -> Column:
-    """One number: its plain form without ``.00``; several: ambiguous; zero or less warns."""
-    tokens = F.regexp_extract_all(fix_numeric_ocr(raw), F.lit("-?[0-9][0-9.,]*[0-9]|-?[0-9]"), F.lit(0))
-
-    def read(ts: Column) -> Column:
-        one = F.when(F.size(ts) == 1, plain_amount(F.get(ts, F.lit(0))))
-        return let(one, lambda value: finish(ts, value))
-
-    def finish(ts: Column, value: Column) -> Column:
-        status = F.when(ts.isNull() | (F.trim(raw) == ""), "missing").when(F.size(ts) > 1, "ambiguous").when(value.isNull(), "invalid").otherwise("ok")
-        warn = F.when(value.try_cast("decimal(30,6)") <= 0, F.array(F.lit("non_positive")))
-        return result(strip_zeros(value), status, warn)
-
-    return let(tokens, read)
-
-
-def normalize_quantity(raw: Column) -> Column:
-    """One to three digits after the mark are decimals: ``10.000`` is 10."""
-    t = F.replace(F.trim(raw), F.lit(","), F.lit("."))
-    status = F.when(raw.isNull() | (F.trim(raw) == ""), "missing").when(t.rlike("^[0-9]+([.][0-9]{1,3})?$"), "ok").otherwise("invalid")
-    return result(F.when(status == "ok", strip_zeros(t)), status)
-
-
-def normalize_date(raw: Column, day_first: bool = True) -> Column:
-    """ISO dates shadow local ones; more than one distinct date is ambiguous; two-digit years are invalid."""
-    iso = F.regexp_extract_all(raw, F.lit(f"({ISO})"), F.lit(1))
-    rest = F.regexp_replace(raw, ISO, " ")
-    local = F.regexp_extract_all(rest, F.lit(f"(?<![0-9])({DMY})(?![0-9])"), F.lit(1))
-
-    def parsed(x: Column) -> Column:
-        p = lambda i: F.regexp_extract(x, f"^{DMY}$", i)
-        d, m = (p(1), p(2)) if day_first else (p(2), p(1))
-        return F.when(F.char_length(p(3)) == 4, F.try_to_date(F.concat_ws("-", p(3), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"))
-
-    found = F.array_distinct(F.concat(F.transform(iso, lambda x: F.try_to_date(x, "yyyy-MM-dd")), F.transform(local, parsed)))
-    blank = raw.isNull() | (F.trim(raw) == "")
-
-    def finish(good: Column) -> Column:
-        status = F.when(blank, "missing").when(F.size(good) == 0, "invalid").when(F.size(good) > 1, "ambiguous").otherwise("ok")
-        return result(F.when(F.size(good) == 1, F.date_format(F.get(good, F.lit(0)), "yyyy-MM-dd")), status)
-
-    return let(F.filter(found, lambda x: x.isNotNull()), finish)
-
-
-def normalize_timestamp(raw: Column) -> Column:
-    """The first date and the first clock after it, else midnight with a warning."""
-    day = normalize_date(F.regexp_extract(raw, f"({ISO}|{DMY})", 1))
-    clock = F.regexp_extract(raw, "([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)", 1)
-    full = F.when(clock == "", "00:00:00").when(F.char_length(clock) <= 5, F.concat(F.lpad(clock, 5, "0"), F.lit(":00"))).otherwise(F.lpad(clock, 8, "0"))
-    blank = raw.isNull() | (F.trim(raw) == "")
-
-    def finish(d: Column) -> Column:
-        value = F.try_to_timestamp(F.concat_ws(" ", d["value"], full), F.lit("yyyy-MM-dd HH:mm:ss"))
-        status = F.when(blank, "missing").when((d["status"] != "ok") | value.isNull(), "invalid").otherwise("ok")
-        return result(F.when(status == "ok", F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")), status, F.when((status == "ok") & (clock == ""), F.array(F.lit("time_missing"))))
-
-    return let(day, finish)

@@ -13,7 +13,10 @@ from pyspark.sql.types import StringType
 MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđäëïöüñçîûå"
 PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyydaeiounciua"
 #: Look-alike characters in labels.
-LOOK_ALIKES = {"–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"', " ": " "}
+LOOK_ALIKES = {"–": "-", "—": "-", "\u2010": "-", "×": "x", "“": '"', "”": '"', "‘": "'", "’": "'", "\u00a0": " "}
+#: Characters that composition leaves alone and that begin no composition with one another: Latin as far as
+#: U+02FF, Latin Extended Additional (U+1E9B and U+1E9A aside), dashes, quotes and currency signs.
+INERT = "\\x00-\u02ff\u1e00-\u1e99\u1ea0-\u1eff\u2010-\u2027\u20a0-\u20bf"
 SPACES = "[ \\t\\n\\r\\f]+"
 
 
@@ -24,8 +27,15 @@ def nfc(s: pd.Series) -> pd.Series:
 
 
 def compose(c: Column) -> Column:
-    """NFC, through Python only for texts with combining marks."""
-    return F.when(c.rlike("\\p{M}"), nfc(c)).otherwise(c)
+    """NFC, through Python only for texts with a character that composition may change."""
+    return F.when(c.rlike(f"[^{INERT}]"), nfc(c)).otherwise(c)
+
+
+@F.pandas_udf(StringType())
+def without_marks(s: pd.Series) -> pd.Series:
+    """Decomposed text without its marks."""
+    strip = lambda x: "".join(ch for ch in unicodedata.normalize("NFD", x) if unicodedata.category(ch) != "Mn")
+    return s.map(lambda x: None if x is None else strip(x))
 
 
 def collapse(c: Column) -> Column:
@@ -47,8 +57,9 @@ def match_key(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks, ``đ`` as ``d``."""
-    return F.translate(F.lower(c), MARKED, PLAIN)
+    """Lower case without marks, ``đ`` as ``d``: by a table of letters, through Python where another character stands."""
+    low = F.translate(F.lower(c), MARKED, PLAIN)
+    return F.when(low.rlike("[^\\x00-\\x7f]"), without_marks(low)).otherwise(low)
 
 
 def digits(c: Column) -> Column:
@@ -56,6 +67,8 @@ def digits(c: Column) -> Column:
 
 
 def clean_label(c: Column) -> Column:
+    """In canonical form, look-alikes replaced."""
+    c = canonical_raw(c)
     return F.translate(c, "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values()))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..functions.fields import amount_field, quantity_field
 from .lineitems import infer_quantity
 from .tagging import best_overlap, collect_warnings
 
@@ -34,15 +35,23 @@ def polygon_error(flat: Column, width: Column, height: Column) -> Column:
     ys = F.filter(flat, lambda _, i: i % 2 == 1)
     return (
         F.when(flat.isNull() | (n < 6) | (n % 2 == 1), "TOO_FEW_POINTS")
-        .when(F.exists(flat, lambda v: v.isNull() | F.isnan(v)), "NOT_FINITE")
+        .when(F.exists(flat, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), "NOT_FINITE")
         .when((F.array_min(xs) < 0) | (F.array_min(ys) < 0) | (F.array_max(xs) > width) | (F.array_max(ys) > height), "OUT_OF_IMAGE")
-        .when((F.array_max(xs) <= F.array_min(xs)) | (F.array_max(ys) <= F.array_min(ys)), "ZERO_AREA")
+        .when(F.abs(polygon_area(xs, ys)) < 1e-9, "ZERO_AREA")
     )
 
 
+def polygon_area(xs: Column, ys: Column) -> Column:
+    """The signed area inside the points, by the trapezoids below its edges."""
+    after = lambda c: F.concat(F.slice(c, F.lit(2), F.size(c)), F.slice(c, F.lit(1), F.lit(1)))
+    each = F.zip_with(F.zip_with(xs, after(xs), lambda a, b: b - a), F.zip_with(ys, after(ys), lambda a, b: a + b), lambda w, h: w * h / 2)
+    return F.aggregate(each, F.lit(0.0), lambda s, v: s + v)
+
+
 def decode_literal_list(cell: Column, element: str) -> Column:
-    """A list in Python notation: single quotes and ``None`` read as JSON does double ones and ``null``."""
-    return F.from_json(F.regexp_replace(cell, "\\bNone\\b", "null"), f"array<{element}>", {"allowSingleQuotes": "true"})
+    """A list in Python notation: single quotes and ``None`` (outside quotes) read as JSON does double ones and ``null``."""
+    outside = F.regexp_replace(cell, "\\bNone\\b(?=(?:[^'\"]|'(?:[^'\\\\]|\\\\.)*+'|\"(?:[^\"\\\\]|\\\\.)*+\")*+$)", "null")
+    return F.from_json(outside, f"array<{element}>", {"allowSingleQuotes": "true"})
 
 
 def canonical_lines(lines: DataFrame, text: str, score: str) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +112,7 @@ def first_subtoken_labels(words: DataFrame, keys: list[str], pieces: Column, tag
 
 def postprocess(items: DataFrame, doc: str, item: str, quantity: str, price: str, total: str) -> DataFrame:
     """Per document a message of normalised items: amounts as plain strings, quantities inferred where missing, warnings."""
-    read = F.struct(F.col(item).alias("item"), N.normalize_quantity(F.col(quantity)).alias("q"), N.normalize_amount(F.col(price)).alias("p"), N.normalize_amount(F.col(total)).alias("t"))
+    read = F.struct(F.col(item).alias("item"), quantity_field(F.col(quantity)).alias("q"), amount_field(F.col(price), F.lit("vi-VN")).alias("p"), amount_field(F.col(total), F.lit("vi-VN")).alias("t"))
     dec = lambda c: F.coalesce(c.try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
 
     def finish(x: Column) -> Column:

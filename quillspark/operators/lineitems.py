@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from statistics import median
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import fold_sorted
+from .sequence import row_bands
 
 
 def infer_quantity(quantity: Column, price: Column, total: Column) -> Column:
@@ -39,73 +38,149 @@ def align_to_anchors(values: list[float], anchors: list[float], gap: float) -> l
     return out
 
 
-def group_by_anchors(entities: DataFrame, doc: str, label: str, y: str, ref: str, numeric: list[str], gap: float) -> DataFrame:
-    """``doc, item_no, label, ref``: the most frequent numeric label gives the anchors, the others align to them.
+#: Numeric labels in the order in which ties between them go, the label of names, and the costs
+#: (in heights of a line) of a skipped value, an anchor without a name and a head that reads like a continuation.
+NUMERIC, NAME = ("LINE_TOTAL", "UNIT_PRICE", "QUANTITY"), "ITEM_NAME"
+GAP, NO_NAME, CONTINUES, NAME_LINES = 2.5, 4.0, 1.0, 4
+
+
+def name_owners(places: list[float], anchors: list[float], extra: list[float]) -> tuple[float, list[int]]:
+    """Cost and the anchor of each name line: every anchor takes the next run of lines, or none."""
+    states: list[tuple[float, tuple | None]] = [(0.0, None)] + [(float("inf"), None)] * len(places)
+    for k, anchor in enumerate(anchors):
+        states = [
+            min([(cost + NO_NAME, runs), *((states[j][0] + abs(places[j] - anchor) + extra[j], (k, j, i, states[j][1])) for j in range(max(0, i - NAME_LINES), i))], key=lambda x: x[0])
+            for i, (cost, runs) in enumerate(states)
+        ]
+    cost, runs = states[-1]
+    owner = [0] * len(places)
+    while runs:
+        k, first, end, runs = runs
+        owner[first:end] = [k] * (end - first)
+    return cost, owner
+
+
+def anchored_items(entities: list[tuple]) -> list[list[int]]:
+    """Positions of ``(label, text, x0, y0, x1, y1)`` by items: the most frequent numeric label anchors them.
+
+    The other numbers align to the anchors at the upper median of their offsets; those that do not are
+    items of their own, at the end.  Name lines fall to anchors in runs, at the offset that costs least.
+    """
+    middle = [(e[3] + e[5]) / 2 for e in entities]
+    by = {n: sorted((i for i, e in enumerate(entities) if e[0] == n), key=middle.__getitem__) for n in NUMERIC}
+    first = max(NUMERIC, key=lambda n: len(by[n]))
+    places = [middle[i] for i in by[first]]
+    heights = sorted(e[5] - e[3] for e in entities)
+    unit = max(1.0, heights[len(heights) // 2])
+    items, alone = [[i] for i in by[first]], []
+    for n in NUMERIC:
+        if n != first and by[n]:
+            ys = [middle[i] for i in by[n]]
+            offset = sorted(min((y - a for a in places), key=abs) for y in ys)[len(ys) // 2]
+            for i, k in zip(by[n], align_to_anchors([(y - offset) / unit for y in ys], [a / unit for a in places], GAP), strict=True):
+                (items[k] if k >= 0 else alone).append(i if k >= 0 else [i])
+    order = [i for row in row_bands([e[2:6] for e in entities]) for i in row if entities[i][0] == NAME]
+    if order:
+        ys = [middle[i] for i in order]
+        starts = [(entities[i][1] or "").strip()[:1] for i in order]
+        extra = [CONTINUES if s.islower() or s in ("(", "[") else 0.0 for s in starts]
+        step = unit / 4
+        tried = sorted({round((y - a) / step) * step for y in ys for a in places if abs(y - a) <= 4 * unit}) or [0.0]
+        _, _, owner = min(((cost, abs(d), own) for d in tried for cost, own in [name_owners([(y - d) / unit for y in ys], [a / unit for a in places], extra)]), key=lambda x: x[:2])
+        for i, k in zip(order, owner, strict=True):
+            items[k].append(i)
+    return items + alone
+
+
+def walked_items(entities: list[tuple]) -> list[list[int]]:
+    """The same without numbers to anchor on: rows in reading order open items or go on with the last.
+
+    Inline layouts (half the rows with a name hold numbers) open an item at a row with both, others at a
+    name after numbers; a row of numbers goes on unless a label of it is there already.
+    """
+    rows = row_bands([e[2:6] for e in entities])
+    label = lambda i: entities[i][0]
+    named = [r for r in rows if any(label(i) == NAME for i in r)]
+    inline = not named or 2 * sum(any(label(i) in NUMERIC for i in r) for r in named) >= len(named)
+    items: list[list[int]] = []
+    for row in rows:
+        now = {label(i) for i in row}
+        have = {label(i) for i in items[-1]} if items else set()
+        name, numbers, counted = NAME in now, now & set(NUMERIC), have & set(NUMERIC)
+        if name and numbers:
+            goes_on = not inline and NAME in have and not counted
+        elif name:
+            goes_on = inline or not counted
+        else:
+            goes_on = not numbers & have
+        if items and goes_on:
+            items[-1] += row
+        else:
+            items.append(list(row))
+    return items
+
+
+def group_line_items(entities: DataFrame, doc: str, ref: str, label: str, text: str, box: tuple[str, str, str, str]) -> DataFrame:
+    """``doc, item_no, label, ref, method`` of names and numbers: ``anchored`` where a document has numbers, else ``rows``.
 
-    Ties between labels go by their order in ``numeric``; other labels follow the median offset of
-    their sort of entity to the nearest anchor.
+    No entity of these labels is lost.  A fold over one document's entities.
     """
 
     def fold(rows: list[tuple]) -> list[tuple]:
-        by: dict[str, list[tuple]] = {}
-        for _, name, place, r in rows:
-            by.setdefault(name, []).append((place, r))
-        names = [n for n in numeric if n in by]
-        if not names:
-            return []
-        anchors = [p for p, _ in by[max(names, key=lambda n: (len(by[n]), -numeric.index(n)))]]
-        out = []
-        for name, part in sorted(by.items()):
-            offset = median(min((p - a for a in anchors), key=abs) for p, _ in part)
-            for (_, r), k in zip(part, align_to_anchors([p - offset for p, _ in part], anchors, gap), strict=True):
-                if k >= 0:
-                    out.append((rows[0][0], k + 1, name, r))
-        return out
+        found = [r[2:8] for r in rows]
+        anchored = any(e[0] in NUMERIC for e in found)
+        items = (anchored_items if anchored else walked_items)(found)
+        return [(rows[i][0], n, rows[i][2], rows[i][1], "anchored" if anchored else "rows") for n, item in enumerate(items, 1) for i in sorted(item)]
 
     kinds = dict(entities.dtypes)
-    return fold_sorted(entities.select(doc, label, y, ref), [doc], [y, ref, label], fold, f"{doc} {kinds[doc]}, item_no int, {label} {kinds[label]}, {ref} {kinds[ref]}")
+    wanted = entities.where(F.col(label).isin(*NUMERIC, NAME)).select(doc, ref, label, text, *box)
+    return fold_sorted(wanted, [doc], [ref, label, *box], fold, f"{doc} {kinds[doc]}, item_no int, {label} {kinds[label]}, {ref} {kinds[ref]}, method string")
 
 
 def greedy_match(gold: DataFrame, pred: DataFrame, doc: str, item: str, cells: list[str]) -> DataFrame:
-    """``doc, gold_item, pred_item``: each gold item, in order, takes the unused predicted item with most equal cells.
+    """``doc, gold_item, pred_item, equal_cells``: each gold item, in order, takes the unused predicted item with most equal cells.
 
-    No equal cell, no match; of equally good ones the earliest.  Null cells never agree.  A fold over
-    one document's items.
+    Of equally good ones the earliest; without an equal cell none (a missed item), and predictions that
+    are left stand alone (extra items).  Null cells never agree.  A fold over one document's items.
     """
     g = gold.select(doc, item, *cells).withColumn("__side", F.lit(0))
     p = pred.select(doc, item, *cells).withColumn("__side", F.lit(1))
 
     def fold(rows: list[tuple]) -> list[tuple]:
         left, right = ([r[1:-1] for r in rows if r[-1] == k] for k in (0, 1))
-        used, out = set(), []
+        free, out = list(range(len(right))), []
         for a in left:
-            best, at = 0, -1
-            for k, b in enumerate(right):
-                same = 0 if k in used else sum(x == y and x is not None for x, y in zip(a[1:], b[1:], strict=True))
-                if same > best:
-                    best, at = same, k
-            if at >= 0:
-                used.add(at)
-                out.append((rows[0][0], a[0], right[at][0], best))
-        return out
+            same = {k: sum(x == y and x is not None for x, y in zip(a[1:], right[k][1:], strict=True)) for k in free}
+            best = max(free, key=same.__getitem__, default=None)
+            if best is None or not same[best]:
+                out.append((rows[0][0], a[0], None, 0))
+            else:
+                free.remove(best)
+                out.append((rows[0][0], a[0], right[best][0], same[best]))
+        return out + [(rows[0][0], None, right[k][0], 0) for k in free]
 
     kinds = dict(gold.dtypes)
     return fold_sorted(g.unionByName(p), [doc], [item, *cells], fold, f"{doc} {kinds[doc]}, gold_item {kinds[item]}, pred_item {kinds[item]}, equal_cells int")
 
 
-def number_roles(numbers: DataFrame, row: list[str], x: str, value: str, tolerance: float = 1.0) -> DataFrame:
-    """``row, total, quantity, price``: the rightmost number is the total; of the others on its left the
-    first pair, by place, whose product gives it to within ``tolerance`` is quantity and price.
+def number_roles(numbers: DataFrame, row: list[str], x: str, value: str, money: str, tolerance: float = 1.0) -> DataFrame:
+    """``row, total, quantity, price`` of rows with a money value: the rightmost is the total.
 
-    Pairs are made among the numbers of one row of one document, which are a handful.
+    Of the other numbers (nulls and zeros aside) the first pair in either order, by the place of the
+    quantity, then of the price, whose product gives the total to within ``tolerance`` is quantity and
+    price; else the first number that is no money is the quantity and the last money the price.  Pairs
+    are made among the numbers of one row of one document, which are a handful.
     """
-    right = numbers.groupBy(*row).agg(F.max_by(value, x).alias("total"), F.max(x).alias("last"))
-    rest = numbers.join(right, row).where(F.col(x) < F.col("last"))
+    whole = numbers.where(F.col(value).isNotNull() & (F.col(value) != 0))
+    right = whole.where(F.col(money)).groupBy(*row).agg(F.max_by(value, x).alias("total"), F.max(x).alias("last"))
+    rest = whole.join(right, row).where(F.col(x) != F.col("last"))
+    fall = rest.groupBy(*row).agg(F.min_by(value, F.when(~F.col(money), F.col(x))).alias("small"), F.max_by(value, F.when(F.col(money), F.col(x))).alias("dear"))
     q = rest.select(*row, "total", F.col(x).alias("qx"), F.col(value).alias("q"))
     p = rest.select(*row, F.col(x).alias("px"), F.col(value).alias("p"))
-    fit = q.join(p, row).where((F.col("qx") < F.col("px")) & (F.abs(F.col("q") * F.col("p") - F.col("total")) <= tolerance))
+    fit = q.join(p, row).where((F.col("qx") != F.col("px")) & (F.abs(F.col("q") * F.col("p") - F.col("total")) <= tolerance))
     best = fit.groupBy(*row).agg(F.min_by(F.struct("q", "p"), F.struct("qx", "px")).alias("b"))
-    return right.join(best, row, "left").select(*row, "total", F.col("b.q").alias("quantity"), F.col("b.p").alias("price"))
+    pick = lambda pair, other: F.when(F.col("b").isNotNull(), F.col(pair)).otherwise(F.col(other))
+    return right.join(best, row, "left").join(fall, row, "left").select(*row, "total", pick("b.q", "small").alias("quantity"), pick("b.p", "dear").alias("price"))
 
 
 def cell_errors(gold: DataFrame, pred: DataFrame, keys: list[str], cells: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,82 +56,86 @@ def nearest_later_first(left: DataFrame, right: DataFrame, key: str, at: str, ot
     return found.select(*left.columns, pick["o"].alias("nearest"), pick["g"].alias("distance_us"))
 
 
-def band_rows(boxes: DataFrame, doc: str, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
-    """``boxes`` with ``row_no`` and ``col_no``: reading order by bands.
+def row_bands(boxes: list[tuple[float, float, float, float]]) -> list[list[int]]:
+    """Positions of ``x0, y0, x1, y1`` boxes in reading order, by rows.
 
-    Boxes by centre; one joins the current band if they overlap by half the smaller height, and the
-    band is the running mean of its members.  A fold over one document's boxes, which are few.
+    Boxes are taken by centre, then left edge; one joins the current band if they overlap by half the
+    smaller height, and the band is the running mean of its members.
     """
-    centred = boxes.withColumn("__c", (F.col(y0) + F.col(y1)) / 2)
-    at = {c: boxes.columns.index(c) for c in (x0, y0, y1)}
+    rows: list[list[int]] = []
+    top = bottom = 0.0
+    for i in sorted(range(len(boxes)), key=lambda i: (boxes[i][1] + boxes[i][3], boxes[i][0])):
+        _, a, _, b = boxes[i]
+        if rows and min(b, bottom) - max(a, top) >= 0.5 * min(b - a, bottom - top):
+            n = len(rows[-1])
+            top, bottom = (top * n + a) / (n + 1), (bottom * n + b) / (n + 1)
+            rows[-1].append(i)
+        else:
+            top, bottom = a, b
+            rows.append([i])
+    return [sorted(row, key=lambda i: boxes[i][0]) for row in rows]
+
+
+def band_rows(boxes: DataFrame, doc: str, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """``boxes`` with ``row_no`` and ``col_no`` by :func:`row_bands`: a fold over one document's boxes, which are few."""
+    at = [boxes.columns.index(c) for c in (x0, y0, x1, y1)]
 
     def fold(rows: list[tuple]) -> list[tuple]:
-        bands: list[list[tuple]] = []
-        top = bottom = 0.0
-        for r in rows:
-            a, b = r[at[y0]], r[at[y1]]
-            if bands and min(b, bottom) - max(a, top) >= 0.5 * min(b - a, bottom - top):
-                n = len(bands[-1])
-                top, bottom = (top * n + a) / (n + 1), (bottom * n + b) / (n + 1)
-                bands[-1].append(r)
-            else:
-                top, bottom = a, b
-                bands.append([r])
-        return [(*r[:-1], k, j) for k, band in enumerate(bands) for j, r in enumerate(sorted(band, key=lambda r: r[at[x0]]))]
+        found = row_bands([tuple(r[k] for k in at) for r in rows])
+        return [(*rows[i], k, j) for k, row in enumerate(found) for j, i in enumerate(row)]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in boxes.dtypes) + ", row_no int, col_no int"
-    return fold_sorted(centred, [doc], ["__c", x0, *(c for c in boxes.columns if c not in (doc, x0))], fold, schema)
+    return fold_sorted(boxes, [doc], [x0, *(c for c in boxes.columns if c not in (doc, x0))], fold, schema)
 
 
 def union_bands(boxes: DataFrame, doc: str, x0: str, y0: str, y1: str) -> DataFrame:
-    """The adapter's order: a box joins the band it overlaps most (at least half its height), and bands grow to the union."""
+    """The adapter's order: boxes by centre, then left edge; one joins the band it overlaps most (half the smaller
+    height at least, of equal ones the first), and bands grow to the union; bands are read by top, then left edge."""
     at = {c: boxes.columns.index(c) for c in (x0, y0, y1)}
 
     def fold(rows: list[tuple]) -> list[tuple]:
         bands: list[list] = []
         for r in rows:
             a, b = r[at[y0]], r[at[y1]]
-            best, share = None, 0.5
-            for band in bands:
-                s = (min(b, band[1]) - max(a, band[0])) / max(1e-9, min(b - a, band[1] - band[0]))
-                if s > share or (best is None and s >= share):
-                    best, share = band, s
+            shared = [max(0.0, min(b, band[1]) - max(a, band[0])) / max(1e-9, min(b - a, band[1] - band[0])) for band in bands]
+            best = bands[shared.index(max(shared))] if shared and max(shared) >= 0.5 else None
             if best is None:
                 bands.append([a, b, [r]])
             else:
                 best[0], best[1] = min(best[0], a), max(best[1], b)
                 best[2].append(r)
         bands.sort(key=lambda x: (x[0], min(r[at[x0]] for r in x[2])))
-        flat = [(r, k) for k, band in enumerate(bands) for r in sorted(band[2], key=lambda r: r[at[x0]])]
-        return [(*r, k, n) for n, (r, k) in enumerate(flat)]
+        flat = [(r, k) for k, band in enumerate(bands) for r in sorted(band[2], key=lambda r: (r[at[x0]], r[at[y0]]))]
+        return [(*r[:-1], k, n) for n, (r, k) in enumerate(flat)]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in boxes.dtypes) + ", row_no int, reading_order int"
-    return fold_sorted(boxes, [doc], [y0, x0, *(c for c in boxes.columns if c not in (doc, x0, y0))], fold, schema)
+    centred = boxes.withColumn("__c", F.col(y0) + F.col(y1))
+    return fold_sorted(centred, [doc], ["__c", x0, *(c for c in boxes.columns if c not in (doc, x0))], fold, schema)
+
+
+def window_bounds(sizes: list[int], budget: int, overlap: int) -> list[tuple[int, int]]:
+    """``(first, beyond the last)`` of windows over items of ``sizes``, by sums up to each item.
+
+    A window takes what fits the budget, one item at least; the next begins at the earliest later item
+    from which on at most ``overlap`` is shared.
+    """
+    upto = [0, *accumulate(sizes)]
+    out = [(0, max(1, bisect_right(upto, budget) - 1))] if sizes else []
+    while out and out[-1][1] < len(sizes):
+        first, end = out[-1]
+        first = bisect_left(upto, upto[end] - overlap, first + 1, end)
+        out.append((first, max(first + 1, bisect_right(upto, upto[first] + budget, first) - 1)))
+    return out
 
 
 def plan_windows(words: DataFrame, doc: str, pos: str, tokens: str, budget: int, overlap: int) -> DataFrame:
-    """``doc, window, first, last`` of windows of at most ``budget`` tokens that overlap by at least ``overlap`` where they can.
+    """``doc, window, first, last`` of windows of at most ``budget`` tokens that share at most ``overlap`` with the one before.
 
     Windows begin and end at words; a word longer than the budget has a window of its own.
     """
 
     def fold(rows: list[tuple]) -> list[tuple]:
-        key, at, n = rows[0][0], [r[1] for r in rows], [r[2] for r in rows]
-        out, start = [], 0
-        while start < len(n):
-            end, total = start, 0
-            while end < len(n) and (end == start or total + n[end] <= budget):
-                total += n[end]
-                end += 1
-            out.append((key, len(out), at[start], at[end - 1]))
-            if end >= len(n):
-                break
-            back, kept = end, 0
-            while back > start + 1 and kept < overlap:
-                back -= 1
-                kept += n[back]
-            start = back
-        return out
+        return [(rows[0][0], k, rows[a][1], rows[b - 1][1]) for k, (a, b) in enumerate(window_bounds([r[2] for r in rows], budget, overlap))]
 
     kinds = dict(words.dtypes)
     return fold_sorted(words.select(doc, pos, tokens), [doc], [pos], fold, f"{doc} {kinds[doc]}, window int, first {kinds[pos]}, last {kinds[pos]}")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions import normalize as N
+from ..functions import fields
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import graph, lineitems, linkage, sequence, splits
@@ -315,13 +315,13 @@ def record_linkage_key(spark, sf_dir):
 
 @query("""with a as (select l_orderkey, l_linenumber, l_extendedprice as v, case l_linenumber % 3 when 0 then printf('%.2f', l_extendedprice)
   when 1 then printf('%,.2f', l_extendedprice) else replace(replace(replace(printf('%,.2f', l_extendedprice), ',', '#'), '.', ','), '#', '.') end as raw from lineitem)
-select raw, 'ok' as status, regexp_replace(regexp_replace(printf('%.2f', v), '0+$', ''), '[.]$', '') as value, count(*) as n from a group by all""")
+select raw, 'ok' as status, regexp_replace(printf('%.2f', v), '[.]0+$', '') as value, count(*) as n from a group by all""")
 def amount_normalize(spark, sf_dir):
     """Prices written plain, with English and with continental marks, read back."""
     p, k = F.format_string("%.2f", "l_extendedprice"), F.col("l_linenumber") % 3
     en = F.format_string("%,.2f", "l_extendedprice")
     raw = F.when(k == 0, p).when(k == 1, en).otherwise(F.translate(en, ",.", ".,"))
-    a = table(spark, sf_dir, "lineitem").select(raw.alias("raw")).withColumn("r", N.normalize_amount(F.col("raw")))
+    a = table(spark, sf_dir, "lineitem").select(raw.alias("raw")).withColumn("r", fields.amount_field(F.col("raw"), F.lit("vi-VN")))
     return a.groupBy("raw", F.col("r.status").alias("status"), F.col("r.value").alias("value")).agg(F.count("*").alias("n"))
 
 
@@ -330,19 +330,19 @@ select case when raw = '' then 'missing' when starts_with(raw, 'x') then 'invali
 def quantity_normalize(spark, sf_dir):
     """Quantities with three decimals, some empty or malformed."""
     raw = F.when(F.col("l_orderkey") % 11 == 0, "").when(F.col("l_orderkey") % 11 == 1, F.concat(F.lit("x"), F.col("l_linenumber").cast("string"))).otherwise(F.format_string("%.3f", "l_quantity"))
-    q = table(spark, sf_dir, "lineitem").select(N.normalize_quantity(raw).alias("r"))
+    q = table(spark, sf_dir, "lineitem").select(fields.quantity_field(raw).alias("r"))
     return q.groupBy(F.col("r.status").alias("status"), F.col("r.value").alias("value")).agg(F.count("*").alias("n"))
 
 
 @query("""with d as (select o_orderkey, case o_orderkey % 5 when 0 then strftime(o_orderdate, '%d/%m/%Y') when 1 then 'on ' || strftime(o_orderdate, '%Y-%m-%d') when 2 then strftime(o_orderdate, '%d/%m/%y')
   when 3 then strftime(o_orderdate, '%d-%m-%Y') || ' or 1999-12-31' else strftime(o_orderdate, '%d.%m.%Y') end as raw, o_orderkey % 5 as k, strftime(o_orderdate, '%Y-%m-%d') as iso from orders)
-select case k when 2 then 'invalid' when 3 then case when iso = '1999-12-31' then 'ok' else 'ambiguous' end else 'ok' end as status, case when k in (0, 1, 4) or (k = 3 and iso = '1999-12-31') then iso end as value, count(*) as n from d group by 1, 2""")
+select case k when 2 then 'invalid' when 3 then 'ambiguous' else 'ok' end as status, case when k in (0, 1, 4) then iso end as value, count(*) as n from d group by 1, 2""")
 def date_normalize(spark, sf_dir):
     """Order dates written five ways: two-digit years are invalid, two dates ambiguous."""
     k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
     f = lambda p: F.date_format(d, p)
     raw = F.when(k == 0, f("dd/MM/yyyy")).when(k == 1, F.concat(F.lit("on "), f("yyyy-MM-dd"))).when(k == 2, f("dd/MM/yy")).when(k == 3, F.concat(f("dd-MM-yyyy"), F.lit(" or 1999-12-31"))).otherwise(f("dd.MM.yyyy"))
-    r = table(spark, sf_dir, "orders").select(N.normalize_date(raw).alias("r"))
+    r = table(spark, sf_dir, "orders").select(fields.date_field(raw, F.lit("vi-VN")).alias("r"))
     return r.groupBy(F.col("r.status").alias("status"), F.col("r.value").alias("value")).agg(F.count("*").alias("n"))
 
 
@@ -353,7 +353,7 @@ def timestamp_normalize(spark, sf_dir):
     k = F.col("event_id") % 4
     f = lambda p: F.date_format("ts", p)
     raw = F.when(k == 0, f("dd/MM/yyyy HH:mm:ss")).when(k == 1, f("yyyy-MM-dd")).when(k == 2, f("dd-MM-yyyy HH:mm")).otherwise("")
-    r = table(spark, sf_dir, "events").select(N.normalize_timestamp(raw).alias("r"))
+    r = table(spark, sf_dir, "events").select(fields.timestamp_field(raw).alias("r"))
     return r.groupBy(F.col("r.status").alias("status"), F.col("r.value").alias("value")).agg(F.count("*").alias("n"))
 
 
@@ -426,12 +426,13 @@ def greedy_match(spark, sf_dir):
 
 @query()
 def lineitem_grouping(spark, sf_dir):
-    """Places made from line numbers; totals, prices and some quantities align to the most frequent; no SQL: dynamic programming."""
+    """Entities of an order: names, totals, prices and some quantities at places made from line numbers; no SQL: dynamic programming."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     y = F.col("l_linenumber") * 20.0 + F.col("l_partkey") % 5
-    kinds = F.explode(F.array(F.lit("LINE_TOTAL"), F.lit("UNIT_PRICE"), F.when(F.col("l_partkey") % 3 > 0, "QUANTITY")))
-    e = li.select("l_orderkey", kinds.alias("label"), y.alias("y"), "l_partkey").where("label is not null")
-    return lineitems.group_by_anchors(e, "l_orderkey", "label", "y", "l_partkey", ["LINE_TOTAL", "UNIT_PRICE", "QUANTITY"], 12.0)
+    kinds = F.posexplode(F.array(F.lit("LINE_TOTAL"), F.lit("UNIT_PRICE"), F.when(F.col("l_partkey") % 3 > 0, "QUANTITY"), F.lit("ITEM_NAME")))
+    e = li.select("l_orderkey", kinds.alias("k", "label"), y.alias("y0"), "l_partkey").where("label is not null")
+    boxes = e.select("l_orderkey", (F.col("l_partkey") * 4 + F.col("k")).alias("ref"), "label", F.concat(F.lit("Part "), "l_partkey").alias("text"), (400.0 - F.col("k") * 100).alias("x0"), "y0", (460.0 - F.col("k") * 100).alias("x1"), (F.col("y0") + 12.0).alias("y1"))
+    return lineitems.group_line_items(boxes, "l_orderkey", "ref", "label", "text", ("x0", "y0", "x1", "y1"))
 
 
 @query("""with x as (select l_orderkey as o, l_linenumber as k, cast(min(l_quantity) as bigint) as q, cast(min(l_partkey) % 90 + 1 as bigint) as p from lineitem group by 1, 2)
@@ -439,8 +440,8 @@ select o, k, q * p as total, q as quantity, p as price from x""")
 def number_roles(spark, sf_dir):
     """Rows of quantity, price and their product, in that order: the product is found to be the total."""
     x = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k")).agg(F.min("l_quantity").cast("bigint").alias("q"), (F.min("l_partkey") % 90 + 1).cast("bigint").alias("p"))
-    n = x.select("o", "k", F.posexplode(F.array("q", "p", F.col("q") * F.col("p"))).alias("x", "v"))
-    return lineitems.number_roles(n, ["o", "k"], "x", "v", 0.0)
+    n = x.select("o", "k", F.posexplode(F.array("q", "p", F.col("q") * F.col("p"))).alias("x", "v")).withColumn("money", F.col("x") > 0)
+    return lineitems.number_roles(n, ["o", "k"], "x", "v", "money", 0.0)
 
 
 # -- order and windows ----------------------------------------------------------------------------

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fields
 from ..functions import geometry as G
-from ..functions import normalize as N
 from ..functions import text as X
 from ..operators import splits, tagging
 from ..sources import records
@@ -157,12 +157,12 @@ def distinct_inventory(spark, sf_dir):
     return d.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_linenumber").cast("bigint")).alias("digest"))
 
 
-@query("""select case when p_size % 2 = 0 then 'O' || p_size || ' l' || p_size || ' Oil' else 'no digits lO' end as raw, case when p_size % 2 = 0 then '0' || p_size || ' 1' || p_size || ' Oil' else 'no digits lO' end as fixed, count(*) as n from part group by 1, 2""")
+@query("""select case when p_size % 2 = 0 then 'D' || p_size || ' l' || p_size || ' Oil' else 'no digits lO' end as raw, case when p_size % 2 = 0 then '0' || p_size || ' 1' || p_size || ' Oil' else 'no digits lO' end as fixed, count(*) as n from part group by 1, 2""")
 def numeric_ocr_fixes(spark, sf_dir):
     """Letters read for digits are mended only in tokens that hold a digit."""
     s = F.col("p_size").cast("string")
-    raw = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("O"), s, F.lit(" l"), s, F.lit(" Oil"))).otherwise("no digits lO")
-    return table(spark, sf_dir, "part").select(raw.alias("raw")).select("raw", N.fix_numeric_ocr(F.col("raw")).alias("fixed")).groupBy("raw", "fixed").agg(F.count("*").alias("n"))
+    raw = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("D"), s, F.lit(" l"), s, F.lit(" Oil"))).otherwise("no digits lO")
+    return table(spark, sf_dir, "part").select(raw.alias("raw")).select("raw", fields.mended(F.col("raw")).alias("fixed")).groupBy("raw", "fixed").agg(F.count("*").alias("n"))
 
 
 @query("""with e as (select event_id, cast(event_id * 37 % 360 as double) as gold, cast((event_id * 37 + event_id % 5) % 360 as double) as pred from events),
