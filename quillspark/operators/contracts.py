@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import fold_sorted
@@ -218,14 +218,14 @@ def plain_number(value: Column) -> Column:
 
 def first_tag_per_word(tokens: DataFrame, keys: list[str], position: str, tag: str, ids: DataFrame) -> DataFrame:
     """Each word's first token's tag, as its number in ``ids`` (``tag, tag_id``)."""
-    return tokens.groupBy(*keys).agg(F.min_by(tag, position).alias(tag)).join(F.broadcast(ids.limit(10_000)), tag).select(*keys, "tag_id")
+    return tokens.groupBy(*keys).agg(F.min_by(tag, position).alias(tag)).join(ids, tag).select(*keys, "tag_id")
 
 
 def token_window_stats(tokens: DataFrame, doc: str, tokens_col: str, windows: DataFrame) -> DataFrame:
     """One row: documents, words, tokens, the longest word, and windows in all and at most per document."""
     a = tokens.agg(F.count_distinct(doc).alias("documents"), F.count("*").alias("words"), F.sum(tokens_col).alias("tokens"), F.max(tokens_col).alias("longest"))
     b = windows.groupBy(doc).agg(F.count("*").alias("n")).agg(F.sum("n").alias("windows"), F.max("n").alias("most_windows"))
-    return a.crossJoin(F.broadcast(b))  # one row by one row
+    return a.unionByName(b, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in (*a.columns, *b.columns)))
 
 
 def state_of_images(images: DataFrame, key: str, completed: DataFrame, flagged: DataFrame, rotations: DataFrame, missing: DataFrame) -> DataFrame:
@@ -278,3 +278,68 @@ def overlap_of_smaller(a: Column, b: Column) -> Column:
     area = lambda c: (c[2] - c[0]) * (c[3] - c[1])
     small = F.least(area(a), area(b))
     return F.when(small > 0, side(0) * side(1) / small).otherwise(0.0)
+
+
+def load_split(rows: DataFrame, rotations: DataFrame, missing: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Annotation rows with their rotation, which every row must have, and their missing fields, which few have; and the rows without a rotation."""
+    good, bad = strict_join(rows, rotations, [key])
+    lists = missing.groupBy(key).agg(F.array_sort(F.collect_set("field")).alias("missing"))
+    return good.join(lists, key, "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>"))), bad
+
+
+def export_package(records: DataFrame, kind: str, expected: dict[str, int], copies: DataFrame, key: str, digest: str) -> DataFrame:
+    """``check, ok``: each kind has as many records as expected, no other kind is there, and every copy has its record's digest."""
+    counts = records.groupBy(kind).agg(F.count("*").alias("n"))
+    per = counts.agg(*(F.coalesce(F.max(F.when(F.col(kind) == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in expected), F.count_if(~F.col(kind).isin(*expected)).alias("other"))
+    tests = [F.struct(F.lit(f"{k}_count").alias("check"), (F.col(f"n_{k}") == n).alias("ok")) for k, n in expected.items()]
+    named = per.select(F.explode(F.array(*tests, F.struct(F.lit("known_kinds").alias("check"), (F.col("other") == 0).alias("ok")))).alias("c")).select("c.*")
+    same = records.select(key, F.col(digest).alias("__want")).join(copies.select(key, F.col(digest).alias("__have")), key, "left")
+    return named.unionByName(same.agg(F.lit("digests").alias("check"), F.coalesce(F.every(F.col("__want").eqNullSafe(F.col("__have"))), F.lit(True)).alias("ok")))
+
+
+def item_label_fault(label: Column, item_id: Column, category: Column, item_labels: list[str], categories: dict[str, int]) -> Column:
+    """The first fault of an annotated region: an item id without an item label or the other way round, or another category than the label's."""
+    is_item = label.isin(*item_labels)
+    code = F.coalesce(*(F.when(label == k, F.lit(v)) for k, v in categories.items()))
+    return F.when(code.isNull(), "UNKNOWN_LABEL").when(is_item & item_id.isNull(), "ITEM_ID_MISSING").when(~is_item & item_id.isNotNull(), "ITEM_ID_UNEXPECTED").when(~category.eqNullSafe(code), "CATEGORY_MISMATCH")
+
+
+def subset_or_all(rows: DataFrame, key: str, wanted: list[str] | None) -> DataFrame:
+    """The rows of the wanted keys, or all where none are named."""
+    return rows.where(F.col(key).isin(*wanted)) if wanted else rows
+
+
+def rescaled_lines(lines: DataFrame, doc: str, order: str, columns: dict[str, Column]) -> DataFrame:
+    """Cached lines in reading order, each coordinate times its factor."""
+    return lines.withColumns({c: F.col(c) * f for c, f in columns.items()}).withColumn("position", F.row_number().over(Window.partitionBy(doc).orderBy(order)))
+
+
+def low_match(aligned: DataFrame, doc: str, matched: str, least: float = 0.9) -> DataFrame:
+    """Documents that match less than ``least`` of their regions, with the rate."""
+    return aligned.groupBy(doc).agg(F.avg(F.col(matched).cast("double")).alias("rate")).where(F.col("rate") < least)
+
+
+def same_points(a: Column, b: Column, tolerance: float = 0.01) -> Column:
+    """Whether two lists of coordinates are of one length and nowhere further apart than ``tolerance``."""
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))), lambda ok: ok)
+
+
+#: For each of the eight image orientations, the matrix (row by row) that turns a stored point into a
+#: shown one; ``w`` and ``h`` stand for the stored width and height less one.
+ORIENTATIONS = {
+    1: ((1, 0, "0"), (0, 1, "0")),
+    2: ((-1, 0, "w"), (0, 1, "0")),
+    3: ((-1, 0, "w"), (0, -1, "h")),
+    4: ((1, 0, "0"), (0, -1, "h")),
+    5: ((0, 1, "0"), (1, 0, "0")),
+    6: ((0, -1, "h"), (1, 0, "0")),
+    7: ((0, -1, "h"), (-1, 0, "w")),
+    8: ((0, 1, "0"), (-1, 0, "w")),
+}
+
+
+def orientation_matrix(orientation: Column, width: Column, height: Column) -> Column:
+    """The nine numbers of an orientation's matrix; null for an unknown one."""
+    shift = {"0": F.lit(0.0), "w": (width - 1).cast("double"), "h": (height - 1).cast("double")}
+    rows = {k: F.array(*(F.lit(float(x)) if isinstance(x, int) else shift[x] for row in m for x in row), F.lit(0.0), F.lit(0.0), F.lit(1.0)) for k, m in ORIENTATIONS.items()}
+    return F.coalesce(*(F.when(orientation == k, m) for k, m in rows.items()))

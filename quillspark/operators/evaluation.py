@@ -150,11 +150,20 @@ def weighted_median(df: DataFrame, key: str, value: str, weight: str, least_rows
     return run.groupBy(key).agg(F.sum("n").alias("rows"), F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col(value))).alias("m")).select(key, "rows", F.when(F.col("rows") >= least_rows, F.col("m")).alias("weighted_median"))
 
 
+GRID_ROWS = 1000
+
+
 def parameter_sweep(df: DataFrame, grid: DataFrame, correct: Column, tie: list[str]) -> DataFrame:
     """Score every parameter row of the small ``grid`` by the share of rows where ``correct`` holds; ``best`` marks the winner.
 
-    The grid is a handful of rows known to the driver, so the rows are scanned once and multiplied in place.
+    The grid has at most ``GRID_ROWS`` rows, else it is refused; the rows are scanned once and multiplied in place.
     """
-    scored = df.crossJoin(F.broadcast(grid)).groupBy(*grid.columns).agg(F.count("*").alias("n"), F.sum(correct.cast("long")).alias("correct"))
+    points = grid.limit(GRID_ROWS + 1).collect()
+    if len(points) > GRID_ROWS:
+        raise ValueError(f"a grid of more than {GRID_ROWS} rows")
+    kinds = dict(grid.dtypes)
+    every = F.array(*(F.struct(*(F.lit(p[c]).cast(kinds[c]).alias(c) for c in grid.columns)) for p in points))
+    each = df.withColumn("__grid", F.explode(every)).select(*(df[c] for c in df.columns), "__grid.*")
+    scored = each.groupBy(*grid.columns).agg(F.count("*").alias("n"), F.sum(correct.cast("long")).alias("correct"))
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("correct").desc(), *tie))  # as many rows as the grid
     return scored.select(*grid.columns, "n", "correct", (rank == 1).alias("best"))

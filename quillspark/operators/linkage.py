@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,25 @@ def with_simhash(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn("__prefix", prefix).withColumn(out, total).drop("__prefix")
 
 
-def hamming_pairs(prints: DataFrame, id_col: str, fp: str, at_most: int, bits: int = 60) -> DataFrame:
-    """Pairs ``a < b`` of distinct fingerprints at ``at_most`` bits: some one of ``at_most + 1`` slices must be equal.
+def hamming_pairs(prints: DataFrame, id_col: str, fp: str, at_most: int, bits: int = 60, together: int = 2) -> DataFrame:
+    """Pairs ``a < b`` of distinct fingerprints at ``at_most`` bits or fewer, each once.
 
-    One equi-join per pair of slices, then the exact check; equal fingerprints are grouped before.
+    Of ``at_most + together`` slices, ``together`` at least are equal: fingerprints meet in an equi-join by
+    each choice of so many slices, and a pair counts where it meets by its first equal slices.  Keys have
+    ``together`` slices' bits (20 by default): take more together for tables of many millions of rows.
     """
-    slices = at_most + 1
-    width = bits // slices
-    keyed = prints.select(id_col, fp, F.explode(F.array(*(F.struct(F.lit(i).alias("slice"), F.shiftright(fp, width * i).bitwiseAND((1 << width) - 1).alias("part")) for i in range(slices)))).alias("k")).select(id_col, fp, "k.slice", "k.part")
-    left, right = (keyed.select(F.col(id_col).alias(n), F.col(fp).alias(f"fp_{n}"), "slice", "part") for n in "ab")
-    near = left.join(right, ["slice", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= at_most))
-    return near.select("a", "b", F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))).alias("distance")).distinct()
+    slices = at_most + together
+    edges = [bits * i // slices for i in range(slices + 1)]
+    part = lambda c, i: F.shiftright(c, edges[i]).bitwiseAND((1 << edges[i + 1] - edges[i]) - 1)
+    choices = list(combinations(range(slices), together))
+    keys = F.array(*(F.struct(F.lit(n).alias("choice"), F.array(*(part(F.col(fp), i) for i in c)).alias("parts")) for n, c in enumerate(choices)))
+    keyed = prints.select(id_col, fp, F.explode(keys).alias("k")).select(id_col, fp, F.col("k.choice").alias("choice"), F.xxhash64("k.parts").alias("parts"))
+    left, right = (keyed.select(F.col(id_col).alias(n), F.col(fp).alias(f"fp_{n}"), "choice", "parts") for n in "ab")
+    x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    near = left.join(right, ["choice", "parts"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= at_most))
+    equal = F.slice(F.filter(F.array(*(F.when(part(x, i) == 0, i) for i in range(slices))), lambda i: i.isNotNull()), 1, together)
+    first = F.array(*(F.array(*map(F.lit, c)) for c in choices))[F.col("choice")]
+    return near.where(equal == first).select("a", "b", F.bit_count(x).alias("distance"))
 
 
 def near_status(distance: Column, reviewed: Column) -> Column:
@@ -59,3 +69,19 @@ def record_key(timestamp: Column, total: Column) -> Column:
 def leakage(members: DataFrame, key: str, split: str) -> DataFrame:
     """Keys that occur in more than one split."""
     return members.groupBy(key).agg(F.count_distinct(split).alias("splits"), F.count("*").alias("rows")).where("splits > 1")
+
+
+def duplicate_groups(docs: DataFrame, member: str, key: str, near: DataFrame, components) -> DataFrame:
+    """``member, group_id, size, reasons``: groups by equal ``key`` and confirmed links ``a, b``; documents without either are groups of one.
+
+    ``components`` joins links between members (``node, root``).  Reasons are ``exact`` and ``near``, in order.
+    """
+    least = docs.groupBy(key).agg(F.min(member).alias("b"), F.count("*").alias("n"))
+    exact = docs.join(least, key).where((F.col(member) != F.col("b")) & (F.col("n") > 1)).select(F.col(member).alias("a"), "b")
+    links = exact.withColumn("reason", F.lit("exact")).unionByName(near.select("a", "b").withColumn("reason", F.lit("near")))
+    roots = components(links).withColumnRenamed("node", member)
+    rooted = docs.select(member).join(roots, member, "left").withColumn("root", F.coalesce("root", member))
+    why = links.select(F.col("a").alias(member), "reason").join(rooted, member).groupBy("root").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    size = rooted.groupBy("root").agg(F.count("*").alias("size"))
+    out = rooted.join(size, "root").join(why, "root", "left")
+    return out.select(member, F.col("root").alias("group_id"), "size", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))

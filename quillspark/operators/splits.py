@@ -50,7 +50,7 @@ def stratified_sample(df: DataFrame, bucket: str, key: str, size: int, seed: int
     """The first rows of each bucket in seeded order, as many as its quota."""
     order = Window.partitionBy(bucket).orderBy(seeded(seed, key), key)
     ranked = df.withColumn("__rank", F.row_number().over(order))
-    return ranked.join(F.broadcast(largest_remainder(df, bucket, size).select(bucket, "quota")), bucket).where("__rank <= quota").drop("__rank", "quota")
+    return ranked.join(largest_remainder(df, bucket, size).select(bucket, "quota"), bucket).where("__rank <= quota").drop("__rank", "quota")
 
 
 def stride_shard(df: DataFrame, order: list[str], shard: int, of: int) -> DataFrame:

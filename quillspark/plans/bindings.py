@@ -235,14 +235,25 @@ def near_pairs(spark, sf_dir):
     return p.withColumn("status", linkage.near_status(F.col("distance"), F.when(F.col("a") % 7 == 0, "reviewed")))
 
 
-@query("""with recursive e as (select distinct c_custkey % 100 as a, (c_custkey * 7 + 3) % 100 as b from customer where c_custkey % 3 = 0),
-s as (select a, b from e union select b, a from e), r(node, root) as (select a, a from s union select r.node, s.b from r join s on r.root = s.a)
+@query(f"""with recursive {_FP}, e as materialized (select a.id as a, b.id as b from fp a join fp b on a.id < b.id where bit_count(xor(a.fp, b.fp)) <= 4),
+s as materialized (select a, b from e union select b, a from e), r(node, root) as (select a, a from s union select r.node, s.b from r join s on r.root = s.a)
 select node, min(root) as root from r group by 1""")
 def components(spark, sf_dir):
-    """Links made from customer keys; every node with the smallest node it reaches."""
-    e = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") % 100).alias("a"), ((F.col("c_custkey") * 7 + 3) % 100).alias("b"))
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return nodes.join(graph.connected_components(e), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    """Groups of near documents: every one that has a link within 4 bits, with the smallest it reaches."""
+    return graph.connected_components(linkage.hamming_pairs(_prints(spark, sf_dir), "id", "fp", 4).select("a", "b"))
+
+
+@query(f"""with recursive {_FP}, t as (select doc_id, sha256(text) as h from documents), m as (select h, min(doc_id) as b from t group by 1),
+e as materialized (select a.id as a, b.id as b, 'near' as reason from fp a join fp b on a.id < b.id where bit_count(xor(a.fp, b.fp)) <= 2 union all select doc_id, b, 'exact' from t join m using (h) where doc_id <> b),
+s as materialized (select a, b from e union select b, a from e), r(node, root) as (select a, a from s union select r.node, s.b from r join s on r.root = s.a),
+g as (select doc_id, coalesce(min(root), doc_id) as root from t left join r on r.node = doc_id group by doc_id), why as (select root, string_agg(distinct reason, ',' order by reason) as reasons from e join g on g.doc_id = e.a group by 1)
+select doc_id, g.root as group_id, count(*) over (partition by g.root) as size, coalesce(reasons, '') as reasons from g left join why on why.root = g.root""")
+def duplicate_groups(spark, sf_dir):
+    """Every document with its duplicate group, by equal texts and links within 2 bits, and why."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    near = linkage.hamming_pairs(_prints(spark, sf_dir), "id", "fp", 2)
+    found = linkage.duplicate_groups(d, "doc_id", "h", near, graph.connected_components)
+    return found.withColumn("reasons", F.array_join("reasons", ","))
 
 
 _SPLIT = "case when cast('0x' || substr(sha256('42:' || cast({k} as varchar)), 1, 8) as bigint) % 10 < 8 then 'train' when cast('0x' || substr(sha256('42:' || cast({k} as varchar)), 1, 8) as bigint) % 10 < 9 then 'val' else 'test' end"

@@ -1,6 +1,6 @@
 """Names of the registered queries, with the SQL that checks them."""
 
-from . import bindings, intake, more, receipts
+from . import bindings, intake, ledger, more, receipts
 
-QUERIES = bindings.QUERIES | more.QUERIES | receipts.QUERIES | intake.QUERIES
-ORACLE_SQL = bindings.ORACLE_SQL | more.ORACLE_SQL | receipts.ORACLE_SQL | intake.ORACLE_SQL
+QUERIES = bindings.QUERIES | more.QUERIES | receipts.QUERIES | intake.QUERIES | ledger.QUERIES
+ORACLE_SQL = bindings.ORACLE_SQL | more.ORACLE_SQL | receipts.ORACLE_SQL | intake.ORACLE_SQL | ledger.ORACLE_SQL

@@ -73,11 +73,11 @@ def quantity_recoverability(spark, sf_dir):
     return tagging.recoverability(e, ["l_orderkey", "l_linenumber"], "label")
 
 
-@query("""with d as (select user_id, list(event_type order by ts, event_id) as v from events where event_id % 3 = 0 group by 1), x as (select user_id, v, len(list_filter(v, lambda e: e = 'click')) as n from d)
+@query("""with d as (select user_id, list(event_type order by ts, event_id) as v from events group by user_id, cast(ts as date)), x as (select user_id, v, len(list_filter(v, lambda e: e = 'click')) as n from d)
 select case when n = 0 then 'none' when n = len(v) then 'all' when v[1] = 'click' and n = 1 then 'first_only' when v[-1] = 'click' and n = 1 then 'last_only' else 'mixed' end as choice, count(*) as n from x group by 1""")
 def label_choice(spark, sf_dir):
-    """Which of a user's events, in order, are clicks."""
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("v"))
+    """Which of a user's events of a day, in order, are clicks."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("v"))
     return e.select(tagging.choice_among(F.col("v"), F.lit("click")).alias("choice")).groupBy("choice").agg(F.count("*").alias("n"))
 
 
