@@ -34,7 +34,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 ITEMS_PER_TASK = 20_000
 #: Bins filled to this share are not packed again.
 FULL = 0.99
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,8 +56,8 @@ class WordIds:
     """Ids of texts as little-endian bytes, by way of their words.
 
     The normaliser and splitter never join what white space separates, so a text's ids are its
-    words' ids in order.  New words of a text are encoded in one call; words are kept up to
-    ``CACHED_WORDS``, then forgotten at once.  Texts for other vocabularies than the default are encoded whole.
+    words' ids in order.  New words of a text are encoded in one call; about ``CACHED_WORDS`` words are
+    kept, those met again longest.  Texts for other vocabularies than the default are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -65,6 +65,7 @@ class WordIds:
 
         self.encode = Tokenizer.from_file(path).encode
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.by_words = os.path.basename(path) == DEFAULT_TOKENIZER  # what PLAIN and PIECE are written for
 
     def __call__(self, text: str) -> bytes:
@@ -76,16 +77,19 @@ class WordIds:
         else:
             words = [w for line in text.split("\n") for w in line.split(" ") if w]
         new = list(set(words).difference(self.known))
+        if new and self.older:
+            self.known.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in self.older]
         if new:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                new = list(set(words))
             found = self.encode(new, is_pretokenized=True, add_special_tokens=False)
             ids: list[list[int]] = [[] for _ in new]
             for i, k in zip(found.ids, found.word_ids, strict=True):
                 ids[k].append(i)
             self.known.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(new, ids, strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+        out = b"".join(map(self.known.__getitem__, words))
+        if len(self.known) > CACHED_WORDS // 2:
+            self.known, self.older = {}, self.known
+        return out
 
 
 @lru_cache(maxsize=1)
