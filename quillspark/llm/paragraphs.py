@@ -2,8 +2,8 @@
 
 Units are lines of a shingle (``SHINGLE`` words) or more, and passages of ``PASSAGE_WORDS`` words that
 begin at anchors chosen by content (the smallest hash of three words among ``ANCHOR_WINDOW``), so any
-common stretch of ``ANCHOR_WINDOW + PASSAGE_WORDS - 1`` words (51) holds a common passage wherever its
-lines break.  The texts are cut into units once; a table of them without their words is all the rest
+common stretch of ``ANCHOR_WINDOW + PASSAGE_WORDS - 1`` words (38) holds a common passage wherever its
+lines break, and of a longer one all but less than ``ANCHOR_WINDOW`` words at either end is marked.  The texts are cut into units once; a table of them without their words is all the rest
 works on.
 
 A line's five-word shingles give MinHash bands, ``BANDS`` of ``ROWS`` (at a Jaccard index of 0.8 two
@@ -42,7 +42,7 @@ from .common import discard, join_hot, materialize, table, whole_text
 from .substrings import _bitmap, _inside, _signed, window_min
 
 SHINGLE, JACCARD, BANDS, ROWS = 5, 0.8, 5, 2
-PASSAGE_WORDS, ANCHOR_WORDS, ANCHOR_WINDOW = 26, 3, 26
+PASSAGE_WORDS, ANCHOR_WORDS, ANCHOR_WINDOW = 26, 3, 13
 BLOCK = 1024
 #: Texts are cut into units in chunks of about so many bytes.
 CHUNK_BYTES = 2 << 20

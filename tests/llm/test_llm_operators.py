@@ -38,15 +38,20 @@ def words(rng, n, known=None):
 # -- 1 --------------------------------------------------------------------------------------------
 
 
-def test_passages_of_fifty_words_are_found_wherever_they_stand(folder, spark):
-    rng = random.Random(2)
+@pytest.mark.parametrize("n", [38, 51, 120])
+def test_common_passages_are_found_wherever_they_stand(folder, spark, n):
+    rng = random.Random(n)
     vocabulary = [f"w{rng.getrandbits(40):x}" for _ in range(5000)]
-    passage = words(rng, 51, vocabulary)
+    passage = words(rng, n, vocabulary)
     docs = [(i, words(rng, 80, vocabulary)) for i in range(8)]
     docs += [(100 + i, f"{words(rng, 7 + i, vocabulary)} {passage} {words(rng, 9, vocabulary)}") for i in range(3)]
     got = paragraphs.op1_paragraph_minhash(spark, folder(docs)).collect()
     assert {r["doc_id"] for r in got} == {100, 101, 102}
     assert {r["keep_doc_id"] for r in got} == {100} and {r["doc_id"] for r in got if not r["removed"]} == {100}
+    for r in got:  # one stretch, less than a window short at either end
+        first = 7 + r["doc_id"] - 100
+        (s, e), = [tuple(map(int, x.split(":"))) for x in r["word_spans"].split(",")]
+        assert first <= s < first + paragraphs.ANCHOR_WINDOW and first + n - paragraphs.ANCHOR_WINDOW < e <= first + n
 
 
 def test_edited_lines_are_one_class(folder, spark):
