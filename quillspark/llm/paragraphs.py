@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest as xxh64
 
 from ..operators.graph import connected_components
-from .common import discard, join_hot, materialize, table, whole_text
+from .common import discard, give_back, join_hot, materialize, table, whole_text
 from .substrings import _bitmap, _inside, _signed, window_min
 
 SHINGLE, JACCARD, BANDS, ROWS = 5, 0.8, 5, 2
 PASSAGE_WORDS, ANCHOR_WORDS, ANCHOR_WINDOW = 26, 3, 13
 BLOCK = 1024
 #: Texts are cut into units in chunks of about so many bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0xD1342543DE82EF95
 
@@ -314,22 +314,22 @@ def line_links(rows: DataFrame, units: DataFrame, threshold: float = JACCARD, bl
     spark = rows.sparkSession
     lines = units.where("size(keys) > 0")
     mixed = lines.select("digest", F.explode("keys").alias("key")).groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi")
-    found = lines.select("keys", "digest").mapInArrow(_pairs(spark.sparkContext.broadcast(_bitmap(mixed))), "key long, digest long")
+    found = lines.select("keys", "digest").mapInArrow(give_back(_pairs(spark.sparkContext.broadcast(_bitmap(mixed)))), "key long, digest long")
     pairs = materialize(found.distinct(), "bands")
     groups = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.bit_xor(F.xxhash64("digest")).alias("members")).where("n > 1")
     chosen = groups.groupBy("n", "lo", "hi", "members").agg(F.min("key").alias("key")).select("key", "n")
     crowded = materialize(pairs.join(chosen, "key"), "crowded")
     # The words come from the document with the smallest id that holds a line.
     wanted = spark.sparkContext.broadcast(_bitmap(crowded.select(F.col("digest").alias("key"))))
-    holders = lines.select("digest", "doc_id").mapInArrow(_only("digest", ["digest", "doc_id"], wanted), "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    holders = lines.select("digest", "doc_id").mapInArrow(give_back(_only("digest", ["digest", "doc_id"], wanted)), "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     held = spark.sparkContext.broadcast(_bitmap(holders.select(F.xxhash64("doc_id").alias("key"))))
-    told = rows.select(F.xxhash64("doc_id").alias("holder"), "text").mapInArrow(_line_texts(held, wanted), "digest long, text string")
+    told = rows.select(F.xxhash64("doc_id").alias("holder"), "text").mapInArrow(give_back(_line_texts(held, wanted)), "digest long, text string")
     texts = told.groupBy("digest").agg(F.max("text").alias("text"))
     split = crowded.join(texts, "digest").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = split.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "digest", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = materialize(dealt.repartition(tasks, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(_verify(threshold), "a long, b long"), "links")
+    links = materialize(dealt.repartition(tasks, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(give_back(_verify(threshold)), "a long, b long"), "links")
     discard(pairs)
     discard(crowded)
     return links
@@ -339,14 +339,14 @@ def repeated_units(docs: DataFrame, threshold: float = JACCARD, block: int = BLO
     """``doc_id, start_word, n_words, component_id, keep_doc_id, removed`` of every unit in a class of two or more."""
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    units = materialize(rows.mapInArrow(_units, UNIT), "units")
+    units = materialize(rows.mapInArrow(give_back(_units), UNIT), "units")
     repeated = materialize(units.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "repeated")
     links = line_links(rows, units, threshold, block)
     roots = connected_components(links).withColumnRenamed("node", "digest")
     classes = materialize(repeated.join(roots, "digest", "full").select("digest", F.coalesce("root", "digest").alias("component_id")), "classes")
     inside = spark.sparkContext.broadcast(_bitmap(classes.select(F.col("digest").alias("key"))))
     names = ["doc_id", "start_word", "n_words", "digest"]
-    held = units.select(*names).mapInArrow(_only("digest", names, inside), "doc_id long, start_word int, n_words int, digest long")
+    held = units.select(*names).mapInArrow(give_back(_only("digest", names, inside)), "doc_id long, start_word int, n_words int, digest long")
     placed = materialize(held.join(classes, "digest").select("doc_id", "start_word", "n_words", "component_id").distinct(), "placed")
     for done in (units, repeated, links, classes):
         discard(done)
