@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..functions import text as X
 from ..functions.fields import amount_field, quantity_field
 from .lineitems import infer_quantity
-from .tagging import best_overlap, collect_warnings
+from .tagging import best_overlap, collect_warnings, header_hits
 
 MONEY = "^-?[0-9]{1,3}([.,][0-9]{3})*([.,][0-9]{2})$"
-DATE = "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-#: Words that name a total, the strongest first, and words that rule a row out.
-TOTAL_WORDS = ("grand total", "total", "amount due")
-NOT_TOTAL = "(subtotal|discount|change|cash)"
-ADDRESS = "(street|road|avenue|no\\.)"
+#: Fixed value: a date with one separator throughout.
+DATE = r"\d{1,2}\s*([./-])\s*\d{1,2}\s*\1\s*(?:\d{4}|\d{2})(?!\d)"
+#: Fixed values of the rules over folded rows.  Words of a total, the strongest first, and words that rule a row out.
+TOTAL_WORDS = (
+    "tong so tien thanh toan", "tong so thanh toan", "tong thanh toan", "phai thanh toan", "phai t.toan", "can thanh toan", "khach phai tra",
+    "thanh toan", "tong tien thanh toan", "tong cong", "tong tien", "cong tien hang", "tong", "total",
+)
+NOT_TOTAL = ("phuong thuc", "hinh thuc", "so luong", "khach dua", "khach tra", "tien mat", "tra lai", "tien thua", "giam", "chiet khau", "vat", "thue", "tich diem")
+#: Words that end the items, names of item columns, and words of rows that are no items.
+ITEMS_END = "tong|cong tien|thanh toan|total"
+COLUMN_NAMES = ("ten hang", "dvt", "stt", "mat hang", "san pham", "don gia", "so luong", "thanh tien", "t.tien", "sl", "dg", "gia", "mon")
+NOT_ITEM = ("gia goc", "vat", "giam gia", "chiet khau", "khuyen mai", "km", "thue")
+#: Signs of an address, and of rows in the header that name no seller.
+ADDRESS = (
+    r"(^|\W)(dc|d/c|dia chi|duong|phuong|quan|huyen|xa|thon|ngo|ngach|kiot|cho|khu|to dan pho|tp|thanh pho|tinh"
+    r"|p\.|q\.|tt\.|p\d|q\d|so \d+)(\W|$)|^\W*\d+[a-z]?(/\d+)*\s+[a-z]|\s\d{1,4}[a-z]?\s+[a-z]{2,}\s+[a-z]{2,}"
+)
+NOT_SELLER = (
+    r"(hoa don|phieu|bien nhan|receipt|invoice|thu ngan|nhan vien|ma so thue|mst|hotline|dien thoai|website|www|wifi"
+    r"|so hd|ma hd|ban hang|ngay|gio|khach hang|hot ?line|cskh|so the|quay|don gia|thanh tien|ten hang|so luong|(^|\W)(dt|tel|fax|sdt|sl|dvt)(\W|$))"
+)
+#: How many rows of the header may name the seller.
+SELLER_ROWS = 4
 
 
 def explode_cells(df: DataFrame, keys: list[str], cells: dict[str, Column]) -> DataFrame:
@@ -63,34 +85,60 @@ def canonical_lines(lines: DataFrame, text: str, score: str) -> tuple[DataFrame,
     return good, tagged.where("error is not null")
 
 
-def tag_rows(rows: DataFrame, doc: str, row: str, text: str) -> DataFrame:
+def tag_rows(rows: DataFrame, doc: str, row: str, text: str, height: str | None = None) -> DataFrame:
     """``rows`` with ``label``: time, total, seller, address, item or none, by rules over whole rows.
 
-    The time is the first row with a date.  The total is the row with the strongest total word and an
-    amount at its end, the last of equals; rows with excluded words never are.  The seller is the
-    first row.  Addresses stand above the first amount.  Items are the other rows that end in an
-    amount, above the total.
+    The time is the first row with a date.  Of the rows with a total word and none that excludes them,
+    those count that hold an amount or whose next row does: the strongest word, then the first row,
+    gives the total, on the row of its amount.  The header is what stands above the row of column names
+    (if that is not below the first amount), else above the first amount and not below the time; without
+    any of these there is none.  Addresses are header rows with a sign of one; the seller is the tallest
+    (the upper of equals, all equal without ``height``) of the first four other header rows that have
+    three letters and as many digits as other characters at most.  Items are rows below the header that
+    end in an amount, above the first row that names a total.  A null text is an empty one.
     """
-    low = F.lower(text)
-    strength = F.coalesce(*(F.when(low.contains(w), F.lit(len(TOTAL_WORDS) - i)) for i, w in enumerate(TOTAL_WORDS)), F.lit(0))
-    ends = F.element_at(F.split(F.trim(text), " +"), -1).rlike(MONEY)
-    marked = rows.withColumns({"__date": F.col(text).rlike(DATE), "__amount": ends, "__strength": F.when(ends & ~low.rlike(NOT_TOTAL), strength).otherwise(0)})
-    every = Window.partitionBy(doc)
-    facts = {
-        "__first": F.min(row).over(every),
-        "__time": F.min(F.when(F.col("__date"), F.col(row))).over(every),
-        "__total": F.max(F.when(F.col("__strength") > 0, F.struct("__strength", F.col(row).alias("r")))).over(every)["r"],
-        "__money": F.min(F.when(F.col("__amount"), F.col(row))).over(every),
+    folded = F.coalesce(X.fold(F.col(text)), F.lit(""))
+    has = lambda words: reduce(or_, (F.col("__text").contains(w) for w in words))
+    strength = F.coalesce(*(F.when(F.col("__text").contains(w) & ~has([x for x in NOT_TOTAL if x not in w]), F.lit(i)) for i, w in enumerate(TOTAL_WORDS)))
+    money = lambda w: w.rlike(MONEY)
+    letters, numbers = F.length(F.regexp_replace("__text", "[^a-z]", "")), F.length(F.regexp_replace("__text", "[^0-9]", ""))
+    marks = {
+        "__date": F.coalesce(F.col(text).rlike(DATE), F.lit(False)),
+        "__amount": F.exists("__words", money),
+        "__ends": money(F.element_at("__words", -1)),
+        "__named": header_hits(F.col("__text"), list(COLUMN_NAMES)) >= 2,
+        "__stop": F.col("__text").rlike(ITEMS_END),
+        "__place": F.col("__text").rlike(ADDRESS) & ~F.col("__text").rlike(NOT_SELLER),
+        "__strength": strength,
     }
-    r = F.col(row)
+    r, every, down = F.col(row), Window.partitionBy(doc), Window.partitionBy(doc).orderBy(row)
+    marked = rows.withColumn("__text", folded).withColumn("__words", F.split(F.trim("__text"), " +")).withColumns(marks)
+    amount_at = F.when(F.col("__amount"), r).when(F.lead("__amount").over(down), F.lead(row).over(down))
+    found = marked.withColumn("__at", F.when(F.col("__strength").isNotNull(), amount_at))
+    facts = found.withColumns({
+        "__time": F.min(F.when(F.col("__date"), r)).over(every),
+        "__total": F.min(F.when(F.col("__at").isNotNull(), F.struct("__strength", r.alias("r"), "__at"))).over(every)["__at"],
+        "__money": F.min(F.when(F.col("__amount"), r)).over(every),
+        "__table": F.min(F.when(F.col("__named"), r)).over(every),
+    })
+    named = F.col("__table").isNotNull() & (F.col("__money").isNull() | (F.col("__table") <= F.col("__money")))
+    above = (F.col("__money").isNull() | (r < F.col("__money"))) & (F.col("__time").isNull() | (r <= F.col("__time"))) & (F.col("__money").isNotNull() | F.col("__time").isNotNull())
+    after = F.when(F.col("__stop") & (F.col("__table").isNull() | (r > F.col("__table"))), r)
+    free = (F.col("__total").isNull() | (r != F.col("__total"))) & ~F.col("__date")
+    zoned = facts.withColumns({"__head": F.when(named, r < F.col("__table")).otherwise(above), "__items_end": F.least(F.min(after).over(every), "__total")})
+    placed = zoned.withColumn("__address", F.col("__head") & free & F.col("__place"))
+    able = F.col("__head") & free & ~F.col("__address") & ~F.col("__text").rlike(NOT_SELLER) & (letters >= 3) & (numbers * 2 <= F.length("__text"))
+    counted = placed.withColumn("__able", able).withColumn("__nth", F.sum(F.col("__able").cast("int")).over(down))
+    tall = F.struct((-F.col(height) if height else F.lit(0)).alias("h"), r.alias("r"))
     label = (
         F.when(r == F.col("__total"), "TOTAL_COST")
         .when(r == F.col("__time"), "TIMESTAMP")
-        .when(r == F.col("__first"), "SELLER")
-        .when(low.rlike(ADDRESS) & (F.col("__money").isNull() | (r < F.col("__money"))), "ADDRESS")
-        .when(F.col("__amount") & ~low.rlike(NOT_TOTAL) & (F.col("__total").isNull() | (r < F.col("__total"))), "ITEM")
+        .when(F.col("__address"), "ADDRESS")
+        .when(r == F.col("__seller"), "SELLER")
+        .when(~F.col("__head") & F.col("__ends") & (header_hits(F.col("__text"), list(NOT_ITEM)) == 0) & (~named | (r > F.col("__table"))) & (F.col("__items_end").isNull() | (r < F.col("__items_end"))), "ITEM")
     )
-    return marked.withColumns(facts).withColumn("label", label).select(*rows.columns, "label")
+    seller = F.min(F.when(F.col("__able") & (F.col("__nth") <= SELLER_ROWS), tall)).over(every)["r"]
+    return counted.withColumn("__seller", seller).withColumn("label", label).select(*rows.columns, "label")
 
 
 def align_words(words: DataFrame, regions: DataFrame, doc: str) -> DataFrame:

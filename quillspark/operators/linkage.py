@@ -7,6 +7,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
+#: Fixed value: a time of so many digits holds a clock.
+CLOCK_DIGITS = 10
+
 
 def stable_group_id(dataset: str, members: Column) -> Column:
     """``dataset_`` and 16 hexadecimal digits of the digest of the sorted members."""
@@ -66,6 +71,39 @@ def record_key(timestamp: Column, total: Column) -> Column:
     return F.when((t != "") & (a != ""), F.concat_ws("|", t, a))
 
 
+def name_key(text: Column) -> Column:
+    """Upper case without marks, all but letters and digits as single spaces; empty for null."""
+    return F.coalesce(F.trim(F.regexp_replace(F.upper(X.fold(F.upper(text))), "[^A-Z0-9]+", " ")), F.lit(""))
+
+
+def seller_key(seller: Column) -> Column:
+    """The name key of a seller, ``<NO_SELLER>`` where nothing is left of it."""
+    return F.coalesce(F.nullif(name_key(seller), F.lit("")), F.lit("<NO_SELLER>"))
+
+
+def receipt_key(timestamp: Column, total: Column, names: Column) -> Column:
+    """Digits of the time and of the total, joined by a bar; a time without a clock (under ``CLOCK_DIGITS`` digits)
+    needs the sorted name keys ``names`` of the items too.  Null where a part is missing."""
+    t, a = (F.coalesce(digits(c), F.lit("")) for c in (timestamp, total))
+    known = (t != "") & (a != "")
+    return F.when(known & (F.length(t) >= CLOCK_DIGITS), F.concat_ws("|", t, a)).when(known & (F.size(names) > 0), F.concat_ws("|", t, a, F.array_sort(names)))
+
+
+def seller_strata(docs: DataFrame, member: str, key: str, seller: str, least: int = 20) -> DataFrame:
+    """``member, group_id, stratum``: documents with one ``key`` are a group named by its smallest member; without a key each is its own.
+
+    A seller with ``least`` documents or more is a bucket, the others are ``<OTHER>``; the stratum of a
+    group is its most frequent bucket, of equally frequent ones that with the smallest member.
+    """
+    first = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(member).alias("__first"))
+    often = docs.groupBy(seller).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(seller, F.lit(True).alias("__often"))
+    grouped = docs.select(member, key, seller).join(first, key, "left").join(often, seller, "left")
+    placed = grouped.select(member, F.coalesce("__first", member).alias("group_id"), F.when(F.col("__often"), F.col(seller)).otherwise("<OTHER>").alias("bucket"))
+    counts = placed.groupBy("group_id", "bucket").agg(F.count("*").alias("n"), F.min(member).alias("m"))
+    strata = counts.groupBy("group_id").agg(F.min_by("bucket", F.struct(-F.col("n"), "m")).alias("stratum"))
+    return placed.select(member, "group_id").join(strata, "group_id").select(member, "group_id", "stratum")
+
+
 def leakage(members: DataFrame, key: str, split: str) -> DataFrame:
     """Keys that occur in more than one split."""
     return members.groupBy(key).agg(F.count_distinct(split).alias("splits"), F.count("*").alias("rows")).where("splits > 1")

@@ -66,25 +66,24 @@ def stride_shard(df: DataFrame, order: list[str], shard: int, of: int) -> DataFr
     return placed.join(F.broadcast(before), "__part").where((F.col("before") + F.col("__place")) % of == shard).drop("__part", "__place", "before")
 
 
-def greedy_by_stratum(groups: DataFrame, stratum: str, group: str, size: str, shares: dict[str, float]) -> DataFrame:
+def greedy_by_stratum(groups: DataFrame, stratum: str, group: str, size: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """``stratum, group, size, split``: groups by size descending go to the split with the largest deficit.
 
+    Equal sizes come in seeded order; of equal deficits the largest share wins, then the first split.
     Sequential inside a stratum, parallel across strata; rows are groups, not documents.
     """
 
-    names = list(shares)
-
     def fold(rows: list[tuple]) -> list[tuple]:
-        total, have, out = float(sum(r[2] for r in rows)), dict.fromkeys(names, 0.0), []
+        total, have, out = sum(r[2] for r in rows), dict.fromkeys(shares, 0), []
         for r in rows:
-            best = max(names, key=lambda s: (shares[s] * total - have[s], -names.index(s)))
+            best = max(shares, key=lambda s: (shares[s] * total - have[s], shares[s]))
             have[best] += r[2]
             out.append((*r[:3], best))
         return out
 
     kinds = dict(groups.dtypes)
-    rows = groups.select(stratum, group, size, (-F.col(size)).alias("__down"))
-    return fold_sorted(rows, [stratum], ["__down", group], fold, f"{stratum} {kinds[stratum]}, {group} {kinds[group]}, {size} {kinds[size]}, split string")
+    rows = groups.select(stratum, group, size, (-F.col(size)).alias("__down"), seeded(seed, group).alias("__order"))
+    return fold_sorted(rows, [stratum], ["__down", "__order", group], fold, f"{stratum} {kinds[stratum]}, {group} {kinds[group]}, {size} {kinds[size]}, split string")
 
 
 def greedy_objective(groups: DataFrame, group: str, features: list[str], shares: dict[str, float], seed: int = 42) -> DataFrame:

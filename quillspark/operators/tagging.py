@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +21,9 @@ def token_kind(token: Column) -> Column:
 
 
 def header_hits(text: Column, keywords: list[str]) -> Column:
-    """How many of the keywords occur between word edges."""
-    return sum((F.when(F.lower(text).rlike(f"(^|[^a-z0-9]){k}([^a-z0-9]|$)"), 1).otherwise(0) for k in keywords[1:]), F.when(F.lower(text).rlike(f"(^|[^a-z0-9]){keywords[0]}([^a-z0-9]|$)"), 1).otherwise(0))
+    """How many of the keywords occur between word edges; they are plain text, not patterns."""
+    low = F.lower(text)
+    return reduce(add, (low.rlike(f"(^|[^a-z0-9])\\Q{k}\\E([^a-z0-9]|$)").cast("int") for k in keywords))
 
 
 def best_overlap(words: DataFrame, regions: DataFrame, doc: str, least: float, cell: float = 64.0) -> DataFrame:

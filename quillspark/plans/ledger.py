@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import contracts as C
-from ..operators import sequence
+from ..operators import linkage, sequence, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -465,3 +465,41 @@ def orientations(spark, sf_dir):
     p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 9).alias("e"), C.orientation_matrix(F.col("p_partkey") % 9, w, h).alias("m"))
     at = lambda r: F.col("m")[3 * r] * 3.0 + F.col("m")[3 * r + 1] * 5.0 + F.col("m")[3 * r + 2]
     return p.select("e", at(0).alias("sx"), at(1).alias("sy")).groupBy("e", "sx", "sy").agg(F.count("*").alias("n"))
+
+
+# -- receipts that are one, and splits that keep them together ------------------------------------
+
+_KEYED = """r as (select o_orderkey as d, strftime(o_orderdate, '%Y%m') || '01' || case when o_orderkey % 3 = 0 then '' else '1000' end as t, cast(cast(floor(o_totalprice / 1000) as bigint) % 20 as varchar) as a,
+case when o_orderkey % 9 = 0 then null else regexp_replace(o_orderpriority, '[^A-Z0-9]+', ' ', 'g') end as name, case when o_custkey % 4 = 0 then 'CUA HANG D ' || (o_custkey % 12) when o_custkey % 4 = 1 then '<NO_SELLER>' else 'RARE ' || o_custkey end as seller from orders),
+k as (select d, seller, case when length(t) >= 10 then t || '|' || a when name is not null then t || '|' || a || '|' || name || '|ZZ 1' end as key from r)"""
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as receipts: some without a clock, some without items, sellers that are frequent, rare or unnamed."""
+    o = table(spark, sf_dir, "orders")
+    time = F.concat(F.date_format("o_orderdate", "yyyy-MM-01"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(" 10:00"))
+    names = F.when(F.col("o_orderkey") % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(linkage.name_key(F.lit("zz-1")), linkage.name_key(F.lower("o_orderpriority"))))
+    seller = F.when(F.col("o_custkey") % 4 == 0, F.format_string("Cửa hàng Đ. %d", F.col("o_custkey") % 12)).when(F.col("o_custkey") % 4 == 1, "--").otherwise(F.format_string("rare: %d", "o_custkey"))
+    total = (F.floor(F.col("o_totalprice") / 1000) % 20).cast("string")
+    return o.select(F.col("o_orderkey").alias("d"), linkage.receipt_key(time, F.concat(total, F.lit(" VND")), names).alias("key"), linkage.seller_key(seller).alias("seller"))
+
+
+@query(f"with {_KEYED} select key, count(*) as n, min(d) as first from k group by 1")
+def receipt_keys(spark, sf_dir):
+    """Orders by their receipt key; null holds those whose key lacks a part."""
+    return _keyed(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("first"))
+
+
+@query(f"""with {_KEYED}, g as (select d, coalesce(min(d) over (partition by key), d) as m, key, case when count(*) over (partition by seller) >= 20 then seller else '<OTHER>' end as bucket from k),
+p as (select case when key is null then d else m end as group_id, bucket, d from g), c as (select group_id, bucket, count(*) as n, min(d) as m from p group by 1, 2),
+s as (select group_id, bucket, row_number() over (partition by group_id order by n desc, m) as rank, sum(n) over (partition by group_id) as size from c)
+select group_id, bucket as stratum, cast(size as bigint) as size from s where rank = 1""")
+def receipt_strata(spark, sf_dir):
+    """Groups of one receipt with the seller bucket that most of their members have."""
+    return linkage.seller_strata(_keyed(spark, sf_dir), "d", "key", "seller").groupBy("group_id", "stratum").agg(F.count("*").alias("size"))
+
+
+@query()
+def receipt_split(spark, sf_dir):
+    """Groups of one receipt dealt to splits inside each seller stratum; no SQL: a fold per stratum."""
+    return splits.greedy_by_stratum(receipt_strata(spark, sf_dir), "stratum", "group_id", "size", {"train": 0.8, "val": 0.1, "test": 0.1})

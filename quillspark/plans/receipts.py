@@ -25,24 +25,25 @@ def query(sql: str | None = None):
 
 
 def _receipts(spark, sf_dir):
-    """Rows of text per order: seller, address, date, lines, subtotal, total."""
+    """Rows of text with heights per order: a heading, names, address, date, lines, discount, total (on its row or the next)."""
     n = lambda c: F.format_string("%,.2f", c)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d"), "o_custkey", "o_orderdate", "o_totalprice")
-    cust = F.col("o_custkey").cast("string")
-    head = F.array(F.concat(F.lit("Store "), cust), F.concat(cust, F.lit(" Long Street")), F.concat(F.lit("Date "), F.date_format("o_orderdate", "dd/MM/yyyy")))
-    tail = F.array(F.concat(F.lit("Subtotal "), n(F.col("o_totalprice"))), F.concat(F.lit("Grand total "), n(F.col("o_totalprice"))), F.concat(F.lit("Cash "), n(F.col("o_totalprice"))))
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("k")).agg(F.min("l_extendedprice").alias("v")).select("d", (F.col("k") + 10).alias("row"), F.concat(F.lit("Thing x "), n(F.col("v"))).alias("text"))
-    ends = o.select("d", F.explode(F.concat(F.transform(head, lambda x, i: F.struct((i + 1).alias("row"), x.alias("text"))), F.transform(tail, lambda x, i: F.struct((i + 50).alias("row"), x.alias("text"))))).alias("x")).select("d", "x.row", "x.text")
+    cust, price = F.col("o_custkey").cast("string"), n(F.col("o_totalprice"))
+    at = lambda row, height, *text: F.struct(F.lit(row).alias("row"), F.lit(height).alias("height"), F.concat(*(F.lit(t) if isinstance(t, str) else t for t in text)).alias("text"))
+    odd = F.col("d") % 2 == 1
+    head = [at(1, 40, "Phiếu bán hàng ", cust), at(2, 10, "Welcome all"), at(3, 30, "Store ", cust), at(4, 50, cust, " Đường Dài"), at(5, 10, "Ngày ", F.date_format("o_orderdate", "dd/MM/yyyy"))]
+    tail = [at(50, 10, "Giảm giá 100.00"), at(51, 10, "Tổng cộng", F.when(odd, F.concat(F.lit(" "), price)).otherwise("")), at(52, 10, F.when(odd, "Tiền mặt ").otherwise(""), price), at(53, 10, "Tiền thừa 0.00")]
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("k")).agg(F.min("l_extendedprice").alias("v")).select("d", (F.col("k") + 10).alias("row"), F.lit(10).alias("height"), F.concat(F.lit("Thing x "), n(F.col("v"))).alias("text"))
+    ends = o.select("d", F.inline(F.array(*head, *tail)))
     return ends.unionByName(items)
 
 
 @query("""with i as (select distinct l_orderkey as d, l_linenumber as k from lineitem),
-x as (select o_orderkey as d, unnest([1, 2, 3, 50, 51, 52]) as r from orders union all select d, k + 10 from i),
-l as (select *, d in (select o_orderkey from orders) as whole, max(r) filter (r between 11 and 20) over (partition by d) as last, min(r) over (partition by d) as first from x)
-select case when r = 1 then 'SELLER' when r = 2 then 'ADDRESS' when r = 3 then 'TIMESTAMP' when r = 51 then 'TOTAL_COST' when r between 11 and 20 then case when not whole and r = first then 'SELLER' else 'ITEM' end end as label, count(*) as n from l group by 1""")
+x as (select o_orderkey as d, unnest([1, 2, 3, 4, 5, 50, 51, 52, 53]) as r from orders union all select d, k + 10 from i)
+select case when r = 3 then 'SELLER' when r = 4 then 'ADDRESS' when r = 5 then 'TIMESTAMP' when r = case when d % 2 = 1 then 51 else 52 end then 'TOTAL_COST' when r between 11 and 20 then 'ITEM' end as label, count(*) as n from x group by 1""")
 def rule_tagging(spark, sf_dir):
     """Rows of receipts by the rule tagger; the receipts' construction says what each row is."""
-    return documents.tag_rows(_receipts(spark, sf_dir), "d", "row", "text").groupBy("label").agg(F.count("*").alias("n"))
+    return documents.tag_rows(_receipts(spark, sf_dir), "d", "row", "text", "height").groupBy("label").agg(F.count("*").alias("n"))
 
 
 _BOXES = """w as (select l_orderkey as d, l_linenumber as word, cast(min(l_partkey) % 200 as double) as x0 from lineitem group by 1, 2),

@@ -197,3 +197,57 @@ def test_inventory(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"abc")
     r = records.file_inventory(spark, str(tmp_path)).first()
     assert (r["name"], r["size"], r["sha256"][:8]) == ("a.txt", 3, "ba7816bf")
+
+
+def test_rows_by_rules(spark):
+    texts = [
+        ("a", 1, 30, "HOA DON 12"), ("a", 2, 12, "Siêu thị Ánh Dương"), ("a", 3, 20, "Cửa Hàng Bách Hóa"), ("a", 4, 50, "Số 5 đường Láng"), ("a", 5, 90, "Mở cửa cả ngày lễ"),
+        ("a", 6, 10, "Tên hàng SL Thành tiền"), ("a", 7, 10, "Sữa 1 20,000.00"), ("a", 8, 10, "VAT 10% 2,000.00"), ("a", 9, 10, "Tổng"), ("a", 10, 10, "22,000.00"), ("a", 11, 10, "Tổng cộng"), ("a", 12, 10, "20,000.00 đ"), ("a", 13, 10, "Khách đưa 50,000.00"),
+        ("b", 1, 10, "không có gì"), ("c", 1, 10, None), ("c", 2, 10, "12.05.2020"),
+    ]
+    rows = spark.createDataFrame(texts, "d string, r int, h int, t string")
+    got = {(x["d"], x["r"]): x["label"] for x in documents.tag_rows(rows, "d", "r", "t", "h").collect()}
+    assert len(got) == len(texts)
+    # "tong cong" is stronger than "tong"; its amount stands on the next row; "ngay" is no seller's word; folded, a name
+    # that ends in "duong" reads like a street
+    assert {k: v for k, v in got.items() if v} == {("a", 2): "ADDRESS", ("a", 3): "SELLER", ("a", 4): "ADDRESS", ("a", 7): "ITEM", ("a", 12): "TOTAL_COST", ("c", 2): "TIMESTAMP"}
+
+
+def test_receipt_keys(spark):
+    rows = [("2020-01-02 10:00", "5.000 đ", ["X"]), ("2020-01-02", "5.000", ["Z 1", "A"]), ("2020-01-02", "5.000", []), (None, "5", ["A"]), ("2020-01-02 10:00", "none", ["A"])]
+    df = spark.createDataFrame(rows, "t string, a string, n array<string>")
+    assert [r[0] for r in df.select(linkage.receipt_key(F.col("t"), F.col("a"), F.col("n"))).collect()] == ["202001021000|5000", "20200102|5000|A|Z 1", None, None, None]
+    names = spark.createDataFrame([("Cửa hàng Đ.Š 9!",), ("--",), (None,)], "s string")
+    assert [r[0] for r in names.select(linkage.seller_key(F.col("s"))).collect()] == ["CUA HANG D S 9", "<NO_SELLER>", "<NO_SELLER>"]
+
+
+def test_receipt_split_by_brute_force(spark):
+    import hashlib
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(5)
+    docs = [(i, rng.choice([None, *(f"k{j}" for j in range(40))]), rng.choice("AABBC") + rng.choice(["", "", str(i)])) for i in range(200)]
+    shares = {"train": 0.8, "val": 0.1, "test": 0.1}
+    strata = linkage.seller_strata(spark.createDataFrame(docs, "d long, k string, s string"), "d", "k", "s", 20).cache()
+    groups, counted = defaultdict(list), Counter(s for _, _, s in docs)
+    for d, k, _ in docs:
+        groups[k or f"own {d}"].append(d)
+    bucket = {d: s if counted[s] >= 20 else "<OTHER>" for d, _, s in docs}
+    want, by_stratum = {}, defaultdict(list)
+    for members in groups.values():
+        held = [bucket[m] for m in sorted(members)]
+        stratum = max(dict.fromkeys(held), key=held.count)
+        want |= {m: (min(members), stratum) for m in members}
+        by_stratum[stratum].append((min(members), len(members)))
+    assert {r["d"]: (r["group_id"], r["stratum"]) for r in strata.collect()} == want
+    chosen = {}
+    for of in by_stratum.values():
+        left = {s: share * sum(n for _, n in of) for s, share in shares.items()}
+        have = dict.fromkeys(shares, 0)
+        for g, n in sorted(of, key=lambda x: (-x[1], hashlib.sha256(f"42:{x[0]}".encode()).hexdigest())):
+            best = sorted(shares, key=lambda s: (-(left[s] - have[s]), -shares[s]))[0]
+            have[best] += n
+            chosen[g] = best
+    sized = strata.groupBy("stratum", "group_id").agg(F.count("*").alias("size"))
+    assert {r["group_id"]: r["split"] for r in splits.greedy_by_stratum(sized, "stratum", "group_id", "size", shares).collect()} == chosen
