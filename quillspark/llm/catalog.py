@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import divergence
 from .decontaminate import op8_decontaminate
+from .divergence import op13_source_divergence
 from .minhash import op6_one_permutation_minhash
 from .packing import op9_best_fit_packing
 from .paragraphs import op1_paragraph_minhash
@@ -28,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_source_divergence": divergence.ORACLE}

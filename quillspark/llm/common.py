@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, scratch, shared_dir
 
-__all__ = ["discard", "give_back", "join_hot", "materialize", "scratch", "shared_dir", "table", "whole_text"]
+__all__ = ["ascii_lower", "discard", "div", "give_back", "join_hot", "materialize", "scratch", "shared_dir", "table", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A to Z alone lower-cased."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def div(a: Column, b: Column) -> Column:
+    """Whole-number division."""
+    return F.call_function("div", a, b)
+
+
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, n: str, share: int = 512, how: str = "inner") -> DataFrame:
     """Inner (or left) join of ``rows`` with one row per group, whose ``n`` counts the rows of ``key``.
 
