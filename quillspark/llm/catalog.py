@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence
+from . import divergence, lexical
 from .decontaminate import op8_decontaminate
 from .divergence import op13_source_divergence
+from .huffman import op12_huffman_ids
+from .lexical import op11_impact_search
 from .minhash import op6_one_permutation_minhash
 from .packing import op9_best_fit_packing
 from .paragraphs import op1_paragraph_minhash
@@ -30,7 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_impact_search": op11_impact_search,
+    "op12_huffman_ids": op12_huffman_ids,
     "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op13_source_divergence": divergence.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op11_impact_search": lexical.ORACLE, "op13_source_divergence": divergence.ORACLE}

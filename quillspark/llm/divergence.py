@@ -81,8 +81,14 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TO
     groups, shares = densified(docs, least_documents)
     own = shares.select("lang", "term", "source", "p")
     other = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    met = own.join(other, ["lang", "term"]).where("source <> item")
-    sums = met.groupBy("lang", "source", "item").agg(F.sum(relative_square(F.col("p"), F.col("q"))).alias("value"))
+    # Each couple of sources meets once for both directions.
+    met = own.join(other, ["lang", "term"]).where("source < item")
+    both = met.groupBy("lang", "source", "item").agg(F.sum(relative_square(F.col("p"), F.col("q"))).alias("there"), F.sum(relative_square(F.col("q"), F.col("p"))).alias("back"))
+    turned = F.inline(F.array(
+        F.struct("source", "item", F.col("there").alias("value")),
+        F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")),
+    ))
+    sums = both.select("lang", turned)
     couples = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = couples.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
