@@ -83,19 +83,36 @@ def character_error_rate(ref: Column, hyp: Column) -> Column:
     return F.when(F.char_length(ref) > 0, F.levenshtein(ref, hyp) / F.char_length(ref))
 
 
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0], corner = i, i, i - 1
+        for j, y in enumerate(b, 1):
+            left = min(left + 1, row[j] + 1, corner + (x != y))
+            corner, row[j] = row[j], left
+    return row[-1]
+
+
 def substring_distance(needle: str, hay: str) -> tuple[int, int, int]:
-    """Least edits that turn some part of ``hay`` into ``needle``, with the part's start and end."""
+    """Least edits that turn some part of ``hay`` into ``needle``, with the part's start and end.
+
+    Of equally near parts that which ends last, and of those with this end that which starts first.
+    """
     row = [(0, j) for j in range(len(hay) + 1)]
     for i, a in enumerate(needle, 1):
         new = [(i, 0)]
         for j, b in enumerate(hay, 1):
             new.append(min((row[j - 1][0] + (a != b), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1])))
         row = new
-    cost = min(c for c, _ in row)
-    start, end = min((s, -j) for j, (c, s) in enumerate(row) if c == cost)
+    (cost, start), end = min(((x, -j) for j, x in enumerate(row)), key=lambda v: (v[0][0], v[1]))
     return cost, start, -end
 
 
+def region_match(needle: str, lines: list[str]) -> float | None:
+    """Least share of a region's text that has to change to stand in one of the lines, at most 1; None for no text."""
+    return min([1.0, *(substring_distance(needle, line)[0] / len(needle) for line in lines)]) if needle else None
+
+
 def safe_filename(c: Column) -> Column:
     """Characters outside letters, digits, dot, dash and underscore become underscores; leading dots go."""
     return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9._-]", "_"), "^[.]+", "")

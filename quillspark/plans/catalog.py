@@ -1,6 +1,7 @@
 """Names of the registered queries, with the SQL that checks them."""
 
-from . import bindings, intake, ledger, more, receipts
+from . import bindings, intake, ledger, more, pages, receipts
 
-QUERIES = bindings.QUERIES | more.QUERIES | receipts.QUERIES | intake.QUERIES | ledger.QUERIES
-ORACLE_SQL = bindings.ORACLE_SQL | more.ORACLE_SQL | receipts.ORACLE_SQL | intake.ORACLE_SQL | ledger.ORACLE_SQL
+_MODULES = (bindings, more, receipts, intake, ledger, pages)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
