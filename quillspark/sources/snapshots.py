@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``updates`` replace those of ``base`` with the same keys, or are added."""
-    return base.join(updates.select(*keys).distinct(), keys, "left_anti").select(*base.columns).unionByName(updates.select(*base.columns))
+def upsert(base: DataFrame, updates: DataFrame, keys: list[str], position: list[str] | None = None) -> DataFrame:
+    """Rows of ``updates`` replace those of ``base`` with the same keys, or are added.
+
+    Of updates that share their keys the last by ``position`` counts (without one, the largest by its other columns).
+    """
+    rest = [c for c in updates.columns if c not in keys]
+    last = last_per_key(updates, keys, position or rest) if rest else updates.distinct()
+    return base.join(updates.select(*keys).distinct(), keys, "left_anti").select(*base.columns).unionByName(last.select(*base.columns))
 
 
 def last_per_key(log: DataFrame, keys: list[str], position: list[str]) -> DataFrame:
