@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,31 +25,41 @@ def exact_groups(df: DataFrame, key: Column, member: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("size"), F.min(member).alias("first")).where("size > 1")
 
 
-def with_simhash(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with 60 bits of ``text``: each the majority over distinct words of a bit of their SHA-256 prefix."""
-    words = F.array_distinct(F.filter(F.split(F.col(text), "[ \\n]+"), lambda w: w != ""))
-    prefix = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w.cast("binary"), 256), 1, 15), 16, 10).cast("long"))
-    votes = lambda b: F.size(F.filter("__prefix", lambda h: F.shiftright(h, b).bitwiseAND(1) == 1)) * 2 > F.size("__prefix")
-    bits = [F.when(votes(b), F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b in range(60)]
-    total = bits[0]
-    for x in bits[1:]:
-        total = total + x
-    return df.withColumn("__prefix", prefix).withColumn(out, total).drop("__prefix")
-
+def simhash60(df: DataFrame, id_col: str, text: str, out: str) -> DataFrame:
+    """``id_col`` and 60 bits of ``text`` for every row: each the majority over distinct words of a bit of their SHA-256 prefix.
 
-def hamming_pairs(prints: DataFrame, id_col: str, fp: str, at_most: int, bits: int = 60, together: int = 2) -> DataFrame:
+    Words are exploded and their bits summed, two counts to a number, in one aggregate that each task ends for its own rows; a
+    text without words has no bit set.
+    """
+    words = F.array_distinct(F.filter(F.split(F.col(text), "[ \\n]+"), lambda w: w != ""))
+    rows = df.select(id_col, text).withColumn("__row", F.monotonically_increasing_id())
+    each = rows.select(id_col, "__row", F.explode_outer(words).alias("__w")).select(id_col, "__row", F.conv(F.substring(F.sha2(F.col("__w").cast("binary"), 256), 1, 15), 16, 10).cast("long").alias("__h"))
+    bit = lambda b: F.shiftright("__h", b).bitwiseAND(1)
+    sums = [F.sum(bit(b) + F.shiftleft(bit(b + 30), 32)).alias(f"__s{b}") for b in range(30)]
+    counted = each.groupBy(id_col, "__row").agg(F.count("__h").alias("__n"), *sums)
+    low = lambda b: F.col(f"__s{b}").bitwiseAND((1 << 32) - 1)
+    high = lambda b: F.shiftright(f"__s{b}", 32)
+    voted = lambda votes, b: F.when(votes * 2 > F.col("__n"), F.lit(1 << b)).otherwise(F.lit(0)).cast("long")
+    return counted.select(id_col, reduce(add, [voted(low(b), b) + voted(high(b), b + 30) for b in range(30)]).alias(out))
+
+
+def hamming_pairs(prints: DataFrame, id_col: str, fp: str, at_most: int, bits: int = 60, together: int | None = None) -> DataFrame:
     """Pairs ``a < b`` of distinct fingerprints at ``at_most`` bits or fewer, each once.
 
     Of ``at_most + together`` slices, ``together`` at least are equal: fingerprints meet in an equi-join by
-    each choice of so many slices, and a pair counts where it meets by its first equal slices.  Keys have
-    ``together`` slices' bits (20 by default): take more together for tables of many millions of rows.
+    each choice of so many slices, and a pair counts where it meets by its first equal slices.  How many are taken
+    together follows from the number of fingerprints: keys get as many bits as it has, so that by chance few share one.
     """
+    if together is None:
+        together, wanted = 2, max(1, prints.count()).bit_length()
+        while bits * together // (at_most + together) < wanted and together < 6:
+            together += 1
     slices = at_most + together
     edges = [bits * i // slices for i in range(slices + 1)]
     part = lambda c, i: F.shiftright(c, edges[i]).bitwiseAND((1 << edges[i + 1] - edges[i]) - 1)
     choices = list(combinations(range(slices), together))
-    keys = F.array(*(F.struct(F.lit(n).alias("choice"), F.array(*(part(F.col(fp), i) for i in c)).alias("parts")) for n, c in enumerate(choices)))
-    keyed = prints.select(id_col, fp, F.explode(keys).alias("k")).select(id_col, fp, F.col("k.choice").alias("choice"), F.xxhash64("k.parts").alias("parts"))
+    keys = F.array(*(F.struct(F.lit(n).alias("choice"), F.xxhash64(*(part(F.col(fp), i) for i in c)).alias("parts")) for n, c in enumerate(choices)))
+    keyed = prints.select(id_col, fp, F.explode(keys).alias("k")).select(id_col, fp, F.col("k.choice").alias("choice"), F.col("k.parts").alias("parts"))
     left, right = (keyed.select(F.col(id_col).alias(n), F.col(fp).alias(f"fp_{n}"), "choice", "parts") for n in "ab")
     x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     near = left.join(right, ["choice", "parts"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= at_most))

@@ -16,6 +16,7 @@ from ..functions import fields
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import graph, lineitems, linkage, sequence, splits
+from ..storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -211,7 +212,8 @@ def exact_dup_groups(spark, sf_dir):
 
 def _prints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return linkage.with_simhash(docs, "text", "fp").groupBy("fp").agg(F.min("id").alias("id"))
+    # Written once: pairs read it from both sides.
+    return materialize(linkage.simhash60(docs, "id", "text", "fp").groupBy("fp").agg(F.min("id").alias("id")), "prints")
 
 
 _FP = """w as (select distinct doc_id as id, unnest(regexp_split_to_array(text, '[ \\n]+')) as w from documents),

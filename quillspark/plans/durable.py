@@ -51,8 +51,8 @@ WITH first AS (SELECT DISTINCT p_partkey, p_brand, p_size FROM part WHERE p_size
 second AS (
   SELECT * FROM first WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 30)
   UNION ALL SELECT DISTINCT p_partkey, p_brand, p_size + 100 FROM part WHERE p_size > 30),
-both AS (SELECT 0 AS number, * FROM first UNION ALL SELECT 1, * FROM second),
-lines AS (SELECT number, p_size, '{"p_brand":"' || p_brand || '","p_partkey":' || p_partkey || ',"p_size":' || p_size || '}' AS line FROM both),
+versions AS (SELECT 0 AS number, * FROM first UNION ALL SELECT 1, * FROM second),
+lines AS (SELECT number, p_size, '{"p_brand":"' || p_brand || '","p_partkey":' || p_partkey || ',"p_size":' || p_size || '}' AS line FROM versions),
 placed AS (SELECT number, p_size, sha256(line) AS h, row_number() OVER (PARTITION BY number ORDER BY line) - 1 AS i FROM lines),
 leaves AS (SELECT number, i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM placed GROUP BY ALL),
 roots AS (SELECT number, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS digest FROM leaves GROUP BY ALL)
