@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, div, materialize, table, whole_text
+from .common import ascii_lower, discard, div, materialize, table, whole_text
 
 #: Terms are the maximal matches of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``: what lies between the runs of all other characters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,26 +50,32 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def by_language(terms: DataFrame, groups: DataFrame) -> DataFrame:
     """Every term of a language with every group of it."""
-    salted = terms.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
+    salted = terms.withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int"))
     repeated = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, ["lang", "salt"]).drop("salt")
 
 
-def densified(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """``lang, source`` of every group, and ``lang, source, term, n, p, q`` of every group and kept term.
+def densified(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups ``gid, lang, source``, kept terms ``tid, lang, term``, and ``gid, tid, n, p, q`` of every group with every term of its language.
 
-    ``p`` is the group's share, ``q`` its language's.
+    ``p`` is the group's share, ``q`` its language's.  Terms and groups meet by number: rows of the large tables are a few
+    integers, not texts.
     """
+    numbered = lambda df, name: df.withColumn(name, F.monotonically_increasing_id())
     counts = materialize(term_counts(docs), "divergence-counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df")).where(F.col("df") >= least_documents)
-    kept = materialize(kept.select("lang", "term", "lang_n"), "divergence-kept")
+    kept = materialize(numbered(kept.select("lang", "term", "lang_n"), "tid"), "divergence-kept")
+    sources = materialize(numbered(docs.select("lang", "source").distinct(), "gid"), "divergence-groups")
+    found = counts.join(kept.select("lang", "term", "tid"), ["lang", "term"]).join(sources, ["lang", "source"])
+    found = materialize(found.select("gid", "tid", "n"), "divergence-found")
+    discard(counts)
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
-    totals = counts.join(kept, ["lang", "term"], "left_semi").groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = materialize(docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left"), "divergence-groups")
-    crossed = by_language(kept, groups.where("kept > 0")).join(counts, ["lang", "source", "term"], "left")
+    totals = found.groupBy("gid").agg(F.sum("n").alias("total"))
+    groups = sources.join(totals, "gid", "left").join(langs, "lang")
+    crossed = by_language(kept.select("lang", "tid", "lang_n"), groups).join(found, ["gid", "tid"], "left")
     n, total = F.coalesce("n", F.lit(0)), F.coalesce("total", F.lit(0))
-    shares = crossed.select("lang", "source", "term", n.alias("n"), share(n, total, F.col("kept")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"))
-    return groups.select("lang", "source"), materialize(shares, "divergence-shares")
+    shares = crossed.select("gid", "tid", n.alias("n"), share(n, total, F.col("kept")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"))
+    return sources, kept, materialize(shares, "divergence-shares")
 
 
 def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TOP) -> DataFrame:
@@ -78,26 +84,23 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TO
     ``docs`` has ``text``, ``lang`` and ``source``; nulls are empty strings.
     """
     docs = docs.select(whole_text().alias("text"), whole_text("lang").alias("lang"), whole_text("source").alias("source"))
-    groups, shares = densified(docs, least_documents)
-    own = shares.select("lang", "term", "source", "p")
-    other = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    # Each couple of sources meets once for both directions.
-    met = own.join(other, ["lang", "term"]).where("source < item")
-    both = met.groupBy("lang", "source", "item").agg(F.sum(relative_square(F.col("p"), F.col("q"))).alias("there"), F.sum(relative_square(F.col("q"), F.col("p"))).alias("back"))
+    groups, kept, shares = densified(docs, least_documents)
+    # A term's number stands for its language and its text.  Each couple of sources meets once for both directions.
+    own, other = shares.select("tid", "gid", "p"), shares.select("tid", F.col("gid").alias("other"), F.col("p").alias("q"))
+    met = own.join(other, "tid").where("gid < other")
+    p, q = F.col("p"), F.col("q")
+    both = met.groupBy("gid", "other").agg(F.sum(relative_square(p, q)).alias("there"), F.sum(relative_square(q, p)).alias("back"))
     turned = F.inline(F.array(
-        F.struct("source", "item", F.col("there").alias("value")),
-        F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")),
+        F.struct("gid", "other", F.col("there").alias("value")),
+        F.struct(F.col("other").alias("gid"), F.col("gid").alias("other"), F.col("back").alias("value")),
     ))
-    sums = both.select("lang", turned)
-    couples = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
+    couples = groups.join(groups.select("lang", F.col("gid").alias("other"), F.col("source").alias("item")), "lang").where("gid <> other")
+    pairs = couples.join(both.select(turned), ["gid", "other"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+    more = shares.where((F.col("n") > 0) & (p > q)).select("gid", "tid", relative_square(p, q).alias("value"))
+    terms = more.join(kept.select("tid", F.col("term").alias("item")), "tid").join(groups, "gid")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = couples.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-    ranked_pairs = pairs.withColumn("rank", F.row_number().over(order))
-    more = shares.where((F.col("n") > 0) & (F.col("p") > F.col("q")))
-    terms = more.select("lang", "source", F.col("term").alias("item"), relative_square(F.col("p"), F.col("q")).alias("value"))
-    ranked_terms = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
-    return columns(ranked_pairs, "pair").unionByName(columns(ranked_terms, "term"))
+    ranked = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
+    return ranked(pairs, "pair").unionByName(ranked(terms, "term").where(F.col("rank") <= top))
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
