@@ -1,8 +1,8 @@
 """Token ids of whole documents in files: canonical length-limited Huffman codes, independent blocks, checkpoints.
 
 Global counts of ids give one code for the corpus, of at most ``MAX_BITS`` bits (package-merge).  It is
-canonical: the lengths alone, in ``codebook.bin``, define it.  Documents are encoded where they are
-tokenised, dealt by ranges of ``doc_id``, and written in ascending order.
+canonical: the lengths alone, in ``codebook.bin``, define it.  Documents are tokenised
+once, dealt by ranges of ``doc_id``, encoded, and written in ascending order.
 
 A file (little-endian) is a head ``QTID, version, documents, blocks, payload bytes``; per document its id, whether
 it has one, and its number of ids; per block the bit at which it starts (a checkpoint); then the bits.  A
@@ -11,7 +11,7 @@ another, so a reader may start at any checkpoint; ours decodes many at once, one
 and step.  Only files in the written manifest are read: leftovers of lost or repeated tasks are not.
 
 Edge cases: a null or empty text is the single end id; a null ``doc_id`` comes first and stays null; rows that
-share an id follow one another in the order of their codes and are rows of their own; an empty table gives
+share an id follow one another in the order of a hash of their ids and are rows of their own; an empty table gives
 no rows; other columns are ignored.  A text is tokenised in pieces, but its codes are held at once.
 """
 
@@ -38,22 +38,32 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 MAX_BITS, BLOCK_IDS, ROLL_BYTES, DECODED_IDS = 16, 1024, 32 << 20, 4 << 20
 MAGIC, VERSION = b"QTID", 1
 HEAD, BOOK = struct.Struct("<4sIQQQ"), struct.Struct("<4sIII")
-CACHED_WORDS = 600_000
+CACHED_WORDS, FLUSH_CHARS = 1_200_000, 4 << 20
 
 # -- ids ------------------------------------------------------------------------------------------
 
 #: Texts of these characters alone are split here as the vocabulary's own splitter would split them.
 PLAIN = re.compile(r"[\t\n\r\x20-~À-ÖØ-öø-ÿ]*")
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+#: Letters and digits come first: no other alternative can begin where they do.
+WORD = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: No token reaches across such a blank: it begins the next one.
 SEAM = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 PIECE_CHARS = 1 << 14
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which the vocabulary writes bytes: printable ones stand for themselves, the others for those from U+0100 on."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class ByteIds:
-    """Ids of texts as little-endian 32-bit integers, by way of words whose ids are kept.
+    """Ids of texts, by way of distinct words.
 
+    The words of several texts are dictionary-encoded together; the library encodes each distinct word that is not
+    known yet, and the ids are put together by number.  About ``CACHED_WORDS`` words are kept, those met again longest.
     Pieces with other characters, or with the text of a special token, are encoded whole by the library, and so
     is every piece where the vocabulary is not the default one.
     """
@@ -61,11 +71,16 @@ class ByteIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model, self.letters = tokenizer.encode, tokenizer.model, byte_letters()
+        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.by_words = os.path.basename(path) == TOKENIZER
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
     def pieces(self, text: str) -> Iterator[str]:
         start = 0
         while len(text) - start > PIECE_CHARS and (seam := SEAM.search(text, start + PIECE_CHARS)):
@@ -73,32 +88,64 @@ class ByteIds:
             start = seam.start()
         yield text[start:] if start else text
 
-    def __call__(self, text: str) -> bytes:
-        if not self.by_words:
-            ids = self.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.piece, self.pieces(text)))
-
-    def piece(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or "<|" in text:
-            ids = self.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        words = WORD.findall(text)
-        new = list(set(words).difference(self.known))
-        if new and self.older:
-            self.known.update((w, self.older[w]) for w in new if w in self.older)
-            new = [w for w in new if w not in self.older]
-        if new:
-            found = self.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids: list[list[int]] = [[] for _ in new]
-            for i, k in zip(found.ids, found.word_ids, strict=True):
-                ids[k].append(i)
-            self.known.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(new, ids, strict=True))
-        out = b"".join(map(self.known.__getitem__, words))
-        if len(self.known) > CACHED_WORDS // 2:
-            self.known, self.older = {}, self.known
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        known = self.known
+        if self.older:
+            known.update((w, self.older[w]) for w in words if w not in known and w in self.older)
+        if new := [w for w in words if w not in known]:
+            # The library's merges alone, for what its splitter has nothing left to split.
+            found = [[t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))] for w in new]
+            ids = np.array([i for x in found for i in x], self.kind).tobytes()
+            cuts = np.cumsum([0, *map(len, found)]) * self.kind.itemsize
+            known.update((w, ids[i:j]) for w, i, j in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        out = list(map(known.__getitem__, words))
+        if len(known) > CACHED_WORDS // 2:
+            self.known, self.older = {}, known
         return out
 
+    def joined(self, words: list[str], ends: list[int], odd: list[bytes]) -> list[np.ndarray]:
+        """The ids of pieces, each of which is the words up to its end; what begins with NUL is a place in ``odd``."""
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        plain = [w for w in distinct if w[0] != "\0"]
+        found = iter(self.of_words(plain))
+        parts = [odd[int(w[1:])] if w[0] == "\0" else next(found) for w in distinct] if odd else list(found)
+        flat, n = np.frombuffer(b"".join(parts), self.kind), np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        first, n = (np.cumsum(n) - n)[at], n[at]
+        stop = np.cumsum(n)
+        ids = flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first - (stop - n), n)]
+        bounds = np.append(0, stop)[np.array([0, *ends])].tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.frombuffer(self.whole(t), self.kind) for t in texts]
+        pieces: list[list[np.ndarray]] = [[] for _ in texts]
+        words, ends, owners, odd, size = [], [], [], [], 0
+
+        def flush() -> None:
+            for k, ids in zip(owners, self.joined(words, ends, odd), strict=True):
+                pieces[k].append(ids)
+            for x in (words, ends, owners, odd):
+                x.clear()
+
+        for k, text in enumerate(texts):
+            for piece in self.pieces(text):
+                if PLAIN.fullmatch(piece) and "<|" not in piece:
+                    words += WORD.findall(piece)
+                else:
+                    words.append(f"\0{len(odd)}")
+                    odd.append(self.whole(piece))
+                ends.append(len(words))
+                owners.append(k)
+                size += len(piece)
+                if size >= FLUSH_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return [np.concatenate(x) if len(x) > 1 else x[0] for x in pieces]
+
 
 @lru_cache(maxsize=1)
 def byte_ids(path: str) -> ByteIds:
@@ -114,16 +161,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def token_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, ids`` of every document, the end id last; ids as little-endian 16-bit integers where they fit, else 32."""
+    """``doc_id, wide, ids`` of every document, the end id last; ids as little-endian integers of 16 bits or, where ``wide``, 32."""
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = byte_ids(path), struct.pack("<I", end_id)
+        encode = byte_ids(path)
+        end = np.array([end_id], encode.kind).tobytes()
         for b in batches:
-            rows = [np.frombuffer(encode(text) + end, "<u4") for text in b.column("text").to_pylist()]
-            wide = [bool(x.max() > 65535) for x in rows]
-            data = [x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(rows, wide, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(wide, pa.bool_()), pa.array(data, pa.binary())], ["doc_id", "wide", "ids"])
+            data = [ids.tobytes() + end for ids in encode(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([encode.kind.itemsize == 4] * len(data), pa.bool_()), pa.array(data, pa.binary())], ["doc_id", "wide", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(give_back(run), "doc_id long, wide boolean, ids binary")
 
@@ -214,18 +260,19 @@ class Code:
         size = int(self.ids.max()) + 1 if len(self.ids) else 0
         code, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
         code[self.ids], length[self.ids] = self.codes, self.lengths
+        across = (self.bits + 14) // 8
 
         def encode(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
             n = length[ids]
             ends = np.cumsum(n)
             at = ends - n
             byte, bit = at >> 3, at & 7
-            # A code of at most 24 bits from any bit on lies in four bytes; bits of different codes never meet, so sums are unions.
-            put = code[ids] << (32 - n - bit)
+            # A code from any bit on lies in so many bytes; bits of different codes never meet, so sums are unions.
+            put = code[ids] << (8 * across - n - bit)
             total = int(ends[-1] + 7) >> 3 if len(ids) else 0
-            out = np.zeros(total + 4, np.float64)
-            for k in range(4):
-                part = np.bincount(byte, weights=(put >> (24 - 8 * k)) & 255, minlength=total)
+            out = np.zeros(total + across, np.float64)
+            for k in range(across):
+                part = np.bincount(byte, weights=(put >> (8 * (across - 1 - k))) & 255, minlength=total)
                 out[k : k + len(part)] += part
             return out[:total].astype(np.uint8).tobytes(), at[BLOCK_IDS::BLOCK_IDS]
 
@@ -316,16 +363,10 @@ def write_ids(ids: DataFrame, out: str, max_bits: int = MAX_BITS, roll_bytes: in
     with store.open_output_stream(f"{base}/codebook.bin", compression=None) as sink:
         sink.write(code.to_bytes())
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = code.encoder()
-        for b in batches:
-            rows = [(len(x), *encode(x)) for x in unpacked(b)]
-            columns = [b.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2].astype("<i8").tobytes() for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "bits", "points"])
-
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(out)
         part, held, size, done = TaskContext.get().partitionId(), [], 0, []
+        encode = code.encoder()
 
         def close() -> None:
             name = f"{part:06d}-{len(done):06d}-{uuid.uuid4().hex}.ids"
@@ -334,9 +375,10 @@ def write_ids(ids: DataFrame, out: str, max_bits: int = MAX_BITS, roll_bytes: in
             done.append((name, part, len(done), len(held), sum(x[1] for x in held)))
 
         for b in batches:
-            for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "bits", "points")), strict=True):
-                held.append(x)
-                size += len(x[2]) + 32
+            for doc_id, found in zip(b.column("doc_id").to_pylist(), unpacked(b), strict=True):
+                bits, points = encode(found)
+                held.append((doc_id, len(found), bits, points.astype("<i8").tobytes()))
+                size += len(bits) + 32
                 if size >= roll_bytes:
                     close()
                     held, size = [], 0
@@ -347,10 +389,10 @@ def write_ids(ids: DataFrame, out: str, max_bits: int = MAX_BITS, roll_bytes: in
 
     total = int(np.dot(np.asarray(counts["n"], dtype=np.float64)[np.argsort(np.asarray(counts["id"]))], code.lengths[np.argsort(code.ids)])) // 8
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // roll_bytes + 1)
-    rows = ids.mapInArrow(give_back(encoded), "doc_id long, n long, bits binary, points binary").withColumn("tie", F.xxhash64("bits")).withColumn("row", F.monotonically_increasing_id())
+    # Dealt before they are encoded: finding the ranges reads the table twice, but encodes nothing.
     order = [F.col("doc_id").asc_nulls_first(), "tie", "row"]
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    manifest = materialize(dealt.select("doc_id", "n", "bits", "points").mapInArrow(give_back(written), "path string, part int, seq int, documents long, ids long"), "ids-manifest")
+    dealt = ids.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    manifest = materialize(dealt.select("doc_id", "wide", "ids").mapInArrow(give_back(written), "path string, part int, seq int, documents long, ids long"), "ids-manifest")
     # One row a file; files before this one: those of smaller parts, then of smaller numbers.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))), "ids-starts")
