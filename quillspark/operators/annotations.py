@@ -86,7 +86,7 @@ def part_fault(p: Column, width: Column, height: Column) -> Column:
     return (
         F.when(p.isNull(), BAD_PART)
         .when((F.size(p) < 6) | (F.size(p) % 2 == 1), FEW_POINTS)
-        .when(F.exists(p, lambda v: v.isNull()), NOT_FINITE)
+        .when(F.exists(p, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), NOT_FINITE)
         .when(beyond, OUTSIDE)
         .when(G.polygon_area(G.points(p)) == 0, NO_AREA)
     )
@@ -134,6 +134,48 @@ def convert_rows(rows: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFra
     return regions, fields, codes.where("code is not null")
 
 
+def convert_pairs(images: DataFrame, boxes: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Regions, fields, flags and refusals of documents that come as three files.
+
+    ``images``: ``img_id, width, height``; ``boxes`` and ``entities``: ``img_id, text``, lines of eight numbers and a text, and an object of
+    fields.  A field that is not there is ``source_missing``, an empty one ``annotated_empty``; a text of three stars is uncertain.
+    Flags are sorted; refusals name what file is missing.
+    """
+    named = lambda df, n, *more: df.select("img_id", *more, F.lit(True).alias(n))
+    every = named(images, "image", "width", "height").join(named(boxes, "box", F.col("text").alias("lines")), "img_id", "full_outer").join(named(entities, "entities", F.col("text").alias("object")), "img_id", "full_outer")
+    missing = F.filter(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in ("image", "box", "entities"))), lambda x: x.isNotNull())
+    every = every.withColumn("missing", missing)
+    whole = every.where(F.size("missing") == 0)
+    each = whole.select("img_id", "width", "height", F.posexplode(F.split(F.coalesce("lines", F.lit("")), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("at", "line")).where(F.trim("line") != "")
+    cut = F.split("line", ",", 9)
+    each = each.withColumns({"cut": cut}).withColumn("points", F.transform(F.slice("cut", 1, 8), lambda x: F.trim(x).try_cast("double")))
+    fault = F.when(F.size("cut") < 9, "INVALID_BOX_LINE").when(F.exists("points", lambda x: x.isNull()), "INVALID_BOX_COORDINATE").otherwise(part_fault(F.col("points"), F.col("width"), F.col("height")))
+    each = each.withColumn("fault", fault)
+    text = F.get("cut", F.lit(8))
+    v = F.try_parse_json("object")
+    value = lambda f: F.try_variant_get(v, f"$.{f}", "variant")
+    strange = F.array(*(value(f) for f in FIELDS.values()))
+    object_fault = F.when(v.isNull(), "INVALID_JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "INVALID_JSON_ROOT").when(F.exists(strange, lambda x: x.isNotNull() & (F.schema_of_variant(x) != "STRING")), "NONSTRING_ENTITY_VALUE")
+    first = each.groupBy("img_id").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("at"))).alias("line_fault"), F.bool_or(F.trim(text) == "***").alias("unsure"))
+    judged = whole.join(first, "img_id", "left").withColumn("code", F.coalesce("line_fault", object_fault))
+    none = F.array().cast("array<string>")
+    refused = every.where(F.size("missing") > 0).select("img_id", F.lit("MISSING_PAIRED_FILE").alias("code"), "missing").unionByName(judged.where("code is not null").select("img_id", "code", none.alias("missing")))
+    good = judged.where("code is null")
+    kept = F.struct(*(F.struct(value(f).isNotNull().alias("there"), F.try_variant_get(v, f"$.{f}", "string").alias("value")).alias(f) for f in FIELDS.values()))
+    opened = good.select("img_id", "unsure", kept.alias("k"), F.map_keys(F.from_json("object", "map<string,string>")).alias("keys"))
+    status = lambda f: F.when(~F.col(f"k.{f}.there"), "source_missing").when(F.col(f"k.{f}.value") == "", "annotated_empty").otherwise("annotated")
+    fields = opened.select("img_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), status(f).alias("status"), F.nullif(F.col(f"k.{f}.value"), F.lit("")).alias("raw_value")) for f in FIELDS.values()))))
+    unknown = F.size(F.array_except("keys", F.array(*map(F.lit, FIELDS.values())))) > 0
+    said = [F.when(unknown, "UNKNOWN_ENTITY_KEYS"), F.when(F.col("unsure"), "UNCERTAIN_OCR_MARKER")]
+    for f in FIELDS.values():
+        said.append(F.when(status(f) == "source_missing", f"SOURCE_MISSING_{f.upper()}").when(status(f) == "annotated_empty", f"ANNOTATED_EMPTY_{f.upper()}"))
+    flags = opened.select("img_id", F.array_sort(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("flags"))
+    axis = lambda k: F.filter("points", lambda _, i: i % 2 == k)
+    box = F.array(F.array_min(axis(0)), F.array_min(axis(1)), F.array_max(axis(0)), F.array_max(axis(1)))
+    regions = each.join(good.select("img_id"), "img_id").select("img_id", F.format_string("r%04d", F.col("at") + 1).alias("region_id"), text.alias("text"), "points", box.alias("bbox"), F.when(F.trim(text) == "***", "uncertain_marker").otherwise("unlabeled").alias("status"))
+    return regions, fields, flags, refused
+
+
 def decode_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the labelling table as regions ``img_id, pos, label, text, line_item_id, points, source``, and refusals ``img_id, code``.
 

@@ -316,10 +316,10 @@ def greedy_objective_split(spark, sf_dir):
     return splits.greedy_objective(g, "c_nationkey", ["documents", "orders"], {"train": 0.8, "val": 0.1, "test": 0.1})
 
 
-@query("""with k as (select strftime(o_orderdate, '%Y%m%d') || '|' || regexp_replace(printf('%.2f', o_totalprice), '[^0-9]', '', 'g') as key from orders) select key, count(*) as n from k group by 1 having count(*) > 1""")
+@query("""with k as (select strftime(o_orderdate, '%Y%m') || '|' || cast(floor(o_totalprice / 1000) as bigint) as key from orders) select key, count(*) as n from k group by 1 having count(*) > 1""")
 def record_linkage_key(spark, sf_dir):
-    """Order date and total as digits link orders that may be one receipt."""
-    k = linkage.record_key(F.date_format("o_orderdate", "yyyy-MM-dd"), F.format_string("%.2f", "o_totalprice"))
+    """Month and total in thousands, as digits, link orders that may be one receipt."""
+    k = linkage.record_key(F.date_format("o_orderdate", "yyyy-MM"), F.format_string("%,d", F.floor(F.col("o_totalprice") / 1000)))
     return table(spark, sf_dir, "orders").select(k.alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 

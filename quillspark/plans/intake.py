@@ -87,10 +87,11 @@ def last_per_key(spark, sf_dir):
     return snapshots.last_per_key(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "ts")
 
 
-@query("""select c_custkey from customer where c_custkey not in (select o_custkey from orders)""")
+@query("""select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')""")
 def still_to_do(spark, sf_dir):
-    """Customers without an order yet."""
-    return snapshots.still_to_do(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers without an urgent order yet."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return snapshots.still_to_do(table(spark, sf_dir, "customer").select("c_custkey"), urgent.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""select p_brand, p_partkey % 4 = 0 as hit, count(*) as n, cast(sum(length(p_name)) as bigint) as total from part group by 1, 2""")

@@ -95,3 +95,27 @@ def test_changed_regions_get_a_record_of_their_own(spark):
     assert {r["img_id"]: r["code"] for r in refused.collect()} == {"b": "INVALID_CATEGORY", "c": "EMPTY_TEXT", "d": "LINE_ITEM_ID_MISSING", "e": "MISSING_SEGMENTATION", "f": "POLYGON_OUT_OF_IMAGE", "g": "DEGENERATE_POLYGON"}
     (r,) = rows.collect()
     assert r["anno_polygons"] == "[{'category_id': 15, 'segmentation': [[1, 1, 20, 1, 20.25, 9, 1, 9]], 'area': 153.02, 'bbox': [1, 1, 19.25, 8], 'width': 100, 'height': 50}]" and r["anno_labels"] == "SELLER"
+
+
+def test_documents_of_three_files(spark):
+    line = "1,1,20,1,20.5,9,1,9,Total, 5"
+    entity = json.dumps({"company": "Shop", "address": "", "date": "01/02/2020", "total": "5"})
+    cases = {
+        "good": (f"{line}\n\n 2,2,20,2,20,9,2,9,*** \n", json.dumps({"company": "Shop", "address": "", "date": "x", "more": 1}), None),
+        "none": ("", entity, None),
+        "line": ("1,1,20,1,20.5,9,1,9", entity, "INVALID_BOX_LINE"),
+        "number": (f"{line}\n1,1,2O,1,20.5,9,1,9,x\n1,2", entity, "INVALID_BOX_COORDINATE"),
+        "finite": ("1,1,nan,1,20.5,9,1,9,x", entity, "NONFINITE_COORDINATE"),
+        "out": ("1,1,200,1,20.5,9,1,9,x", entity, "POLYGON_OUT_OF_IMAGE"),
+        "json": (line, "{", "INVALID_JSON"),
+        "root": (line, "[1]", "INVALID_JSON_ROOT"),
+        "value": (line, json.dumps({"company": 5}), "NONSTRING_ENTITY_VALUE"),
+    }
+    images = spark.createDataFrame([(k, 100, 50) for k in cases] + [("alone", 1, 1)], "img_id string, width int, height int")
+    boxes = spark.createDataFrame([(k, v[0]) for k, v in cases.items()] + [("lost", line)], "img_id string, text string")
+    entities = spark.createDataFrame([(k, v[1]) for k, v in cases.items()], "img_id string, text string")
+    regions, fields, flags, refused = A.convert_pairs(images, boxes, entities)
+    assert {r["img_id"]: (r["code"], r["missing"]) for r in refused.collect()} == {k: (v[2], []) for k, v in cases.items() if v[2]} | {"alone": ("MISSING_PAIRED_FILE", ["box", "entities"]), "lost": ("MISSING_PAIRED_FILE", ["image", "entities"])}
+    assert {r["img_id"]: r["flags"] for r in flags.collect()} == {"good": ["ANNOTATED_EMPTY_ADDRESS", "SOURCE_MISSING_TOTAL", "UNCERTAIN_OCR_MARKER", "UNKNOWN_ENTITY_KEYS"], "none": ["ANNOTATED_EMPTY_ADDRESS"]}
+    assert {r["field"]: (r["status"], r["raw_value"]) for r in fields.where("img_id = 'good'").collect()} == {"company": ("annotated", "Shop"), "address": ("annotated_empty", None), "date": ("annotated", "x"), "total": ("source_missing", None)}
+    assert [(r["region_id"], r["text"], r["status"], r["bbox"]) for r in regions.orderBy("region_id").collect()] == [("r0001", "Total, 5", "unlabeled", [1.0, 1.0, 20.5, 9.0]), ("r0003", "*** ", "uncertain_marker", [2.0, 2.0, 20.0, 9.0])]
