@@ -27,8 +27,8 @@ def nfc(s: pd.Series) -> pd.Series:
 
 
 def compose(c: Column) -> Column:
-    """NFC, through Python only for texts with a character that composition may change."""
-    return F.when(c.rlike(f"[^{INERT}]"), nfc(c)).otherwise(c)
+    """NFC, through Python only for texts with a character that composition may change: the others are not sent there."""
+    return F.coalesce(nfc(F.when(c.rlike(f"[^{INERT}]"), c)), c)
 
 
 @F.pandas_udf(StringType())
@@ -59,7 +59,7 @@ def match_key(c: Column) -> Column:
 def fold(c: Column) -> Column:
     """Lower case without marks, ``đ`` as ``d``: by a table of letters, through Python where another character stands."""
     low = F.translate(F.lower(c), MARKED, PLAIN)
-    return F.when(low.rlike("[^\\x00-\\x7f]"), without_marks(low)).otherwise(low)
+    return F.coalesce(without_marks(F.when(low.rlike("[^\\x00-\\x7f]"), low)), low)
 
 
 def digits(c: Column) -> Column:

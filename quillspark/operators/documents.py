@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,15 +96,17 @@ def tag_rows(rows: DataFrame, doc: str, row: str, text: str, height: str | None
     end in an amount, above the first row that names a total.  A null text is an empty one.
     """
     folded = F.coalesce(X.fold(F.col(text)), F.lit(""))
-    has = lambda words: reduce(or_, (F.col("__text").contains(w) for w in words))
-    strength = F.coalesce(*(F.when(F.col("__text").contains(w) & ~has([x for x in NOT_TOTAL if x not in w]), F.lit(i)) for i, w in enumerate(TOTAL_WORDS)))
+    # One pattern for all words that rule a row out, none of which lies in a total word; and the total words only where it fails.
+    one_of = lambda words: "|".join(f"\\Q{w}\\E" for w in words)
+    between = lambda words: f"(^|[^a-z0-9])({one_of(words)})([^a-z0-9]|$)"
+    strength = F.when(~F.col("__text").rlike(one_of(NOT_TOTAL)), F.coalesce(*(F.when(F.col("__text").contains(w), F.lit(i)) for i, w in enumerate(TOTAL_WORDS))))
     money = lambda w: w.rlike(MONEY)
     letters, numbers = F.length(F.regexp_replace("__text", "[^a-z]", "")), F.length(F.regexp_replace("__text", "[^0-9]", ""))
     marks = {
         "__date": F.coalesce(F.col(text).rlike(DATE), F.lit(False)),
         "__amount": F.exists("__words", money),
         "__ends": money(F.element_at("__words", -1)),
-        "__named": header_hits(F.col("__text"), list(COLUMN_NAMES)) >= 2,
+        "__named": F.when(F.col("__text").rlike(between(COLUMN_NAMES)), header_hits(F.col("__text"), list(COLUMN_NAMES)) >= 2).otherwise(False),
         "__stop": F.col("__text").rlike(ITEMS_END),
         "__place": F.col("__text").rlike(ADDRESS) & ~F.col("__text").rlike(NOT_SELLER),
         "__strength": strength,
@@ -135,7 +135,7 @@ def tag_rows(rows: DataFrame, doc: str, row: str, text: str, height: str | None
         .when(r == F.col("__time"), "TIMESTAMP")
         .when(F.col("__address"), "ADDRESS")
         .when(r == F.col("__seller"), "SELLER")
-        .when(~F.col("__head") & F.col("__ends") & (header_hits(F.col("__text"), list(NOT_ITEM)) == 0) & (~named | (r > F.col("__table"))) & (F.col("__items_end").isNull() | (r < F.col("__items_end"))), "ITEM")
+        .when(~F.col("__head") & F.col("__ends") & ~F.col("__text").rlike(between(NOT_ITEM)) & (~named | (r > F.col("__table"))) & (F.col("__items_end").isNull() | (r < F.col("__items_end"))), "ITEM")
     )
     seller = F.min(F.when(F.col("__able") & (F.col("__nth") <= SELLER_ROWS), tall)).over(every)["r"]
     return counted.withColumn("__seller", seller).withColumn("label", label).select(*rows.columns, "label")
