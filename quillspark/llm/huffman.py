@@ -21,7 +21,6 @@ import os
 import re
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 

@@ -24,7 +24,7 @@ def test_empty_tables(folder, spark, name):
     assert QUERIES[name](spark, d).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op1_paragraph_minhash", "op2_warc_roundtrip", "op8_decontaminate", "op9_best_fit_packing"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op1_paragraph_minhash", "op2_warc_roundtrip", "op8_decontaminate", "op9_best_fit_packing", "op11_impact_search", "op13_source_divergence"}))
 def test_odd_rows_all_come_back(folder, spark, odd, name):
     d = folder(odd, labels=([(3, 1, 0), (3, 0, 0), (4, None, None), (99, 1, 1)], LABELS), benchmark=([(1, None), (2, "")], BENCH))
     got = Counter(r["doc_id"] for r in QUERIES[name](spark, d).collect())

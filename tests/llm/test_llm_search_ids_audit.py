@@ -203,3 +203,16 @@ def test_large_counts_stay_exact(spark):
     df = spark.createDataFrame(pa.table({"n": pa.array([5 * 10**13, 0]), "t": pa.array([10**15, 10**15]), "v": pa.array([10**6, 10**6])}))
     got = [r[0] for r in df.select(divergence.share(df.n, df.t, df.v)).collect()]
     assert got == [1 + 10**9 * (n + 1) // (10**15 + 10**6) for n in (5 * 10**13, 0)]
+
+
+def test_texts_of_several_megabytes(spark, folder):
+    rng = random.Random(6)
+    docs = [(1, prose(rng, 600_000, 3000)), (2, "short w1 w2"), (3, None)]
+    items = [(1, "w1 w2 w2999"), (2, "short")]
+    d = folder(docs, benchmark=(items, BENCH))
+    got = sorted((tuple(r) for r in lexical.op11_impact_search(spark, d).select("item_id", "rank", "doc_id", "score").collect()), key=str)
+    assert got == ranked(docs, items)
+    ids = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in huffman.op12_huffman_ids(spark, d).collect()}
+    assert ids == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in expected_ids(docs)}
+    got = divergence.audit(spark.read.parquet(f"{d}/documents.parquet"), least_documents=1).select("lang", "source", "part", "item", "value", "rank")
+    assert got.count() == 0  # one source: nothing to compare with, and no share above the language's
