@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from ..operators import annotations, scores
+from ..sources import exports
+from ..storage import scratch
 from .bindings import table
 
 QUERIES: dict = {}
@@ -116,3 +120,27 @@ def matched_cell_rates(spark, sf_dir):
     pred = lines.where(part % 7 != 0).withColumns({"quantity": F.when(part % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("quantity")), "price": F.when(part % 11 == 0, "0").otherwise(F.col("price"))})
     extra = lines.where(part % 13 == 0).select("d", (F.col("item") + 100).alias("item"), F.lit("extra").alias("name"), F.lit(None).cast("string").alias("quantity"), F.lit("1").alias("price"))
     return scores.cell_rates(scores.matched_cells(lines, pred.unionByName(extra), "d", "item", ["name", "quantity", "price"]))
+
+
+@query("""
+WITH regions AS (
+  SELECT CASE p_partkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' WHEN 2 THEN 'spare' ELSE 'train' END AS split, p_brand AS label, p_size AS side,
+    CASE WHEN p_partkey % 6 = 0 THEN '' ELSE p_name || CASE p_partkey % 8 WHEN 1 THEN '~' WHEN 2 THEN '^~^' ELSE '' END END AS text FROM part),
+tagged AS (
+  SELECT *, CASE WHEN text = '' THEN 'skipped_empty_text' WHEN contains(text, '~') OR contains(text, '^') THEN 'skipped_out_of_vocab' WHEN side < 4 THEN 'skipped_bad_crop' ELSE 'kept' END AS outcome
+  FROM regions WHERE split <> 'spare')
+SELECT split, 'outcome' AS kind, outcome AS name, count(*) AS n FROM tagged GROUP BY ALL
+UNION ALL SELECT split, 'label', label, count(*) FROM tagged WHERE outcome = 'kept' GROUP BY ALL
+UNION ALL SELECT split, 'character', c, count(*) FROM tagged, (SELECT unnest(['~', '^']) AS c) WHERE outcome = 'skipped_out_of_vocab' AND contains(text, c) GROUP BY ALL
+UNION ALL SELECT split, 'written', 'lines', count(*) FROM tagged WHERE outcome = 'kept' GROUP BY ALL
+""")
+def export_samples(spark, sf_dir):
+    """Samples of parts exported with a count for all that is left out; the annotation lines are read back."""
+    k = F.col("p_partkey")
+    split = F.when(k % 10 == 0, "test").when(k % 10 == 1, "val").when(k % 10 == 2, "spare").otherwise("train")
+    text = F.when(k % 6 == 0, "").otherwise(F.concat("p_name", F.when(k % 8 == 1, "~").when(k % 8 == 2, "^~^").otherwise("")))
+    regions = table(spark, sf_dir, "part").select(split.alias("split"), F.concat(k.cast("string"), F.lit(".jpg")).alias("img_id"), F.lit(1).alias("region"), F.col("p_brand").alias("label"), text.alias("text"), F.lit(50).alias("width"), F.col("p_size").alias("height"))
+    out = scratch(spark, "export")
+    tagged, _ = exports.export_samples(regions, string.ascii_letters + string.digits + " -#", out, ["train", "val", "test"])
+    lines = spark.read.text(f"{out}/annotations").groupBy("split").agg(F.count("*").alias("n")).select("split", F.lit("written").alias("kind"), F.lit("lines").alias("name"), "n")
+    return exports.summary(tagged).unionByName(lines)
