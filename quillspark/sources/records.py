@@ -33,9 +33,18 @@ def write_json_lines(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def lines_digest(df: DataFrame, key: str) -> DataFrame:
-    """``key, records, digest`` per key: an order-free digest (sum of line hashes) that many tasks can share."""
+    """``key, records, digest`` per key: an order-free digest (sum of line hashes) that many tasks can share.
+
+    The sum is taken modulo 2^64, as a signed number: of some 65,000 lines on a key it can pass what 64 bits hold.
+    """
     h = F.conv(F.substring(F.sha2(canonical_json(df).cast("binary"), 256), 1, 12), 16, 10).cast("long")
-    return df.select(F.col(key), h.alias("h")).groupBy(key).agg(F.count("*").alias("records"), F.sum("h").alias("digest"))
+    halves = F.sum(F.shiftright("h", 24)).alias("__high"), F.sum(F.col("h").bitwiseAND((1 << 24) - 1)).alias("__low")
+    # Whole 2^40 of the upper halves are multiples of 2^64 and go; what is left is added exactly.
+    exact = F.col("__high").bitwiseAND((1 << 40) - 1).cast("decimal(20,0)") * F.lit(1 << 24).cast("decimal(10,0)") + F.col("__low").cast("decimal(20,0)")
+    whole = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    rest = exact % whole
+    digest = F.when(rest >= F.lit(str(1 << 63)).cast("decimal(20,0)"), rest - whole).otherwise(rest).cast("long")
+    return df.select(F.col(key), h.alias("h")).groupBy(key).agg(F.count("*").alias("records"), *halves).select(key, "records", digest.alias("digest"))
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
