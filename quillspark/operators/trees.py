@@ -44,7 +44,7 @@ def nodes(df: DataFrame, keys: list[str], tree: str) -> DataFrame:
 def collect_key(found: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``keys, path, kind, value`` of the members of every array that stands under ``name``, wherever, in the order of their paths."""
     arrays = found.where((F.col("kind") == "array") & (F.col("name") == name)).select(*keys, F.col("path").alias("parent"))
-    inside = found.join(arrays, [*keys, "parent"], "left_semi")
+    inside = found.join(arrays.hint("merge"), [*keys, "parent"], "left_semi")
     return inside.select(*keys, "parent", F.col("name").cast("int").alias("position"), "kind", "value")
 
 
@@ -52,7 +52,7 @@ def holders(found: DataFrame, keys: list[str], name: str, kind: str = "array") -
     """Paths of the objects that have a member ``name`` of that kind (``keys, path``)."""
     objects = found.where("kind = 'object'").select(*keys, "path")
     members = found.where((F.col("name") == name) & (F.col("kind") == kind)).select(*keys, F.col("parent").alias("path"))
-    return objects.join(members, [*keys, "path"], "left_semi")
+    return objects.join(members.hint("merge"), [*keys, "path"], "left_semi")
 
 
 def subset_faults(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,15 +62,17 @@ def subset_faults(expected: DataFrame, actual: DataFrame, keys: list[str]) -> Da
     by value.  Of a missing or different node its descendants are not told again.
     """
     keyed = lambda df, s: df.select(*keys, "path", F.col("parent").alias(f"parent_{s}"), F.col("kind").alias(f"kind_{s}"), F.col("value").alias(f"value_{s}"))
-    both = keyed(expected, "e").join(keyed(actual, "a"), [*keys, "path"], "left")
+    # Nodes repeat their keys and paths, so their files are a fraction of the rows: joins are by sorting, never a broadcast.
+    sorted_ = lambda df: df.hint("merge")
+    both = keyed(expected, "e").join(sorted_(keyed(actual, "a")), [*keys, "path"], "left")
     number = lambda s: F.col(f"value_{s}").try_cast("double")
     same = F.when(F.col("kind_e") == "number", number("e") == number("a")).otherwise(F.col("value_e").eqNullSafe(F.col("value_a")))
     fault = F.when(F.col("kind_a").isNull(), "MISSING").when(F.col("kind_e") != F.col("kind_a"), "KIND").when(~F.coalesce(same, F.lit(False)), "VALUE")
     told = both.withColumn("fault", fault).where("fault is not null").select(*keys, "path", F.col("parent_e").alias("parent"), "fault")
     # What an array has beyond the expected one.
     arrays = expected.where("kind = 'array'").select(*keys, F.col("path").alias("parent"))
-    more = actual.join(arrays, [*keys, "parent"], "left_semi").join(expected.select(*keys, "path"), [*keys, "path"], "left_anti").select(*keys, "path", "parent", F.lit("EXTRA").alias("fault"))
+    more = actual.join(sorted_(arrays), [*keys, "parent"], "left_semi").join(sorted_(expected.select(*keys, "path")), [*keys, "path"], "left_anti").select(*keys, "path", "parent", F.lit("EXTRA").alias("fault"))
     every = told.unionByName(more)
     # A parent that is missing, or of another kind, stands for what is below it.
     roots = every.where("fault in ('MISSING', 'KIND')").select(*keys, F.col("path").alias("parent"))
-    return every.join(roots, [*keys, "parent"], "left_anti").select(*keys, "path", "fault")
+    return every.join(sorted_(roots), [*keys, "parent"], "left_anti").select(*keys, "path", "fault")
