@@ -84,7 +84,8 @@ def run_requests(
         retry = F.to_json(F.struct("id", "url", (F.col("attempts") + 1).alias("attempt")))
         write(answered.where(~again).drop("url"), out, "results", number)
         write(df.where("error is not null").select("value", "error"), out, "dead", number)
-        write(answered.where(again).select(retry.alias("value")), out, "retry", number)
+        # As many files as a batch reads: else each shuffle partition leaves one, and batches of a few files multiply with every attempt.
+        write(answered.where(again).select(retry.alias("value")).repartition(files_per_batch), out, "retry", number)
         answered.unpersist()
         df.unpersist()
 

@@ -5,8 +5,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import linkage
+from quillspark.operators import linkage, trees
 from quillspark.sources import records
+from quillspark.streaming import requests
 
 
 def plan(df):
@@ -21,3 +22,31 @@ def test_digests_go_on_beyond_64_bits(spark):
     want = {f: (len(h), (sum(h) + (1 << 63)) % (1 << 64) - (1 << 63)) for f, h in hashes.items()}
     assert sum(hashes[False]) >= 1 << 63 and sum(hashes[True]) == want[True][1]
     assert {r[0]: (r[1], r[2]) for r in records.lines_digest(df, "flag").collect()} == want
+
+
+def test_keys_of_prints_are_never_broadcast(spark):
+    prints = spark.range(100).select("id", F.xxhash64("id").bitwiseAND((1 << 60) - 1).alias("fp"))
+    assert "BroadcastHashJoin" not in plan(linkage.hamming_pairs(prints, "id", "fp", 4))
+
+
+def test_nodes_are_never_broadcast(spark):
+    texts = spark.createDataFrame([(1, '{"a": [1, {"b": 2}]}'), (2, '{"a": [1]}')], "d long, t string").select("d", F.try_parse_json("t").alias("tree"))
+    found = trees.nodes(texts, ["d"], "tree")
+    for df in (trees.subset_faults(found, found.where("path <> '/a/1/b'"), ["d"]), trees.collect_key(found, ["d"], "a"), trees.holders(found, ["d"], "a")):
+        assert "BroadcastHashJoin" not in plan(df)
+        assert df.count()
+
+
+def test_a_batch_sends_as_many_retry_files_as_a_batch_reads(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("".join(f'{{"id": "{k}", "url": "u"}}\n' for k in range(200)))
+    seen = []
+
+    def write(df, out, kind, number):
+        requests.write_batch(df, out, kind, number)
+        seen.append((kind, number, sum(f.suffix == ".txt" for f in (tmp_path / "out" / kind / f"batch={number}").iterdir())))
+
+    failing = lambda df: df.withColumns({"body": F.col("url"), "failure": F.lit("TRANSIENT_DOWNLOAD")})
+    results, _ = requests.run_requests(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), failing, 1, write=write)
+    assert results.count() == 200 and results.where("attempts = 3").count() == 200
+    assert all(files <= 1 for kind, _, files in seen if kind == "retry") and len({n for _, n, _ in seen}) <= 9
