@@ -87,15 +87,15 @@ def read(spark: SparkSession, root: str, number: int | None = None) -> DataFrame
     return spark.read.parquet(path)
 
 
-def publish(df: DataFrame, root: str, after: int | None) -> dict:
+def publish(df: DataFrame, root: str, after: int | None, levels: int | None = None) -> dict:
     """Write ``df`` as the version after number ``after`` (None: the first) and point to it; :class:`Conflict` if that number is taken.
 
-    Whatever fails before the pointer leaves readers with the old version.
+    ``levels`` is that of :func:`tree_digest`.  Whatever fails before the pointer leaves readers with the old version.
     """
     spark, path = df.sparkSession, f"{root}/versions/{uuid.uuid4().hex}"
     df.write.parquet(path)
     written = spark.read.parquet(path)
-    facts = tree_digest(written).first()
+    facts = tree_digest(written, levels=levels).first()
     number = 0 if after is None else after + 1
     said = {"path": path, "rows": facts["rows"], "digest": facts["digest"]}
     try:
@@ -107,12 +107,12 @@ def publish(df: DataFrame, root: str, after: int | None) -> dict:
     return said | {"number": number}
 
 
-def update(spark: SparkSession, root: str, change: Callable[[DataFrame | None], DataFrame], tries: int = 5) -> dict:
+def update(spark: SparkSession, root: str, change: Callable[[DataFrame | None], DataFrame], tries: int = 5, levels: int | None = None) -> dict:
     """Publish ``change`` of the newest version; begun anew from the newest one where another writer came first."""
     for _ in range(tries):
         now = current(spark, root)
         try:
-            return publish(change(None if now is None else spark.read.parquet(now["path"])), root, None if now is None else now["number"])
+            return publish(change(None if now is None else spark.read.parquet(now["path"])), root, None if now is None else now["number"], levels)
         except Conflict:
             continue
     raise Conflict(f"{root}: {tries} times")
@@ -151,21 +151,25 @@ def ordered_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__nth")).drop("__part", "__nth", "__at", "__start")
 
 
-def tree_digest(df: DataFrame, line: Column | None = None) -> DataFrame:
+def tree_digest(df: DataFrame, line: Column | None = None, levels: int | None = None) -> DataFrame:
     """One row ``rows, digest``: SHA-256 of the rows' canonical JSON in order, as a tree of ``LEAF`` at a time.
 
     Rows are ordered by their JSON, so the digest follows the content alone: not the number of files, nor their order.  Each
     level joins the hexadecimal digests of up to ``LEAF`` neighbours and digests them again, until one is left; a table
-    without rows has the digest of an empty text.
+    without rows has the digest of an empty text.  With ``levels``, the last of so many joins all that is left: of two,
+    64 bytes for each ``LEAF`` rows meet in one group.
     """
     lines = df.select((canonical_json(df) if line is None else line).alias("line"))
     level = ordered_numbers(lines, ["line"], "i").select("i", F.sha2(F.col("line").cast("binary"), 256).alias("h"))
     rows = n = level.count()
     if not rows:
         return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("rows"), F.sha2(F.lit("").cast("binary"), 256).alias("digest"))
+    depth = 0
     while True:
+        depth += 1
+        width = LEAF if levels is None or depth < levels else n
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "")
-        level = level.groupBy(F.floor(F.col("i") / LEAF).cast("long").alias("i")).agg(F.sha2(joined.cast("binary"), 256).alias("h"))
-        n = -(-n // LEAF)
+        level = level.groupBy(F.floor(F.col("i") / width).cast("long").alias("i")).agg(F.sha2(joined.cast("binary"), 256).alias("h"))
+        n = -(-n // width)
         if n <= 1:
             return level.select(F.lit(rows).cast("long").alias("rows"), F.col("h").alias("digest"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import linkage, trees
-from quillspark.sources import records
+from quillspark.sources import records, versions
 from quillspark.streaming import requests
 
 
@@ -50,3 +50,13 @@ def test_a_batch_sends_as_many_retry_files_as_a_batch_reads(spark, tmp_path):
     results, _ = requests.run_requests(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), failing, 1, write=write)
     assert results.count() == 200 and results.where("attempts = 3").count() == 200
     assert all(files <= 1 for kind, _, files in seen if kind == "retry") and len({n for _, n, _ in seen}) <= 9
+
+
+def test_a_digest_of_two_levels_joins_all_leaves(spark, monkeypatch):
+    monkeypatch.setattr(versions, "LEAF", 3)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    hashes = [sha(x) for x in sorted(f'{{"k":{k}}}' for k in range(50))]
+    leaves = [sha("".join(hashes[i : i + 3])) for i in range(0, 50, 3)]
+    df = spark.range(50).select(F.col("id").alias("k"))
+    assert tuple(versions.tree_digest(df, levels=2).first()) == (50, sha("".join(leaves)))
+    assert tuple(versions.tree_digest(df.where("k < 3"), levels=2).first()) == (3, sha("".join(sha(f'{{"k":{k}}}') for k in range(3))))
