@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..storage import materialize
 from .geometry import bounding_box
 
 POLYGON = "array<struct<x:double,y:double>>"
 Points = list[tuple[float, float]]
 #: A page is covered by so many cells each way, so a polygon lies in a bounded number of them.
 GRID = 16
+#: Rows of a document and side beyond which pairs are looked for by cells.
+DENSE = 512
 
 
 def hull(points: Points) -> Points:
@@ -146,22 +149,33 @@ def part_of_quad(q: Column, start: Column, end: Column) -> Column:
 def meeting(left: DataFrame, right: DataFrame, doc: str, polygon: str, other: str, width: str = "width", height: str = "height") -> DataFrame:
     """Pairs of a document's rows whose bounding boxes share an area: ``left`` and ``right`` side by side.
 
-    Both sides are dealt by document and cell of a ``GRID`` x ``GRID`` page (what lies outside counts to its
+    Documents of up to ``DENSE`` rows a side are joined as they are, so nothing is written but the rows.  Larger ones are
+    dealt by document and cell of a ``GRID`` x ``GRID`` page (what lies outside counts to its
     border), so a row has at most ``GRID``\\ :sup:`2` cells whatever its size; a pair meets in one cell alone, the
     first that both boxes have.  ``width`` and ``height`` are columns of both sides.
     """
+    dense = None
+    for df in (left, right):
+        found = df.groupBy(doc).count().where(F.col("count") > DENSE).select(doc)
+        dense = found if dense is None else dense.union(found).distinct()
+    dense = materialize(dense, "dense-documents")
+    a, b = (df.where(F.size(p) > 0).withColumn(n, bounding_box(F.col(p))) for df, p, n in ((left, polygon, "__bl"), (right, other, "__br")))
+    b = b.drop(*({width, height} & set(left.columns)))
+    l, r = F.col("__bl"), F.col("__br")
+    touch = (l["x1"] > r["x0"]) & (r["x1"] > l["x0"]) & (l["y1"] > r["y0"]) & (r["y1"] > l["y0"])
+    if dense.isEmpty():
+        return a.join(b.hint("merge"), doc).where(touch).drop("__bl", "__br")
+    few = a.join(dense, doc, "left_anti").join(b.hint("merge"), doc).where(touch).drop("__bl", "__br")
 
     def cells(df: DataFrame, p: str, tag: str) -> DataFrame:
         box = bounding_box(F.col(p))
         place = lambda v, size: F.greatest(F.lit(0), F.least(F.lit(GRID - 1), F.floor(v * GRID / F.greatest(size, F.lit(1))))).cast("int")
-        boxed = df.where(F.size(p) > 0).withColumn(f"__b{tag}", box)
+        boxed = df.join(dense, doc, "left_semi").where(F.size(p) > 0).withColumn(f"__b{tag}", box)
         b = F.col(f"__b{tag}")
         low = boxed.withColumns({f"__x{tag}": place(b["x0"], F.col(width)), f"__y{tag}": place(b["y0"], F.col(height))})
         across = F.explode(F.sequence(F.col(f"__x{tag}"), place(b["x1"], F.col(width)))).alias("__cx")
         return low.select("*", across).select("*", F.explode(F.sequence(F.col(f"__y{tag}"), place(b["y1"], F.col(height)))).alias("__cy"))
 
     a, b = cells(left, polygon, "l"), cells(right, other, "r").drop(*({width, height} & set(left.columns)))
-    l, r = F.col("__bl"), F.col("__br")
-    met = a.join(b, [doc, "__cx", "__cy"]).where((F.col("__cx") == F.greatest("__xl", "__xr")) & (F.col("__cy") == F.greatest("__yl", "__yr")))
-    touching = met.where((l["x1"] > r["x0"]) & (r["x1"] > l["x0"]) & (l["y1"] > r["y0"]) & (r["y1"] > l["y0"]))
-    return touching.drop("__cx", "__cy", "__bl", "__br", "__xl", "__yl", "__xr", "__yr")
+    met = a.join(b.hint("merge"), [doc, "__cx", "__cy"]).where((F.col("__cx") == F.greatest("__xl", "__xr")) & (F.col("__cy") == F.greatest("__yl", "__yr")))
+    return few.unionByName(met.where(touch).drop("__cx", "__cy", "__bl", "__br", "__xl", "__yl", "__xr", "__yr"))
