@@ -56,7 +56,8 @@ def key_set_faults(rows: DataFrame, doc: str, field: str, expected: list[str]) -
 def with_all_fields(rows: DataFrame, doc: str, field: str, expected: list[str], status: str, default: str = "unlabeled") -> DataFrame:
     """``rows`` and, for each expected field a document lacks, a row with ``default`` and nulls."""
     docs = rows.select(doc).distinct().withColumn(field, F.explode(F.array(*(F.lit(x) for x in expected))))
-    return docs.join(rows, [doc, field], "left").withColumn(status, F.coalesce(status, F.lit(default)))
+    # Slots are many times the documents they come from, which the planner's sizes do not show: never a broadcast.
+    return docs.join(rows.hint("merge"), [doc, field], "left").withColumn(status, F.coalesce(status, F.lit(default)))
 
 
 def key_sets(rows: DataFrame, split: str, key: str) -> DataFrame:

@@ -5,7 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import linkage, trees
+from quillspark.functions import polygons as P
+from quillspark.operators import contracts, linkage, trees
 from quillspark.sources import records, versions
 from quillspark.streaming import requests
 
@@ -60,3 +61,25 @@ def test_a_digest_of_two_levels_joins_all_leaves(spark, monkeypatch):
     df = spark.range(50).select(F.col("id").alias("k"))
     assert tuple(versions.tree_digest(df, levels=2).first()) == (50, sha("".join(leaves)))
     assert tuple(versions.tree_digest(df.where("k < 3"), levels=2).first()) == (3, sha("".join(sha(f'{{"k":{k}}}') for k in range(3))))
+
+
+def test_meeting_makes_cells_for_large_documents_only(spark, monkeypatch):
+    square = lambda k: F.array(*(F.struct((k + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (9, 0), (9, 9), (0, 9))))
+    size = {"width": F.lit(100), "height": F.lit(100)}
+    at = F.col("id") % 20 * 5
+    left = spark.range(60).select((F.col("id") % 3).alias("d"), F.col("id").alias("a"), square(at).alias("p")).where("d > 0 or a < 15").withColumns(size)
+    right = left.select("d", F.col("a").alias("b"), F.col("p").alias("q")).withColumns(size)
+    found = lambda: P.meeting(left, right, "d", "p", "q")
+    pairs = lambda df: sorted(tuple(r) for r in df.select("d", "a", "b").collect())
+    plain = found()
+    assert "Generate explode" not in plan(plain) and "BroadcastHashJoin" not in plan(plain)
+    for bound in (0, 10, 1000):
+        monkeypatch.setattr(P, "DENSE", bound)
+        assert pairs(found()) == pairs(plain) and len(pairs(plain)) == len(set(pairs(plain))) > 0
+
+
+def test_slots_are_never_broadcast(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "d long, field string, status string")
+    df = contracts.with_all_fields(rows, "d", "field", ["a", "b"], "status")
+    assert "BroadcastHashJoin" not in plan(df)
+    assert sorted(map(tuple, df.collect())) == [(1, "a", "x"), (1, "b", "unlabeled"), (2, "a", "unlabeled"), (2, "b", "y")]
