@@ -14,7 +14,7 @@ def points(flat: Column) -> Column:
 
 
 def bounding_box(pts: Column) -> Column:
-    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+    xs, ys = pts["x"], pts["y"]
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 

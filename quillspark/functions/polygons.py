@@ -1,21 +1,24 @@
 """Convex polygons of any rotation: hulls, areas, common areas, and joins of those that may touch.
 
-Polygons are arrays of points (``x``, ``y``), as ``geometry.points`` makes them.  The arithmetic of one pair runs
-in an Arrow function, for no expression holds a polygon whose number of corners changes; which pairs meet is
-decided by Spark, over grid cells.
+Polygons are arrays of points (``x``, ``y``), as ``geometry.points`` makes them.  The arithmetic of pairs runs
+in an Arrow function, for no expression holds a polygon whose number of corners changes; upright rectangles, which most
+boxes are, are measured there a batch at once.  Which pairs meet is decided by Spark, over grid cells.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..storage import materialize
 from .geometry import bounding_box
+from .normalize import let
 
 POLYGON = "array<struct<x:double,y:double>>"
 Points = list[tuple[float, float]]
@@ -80,36 +83,66 @@ def clipped(ring: Points, window: Points) -> Points:
     return ring
 
 
-def _points(flat) -> Points:
-    values = [] if flat is None else flat.tolist()
-    points = list(zip(values[::2], values[1::2], strict=False))
-    finite = None not in values and all(map(math.isfinite, values))
-    return points if finite else [p for p in points if None not in p and math.isfinite(p[0]) and math.isfinite(p[1])]
-
-
-def flat(points: Column) -> Column:
-    """Points as ``x0 y0 x1 y1 ...``."""
-    return F.flatten(F.transform(points, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))))
-
-
-@F.pandas_udf(DoubleType())
-def _hull_area(polygons: pd.Series) -> pd.Series:
-    return polygons.map(lambda p: shoelace(hull(_points(p)))).astype("float64")
-
-
-@F.pandas_udf(DoubleType())
-def _common_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([shared(_points(p), _points(q)) for p, q in zip(a, b, strict=True)], dtype="float64")
+def _points(xs, ys) -> Points:
+    """Finite points of two lists of coordinates (Arrow scalars)."""
+    finite = lambda v: v is not None and math.isfinite(v)
+    return [(x, y) for x, y in zip(xs.as_py() or [], ys.as_py() or [], strict=True) if finite(x) and finite(y)]
+
+
+def rectangles(xs: pa.Array, ys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`rectangle` of many polygons at once: sides (``n`` x 4, zeros elsewhere), and where there is one."""
+    lengths = pc.fill_null(pc.list_value_length(xs), 0).to_numpy(zero_copy_only=False).astype("int64")
+    four = np.flatnonzero(lengths == 4)
+    at = (np.cumsum(lengths) - lengths)[four, None] + np.arange(4)
+    x, y = (c.flatten().to_numpy(zero_copy_only=False)[at].astype("float64") for c in (xs, ys))
+    sides = np.stack([x.min(1), y.min(1), x.max(1), y.max(1)], 1) if len(four) else np.zeros((0, 4))
+    (right, left), (lower, upper) = ((v == sides[:, i, None], v == sides[:, j, None]) for v, i, j in ((x, 2, 0), (y, 3, 1)))
+    # Every corner counts as one of four bits; only four different ones add up to 15.
+    corners = np.where((right | left) & (lower | upper), 1 << (2 * right + lower), 0).sum(1) == 15
+    plain = np.isfinite(sides).all(1) & (sides[:, 0] < sides[:, 2]) & (sides[:, 1] < sides[:, 3]) & corners
+    out, found = np.zeros((len(xs), 4)), np.zeros(len(xs), "bool")
+    out[four[plain]], found[four[plain]] = sides[plain], True
+    return out, found
+
+
+def rectangle_areas(sides: np.ndarray) -> np.ndarray:
+    """:func:`shoelace` of rectangles, rounded as the sum of its four terms is."""
+    x0, y0, x1, y1 = sides.T
+    total, rest = np.zeros(len(sides)), np.zeros(len(sides))
+    for term in (x0 * y0 - x1 * y0, x1 * y1 - x1 * y0, x1 * y1 - x0 * y1, x0 * y0 - x0 * y1):
+        after = total + term
+        rest += np.where(np.abs(total) >= np.abs(term), (total - after) + term, (term - after) + total)
+        total = after
+    return np.abs(total + rest) / 2
+
+
+@F.arrow_udf(DoubleType())
+def _hull_area(xs: pa.Array, ys: pa.Array) -> pa.Array:
+    sides, plain = rectangles(xs, ys)
+    areas = rectangle_areas(sides)
+    for i in np.flatnonzero(~plain):
+        areas[i] = shoelace(hull(_points(xs[i], ys[i])))
+    return pa.array(areas)
+
+
+@F.arrow_udf(DoubleType())
+def _common_area(ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array) -> pa.Array:
+    (p, one), (q, other) = rectangles(ax, ay), rectangles(bx, by)
+    part = lambda i: np.maximum(0.0, np.minimum(p[:, i + 2], q[:, i + 2]) - np.maximum(p[:, i], q[:, i]))
+    areas = part(0) * part(1)
+    for i in np.flatnonzero(~(one & other)):
+        areas[i] = shared(_points(ax[i], ay[i]), _points(bx[i], by[i]))
+    return pa.array(areas)
 
 
 def hull_area(points: Column) -> Column:
     """Area of the convex hull; 0 below three corners, points that are not finite left out."""
-    return _hull_area(flat(points))
+    return _hull_area(points["x"], points["y"])
 
 
 def common_area(a: Column, b: Column) -> Column:
     """Area that two convex hulls share."""
-    return _common_area(flat(a), flat(b))
+    return _common_area(a["x"], a["y"], b["x"], b["y"])
 
 
 def upright(p: Column, width: Column, height: Column, degrees: Column) -> Column:
@@ -118,11 +151,16 @@ def upright(p: Column, width: Column, height: Column, degrees: Column) -> Column
     Quarter turns are exact; a turn of nothing leaves the points as they are.
     """
     snapped = lambda v: F.when(F.abs(v - F.rint(v)) < 1e-12, F.rint(v)).otherwise(v)
-    c, s = snapped(F.cos(F.radians(degrees))), snapped(F.sin(F.radians(degrees)))
-    size = upright_size(width, height, degrees)
-    dx = size["width"] / 2 - (c * width / 2 - s * height / 2)
-    dy = size["height"] / 2 - (s * width / 2 + c * height / 2)
-    turned = F.transform(p, lambda q: F.struct((c * q["x"] - s * q["y"] + dx).alias("x"), (s * q["x"] + c * q["y"] + dy).alias("y")))
+    turn = F.struct(snapped(F.cos(F.radians(degrees))).alias("c"), snapped(F.sin(F.radians(degrees))).alias("s"), upright_size(width, height, degrees).alias("size"))
+
+    def shifted(t: Column) -> Column:
+        dx = t["size"]["width"] / 2 - (t["c"] * width / 2 - t["s"] * height / 2)
+        dy = t["size"]["height"] / 2 - (t["s"] * width / 2 + t["c"] * height / 2)
+        return F.struct(t["c"].alias("c"), t["s"].alias("s"), dx.alias("dx"), dy.alias("dy"))
+
+    # The turn is worked out once a polygon, not once a corner.
+    at = lambda t, q: F.struct((t["c"] * q["x"] - t["s"] * q["y"] + t["dx"]).alias("x"), (t["s"] * q["x"] + t["c"] * q["y"] + t["dy"]).alias("y"))
+    turned = let(let(turn, shifted), lambda t: F.transform(p, lambda q: at(t, q)))
     return F.when(F.pmod(degrees, F.lit(360.0)) == 0, p).otherwise(turned).cast(POLYGON)
 
 

@@ -98,14 +98,23 @@ def substring_distance(needle: str, hay: str) -> tuple[int, int, int]:
 
     Of equally near parts that which ends last, and of those with this end that which starts first.
     """
-    row = [(0, j) for j in range(len(hay) + 1)]
+    if needle and (at := hay.rfind(needle)) >= 0:
+        return 0, at, at + len(needle)
+    # Cost and start of a part are one number, cost * edit + start, so that they are compared at once.
+    edit = len(hay) + 1
+    row = list(range(edit))
     for i, a in enumerate(needle, 1):
-        new = [(i, 0)]
+        corner, row[0] = row[0], i * edit
+        left = row[0]
         for j, b in enumerate(hay, 1):
-            new.append(min((row[j - 1][0] + (a != b), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1])))
-        row = new
-    (cost, start), end = min(((x, -j) for j, x in enumerate(row)), key=lambda v: (v[0][0], v[1]))
-    return cost, start, -end
+            up = row[j]
+            if a != b:
+                corner += edit
+            least = (left if left < up else up) + edit
+            left = row[j] = corner if corner < least else least
+            corner = up
+    end = min(range(edit), key=lambda j: (row[j] // edit, -j))
+    return row[end] // edit, row[end] % edit, end
 
 
 def region_match(needle: str, lines: list[str]) -> float | None:

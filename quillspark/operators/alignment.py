@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,6 +40,7 @@ WORD_OF_LINE = re.compile(r"\S+")
 AFTER_COLON = re.compile(r"(?<=[^\W\d_]:)(?=\S)")
 
 
+@cache
 def character_width(ch: str) -> float:
     base = unicodedata.normalize("NFD", ch)[0]
     if base == " ":
@@ -69,28 +71,40 @@ def _word_places(lines: pd.Series) -> pd.Series:
     return lines.map(word_places)
 
 
+#: Said to give other words each time, so that the planner neither copies it to every use nor moves filters below it.
+_places_once = _word_places.asNondeterministic()
+
+
 def split_lines(lines: DataFrame, doc: str) -> DataFrame:
-    """``doc, line, text, polygon`` as words ``doc, line, at, text, polygon`` and what else a line has."""
+    """``doc, line, text, polygon`` with ``words`` (``text, polygon`` in order) in place of a line's own, and what else it has."""
     quad = F.when(F.size("polygon") == 4, F.col("polygon")).otherwise(P.quad_of_box(F.col("polygon")))
     others = [c for c in lines.columns if c not in (doc, "line", "text", "polygon")]
-    placed = lines.withColumn("__quad", quad).withColumn("__words", _word_places("text"))
-    each = placed.select(doc, "line", *others, "__quad", F.posexplode("__words").alias("at", "__w"))
-    return each.select(doc, "line", "at", F.col("__w.text").alias("text"), P.part_of_quad(F.col("__quad"), F.col("__w.start"), F.col("__w.end")).cast(P.POLYGON).alias("polygon"), *others)
+    placed = lines.withColumn("__quad", quad).withColumn("__words", _places_once("text"))
+    word = lambda w: F.struct(w["text"].alias("text"), P.part_of_quad(F.col("__quad"), w["start"], w["end"]).cast(P.POLYGON).alias("polygon"))
+    return placed.select(doc, "line", F.transform("__words", word).alias("words"), *others)
 
 
-def in_reading_order(words: DataFrame, doc: str) -> DataFrame:
-    """``words`` with ``rank`` of their line by row bands, and ``word``, their place on the page from 0."""
-    point = F.explode("polygon").alias("p")
-    sides = (F.min("p.x"), F.min("p.y"), F.max("p.x"), F.max("p.y"))
-    lines = words.select(doc, "line", point).groupBy(doc, "line").agg(*(s.alias(n) for s, n in zip(sides, ("x0", "y0", "x1", "y1"), strict=True)))
+def in_reading_order(split: DataFrame, doc: str) -> DataFrame:
+    """Words of lines (:func:`split_lines`), a row each, with ``rank`` of their line by row bands, and ``word``, their place on the page from 0.
+
+    Lines are read twice, so ``split`` should be a written table.
+    """
+    box = bounding_box(F.flatten(F.transform("words", lambda w: w["polygon"])))
+    boxes = split.where(F.size("words") > 0).select(doc, "line", box.alias("b"))
+    sides = (F.min("b.x0"), F.min("b.y0"), F.max("b.x1"), F.max("b.y1"))
+    lines = boxes.groupBy(doc, "line").agg(*(s.alias(n) for s, n in zip(sides, ("x0", "y0", "x1", "y1"), strict=True)))
 
     def ranked(rows: list[tuple]) -> list[tuple]:
         order = [i for band in row_bands([r[2:6] for r in rows]) for i in band]
         return [(rows[i][0], rows[i][1], k) for k, i in enumerate(order)]
 
-    kind = dict(words.dtypes)
+    kind = dict(split.dtypes)
+    others = [c for c in split.columns if c not in (doc, "line", "words")]
     ranks = fold_sorted(lines.select(doc, "line", "x0", "y0", "x1", "y1"), [doc], ["line"], ranked, f"{doc} {kind[doc]}, line {kind['line']}, rank int")
-    return words.join(ranks, [doc, "line"]).withColumn("word", F.row_number().over(Window.partitionBy(doc).orderBy("rank", "at")) - 1)
+    # Ranks have as many rows as lines: joined by sorting, before lines become words.
+    each = split.join(ranks.hint("merge"), [doc, "line"]).select(doc, "line", *others, "rank", F.posexplode("words").alias("at", "__w"))
+    words = each.select(doc, "line", "at", "__w.text", "__w.polygon", *others, "rank")
+    return words.withColumn("word", F.row_number().over(Window.partitionBy(doc).orderBy("rank", "at")) - 1)
 
 
 def match_text(text: str | None) -> str:
@@ -118,7 +132,7 @@ def spelling_words(text: str | None, current: list[str], words: list[str], most:
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def _spelling_words(text: pd.Series, current: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([spelling_words(t, list(c), list(w)) for t, c, w in zip(text, current, words, strict=True)], dtype=object)
+    return pd.Series([None if t is None else spelling_words(t, list(c), list(w)) for t, c, w in zip(text, current, words, strict=True)], dtype=object)
 
 
 def settle_claims(rows: list[tuple]) -> list[tuple]:
@@ -157,9 +171,13 @@ def align_pages(pages: DataFrame, lines: DataFrame, regions: DataFrame, doc: str
     """
     size = P.upright_size(F.col("width"), F.col("height"), F.col("rotation"))
     sizes = pages.select(doc, F.col("width").alias("w0"), F.col("height").alias("h0"), "rotation", size["width"].alias("width"), size["height"].alias("height"))
-    turn = lambda df: df.withColumn("polygon", P.upright(F.col("polygon"), F.col("w0"), F.col("h0"), F.col("rotation")))
+    upright = lambda p: P.upright(p, F.col("w0"), F.col("h0"), F.col("rotation"))
+    turn = lambda df: df.withColumn("polygon", upright(F.col("polygon")))
     framed = lambda df, turned: (turn(df.join(sizes, doc)) if turned else df.join(sizes, doc)).drop("w0", "h0", "rotation")
-    words = in_reading_order(framed(split_lines(lines.select(doc, "line", "text", "polygon"), doc), source_frame), doc)
+    split = split_lines(lines.select(doc, "line", "text", "polygon"), doc).join(sizes, doc)
+    if source_frame:
+        split = split.withColumn("words", F.transform("words", lambda w: F.struct(w["text"].alias("text"), upright(w["polygon"]).alias("polygon"))))
+    words = in_reading_order(materialize(split.drop("w0", "h0", "rotation"), "page-lines"), doc)
     words = materialize(words.withColumn("area", P.hull_area(F.col("polygon"))), "page-words")
     placed = framed(regions, True).withColumn("region_area", P.hull_area(F.col("polygon")))
     areas = placed.select(doc, "region", "label", F.col("text").alias("region_text"), F.col("polygon").alias("outline"), "region_area", "width", "height")
@@ -187,9 +205,13 @@ def align_pages(pages: DataFrame, lines: DataFrame, regions: DataFrame, doc: str
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     claims = areas.join(current, [doc, "region"], "left").join(around, [doc, "region"], "left").join(able, [doc, "region"], "left")
     part = lambda c, f, kind: none(F.transform(c, lambda x: x[f]), kind)
-    found = _spelling_words(F.col("region_text"), part("current", "text", "array<string>"), part("around", "text", "array<string>"))
+    # A region whose words are its text needs no other; only the rest is sent to Python.
+    unread = ~F.array_join(part("current", "text", "array<string>"), " ").eqNullSafe(F.col("region_text"))
+    found = _spelling_words(*(F.when(unread, c) for c in (F.col("region_text"), part("current", "text", "array<string>"), part("around", "text", "array<string>"))))
+    # Only regions without words take one that could fill them.
+    needed = F.when(F.col("current").isNull(), F.col("able"))
     claims = claims.withColumn("__found", found).select(
-        doc, "region", part("current", "word", "array<int>").alias("current"), F.transform("__found", lambda i: F.col("around")[i]["word"]).alias("chosen"), none(F.col("able"), "array<struct<word:int,cover:double>>").alias("able"))
+        doc, "region", part("current", "word", "array<int>").alias("current"), F.transform("__found", lambda i: F.col("around")[i]["word"]).alias("chosen"), none(needed, "array<struct<word:int,cover:double>>").alias("able"))
     kind = dict(areas.dtypes)
     # Every table that is read more than once is written: nothing above is worked out twice.
     settled = fold_sorted(claims, [doc], ["region"], settle_claims, f"{doc} {kind[doc]}, region {kind['region']}, members array<int>, freed array<int>")

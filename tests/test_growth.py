@@ -2,11 +2,12 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import polygons as P
-from quillspark.operators import contracts, linkage, trees
+from quillspark.operators import alignment, contracts, linkage, trees
 from quillspark.sources import records, versions
 from quillspark.streaming import requests
 
@@ -83,3 +84,21 @@ def test_slots_are_never_broadcast(spark):
     df = contracts.with_all_fields(rows, "d", "field", ["a", "b"], "status")
     assert "BroadcastHashJoin" not in plan(df)
     assert sorted(map(tuple, df.collect())) == [(1, "a", "x"), (1, "b", "unlabeled"), (2, "a", "unlabeled"), (2, "b", "y")]
+
+
+def test_lines_are_split_once(spark):
+    line = "array(named_struct('x', 0d, 'y', 0d), named_struct('x', 9d, 'y', 0d), named_struct('x', 9d, 'y', 2d), named_struct('x', 0d, 'y', 2d)) AS polygon"
+    lines = spark.range(4).selectExpr("id AS d", "0 AS line", "'a bc' AS text", line)
+    split = alignment.split_lines(lines, "d").where(F.size("words") > 1)
+    assert plan(split).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("ArrowEvalPython") == 1
+    assert [[w["text"] for w in r["words"]] for r in split.collect()] == [["a", "bc"]] * 4
+
+
+def test_rectangles_of_a_batch_are_those_of_single_polygons():
+    box = [(0.1, 0.2), (7.3, 0.2), (7.3, 5.7), (0.1, 5.7)]
+    some = [box, [box[2], box[0], box[3], box[1]], [box[0], box[1], box[2], box[0]], box[:3], [*box, box[0]], [(0.1, 0.2), (7.3, 0.3), (7.3, 5.7), (0.1, 5.7)], [(0.0, 0.0), (float("inf"), 0.0), (float("inf"), 1.0), (0.0, 1.0)], []]
+    xs, ys = (pa.array([[p[i] for p in ps] for ps in some] + [None], pa.list_(pa.float64())) for i in (0, 1))
+    sides, found = P.rectangles(xs, ys)
+    assert found.tolist() == [True, True] + [False] * 7
+    assert [tuple(s) for s in sides[:2]] == [P.rectangle(p) for p in some[:2]]
+    assert P.rectangle_areas(sides)[:2].tolist() == [P.shoelace(P.hull(p)) for p in some[:2]]
