@@ -44,14 +44,25 @@ NUMERIC, NAME = ("LINE_TOTAL", "UNIT_PRICE", "QUANTITY"), "ITEM_NAME"
 GAP, NO_NAME, CONTINUES, NAME_LINES = 2.5, 4.0, 1.0, 4
 
 
-def name_owners(places: list[float], anchors: list[float], extra: list[float]) -> tuple[float, list[int]]:
-    """Cost and the anchor of each name line: every anchor takes the next run of lines, or none."""
+def name_owners(places: list[float], anchors: list[float], extra: list[float], most: float = float("inf")) -> tuple[float, list[int]]:
+    """Cost and the anchor of each name line: every anchor takes the next run of lines, or none.
+
+    Costs only grow from anchor to anchor, so it ends, at no finite cost, once every way costs more than ``most``.
+    """
     states: list[tuple[float, tuple | None]] = [(0.0, None)] + [(float("inf"), None)] * len(places)
     for k, anchor in enumerate(anchors):
-        states = [
-            min([(cost + NO_NAME, runs), *((states[j][0] + abs(places[j] - anchor) + extra[j], (k, j, i, states[j][1])) for j in range(max(0, i - NAME_LINES), i))], key=lambda x: x[0])
-            for i, (cost, runs) in enumerate(states)
-        ]
+        # A run's cost from its first line on does not depend on where it ends.
+        heads = [states[j][0] + abs(place - anchor) + extra[j] for j, place in enumerate(places)]
+        after = []
+        for i, (cost, runs) in enumerate(states):
+            least, first = cost + NO_NAME, -1
+            for j in range(max(0, i - NAME_LINES), i):
+                if heads[j] < least:
+                    least, first = heads[j], j
+            after.append((least, runs if first < 0 else (k, first, i, states[first][1])))
+        states = after
+        if min(states, key=lambda s: s[0])[0] > most:
+            return float("inf"), []
     cost, runs = states[-1]
     owner = [0] * len(places)
     while runs:
@@ -86,7 +97,12 @@ def anchored_items(entities: list[tuple]) -> list[list[int]]:
         extra = [CONTINUES if s.islower() or s in ("(", "[") else 0.0 for s in starts]
         step = unit / 4
         tried = sorted({round((y - a) / step) * step for y in ys for a in places if abs(y - a) <= 4 * unit}) or [0.0]
-        _, _, owner = min(((cost, abs(d), own) for d in tried for cost, own in [name_owners([(y - d) / unit for y in ys], [a / unit for a in places], extra)]), key=lambda x: x[:2])
+        lines = [a / unit for a in places]
+        least, owner = float("inf"), [0] * len(order)
+        for d in sorted(tried, key=abs):  # of equal costs the smallest offset
+            cost, own = name_owners([(y - d) / unit for y in ys], lines, extra, least)
+            if cost < least:
+                least, owner = cost, own
         for i, k in zip(order, owner, strict=True):
             items[k].append(i)
     return items + alone

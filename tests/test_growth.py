@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import polygons as P
-from quillspark.operators import alignment, contracts, linkage, trees
+from quillspark.operators import alignment, contracts, lineitems, linkage, trees
 from quillspark.sources import records, versions
 from quillspark.streaming import requests
 
@@ -102,3 +102,18 @@ def test_rectangles_of_a_batch_are_those_of_single_polygons():
     assert found.tolist() == [True, True] + [False] * 7
     assert [tuple(s) for s in sides[:2]] == [P.rectangle(p) for p in some[:2]]
     assert P.rectangle_areas(sides)[:2].tolist() == [P.shoelace(P.hull(p)) for p in some[:2]]
+
+
+def test_offsets_of_names_that_cost_more_are_left_early(monkeypatch):
+    seen, whole = [], lineitems.name_owners
+
+    def counted(places, anchors, extra, most=float("inf")):
+        seen.append((whole(places, anchors, extra), whole(places, anchors, extra, most), most))
+        return seen[-1][1]
+
+    monkeypatch.setattr(lineitems, "name_owners", counted)
+    entities = [(n, "Part", x, 20.0 * k + k % 3, x + 60, 20.0 * k + k % 3 + 12) for k in range(6) for n, x in (("LINE_TOTAL", 400.0), ("ITEM_NAME", 100.0))]
+    assert lineitems.anchored_items(entities) == [[2 * k, 2 * k + 1] for k in range(6)]
+    assert any(got[0] == float("inf") for _, got, _ in seen)
+    for full, got, most in seen:
+        assert got == full if full[0] <= most else got == full or got[0] == float("inf")
