@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .normalize import let
+
 
 def points(flat: Column) -> Column:
     """``x0 y0 x1 y1 ...`` as points, without a closing point equal to the first."""
     n = (F.size(flat) / 2).cast("int")
     all_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(flat[2 * i].alias("x"), flat[2 * i + 1].alias("y")))
-    return F.when((F.size(all_) > 1) & (all_[0] == F.element_at(all_, -1)), F.slice(all_, F.lit(1), F.size(all_) - 1)).otherwise(all_)
+    return let(all_, lambda a: F.when((F.size(a) > 1) & (a[0] == F.element_at(a, -1)), F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a))
 
 
 def bounding_box(pts: Column) -> Column:
@@ -20,8 +22,8 @@ def bounding_box(pts: Column) -> Column:
 
 def polygon_area(pts: Column) -> Column:
     """Shoelace."""
-    term = lambda i: pts[i]["x"] * pts[F.pmod(i + 1, F.size(pts))]["y"] - pts[F.pmod(i + 1, F.size(pts))]["x"] * pts[i]["y"]
-    return F.abs(F.aggregate(F.sequence(F.lit(0), F.size(pts) - 1), F.lit(0.0), lambda s, i: s + term(i))) / 2
+    term = lambda q, i: q[i]["x"] * q[F.pmod(i + 1, F.size(q))]["y"] - q[F.pmod(i + 1, F.size(q))]["x"] * q[i]["y"]
+    return let(pts, lambda q: F.abs(F.aggregate(F.sequence(F.lit(0), F.size(q) - 1), F.lit(0.0), lambda s, i: s + term(q, i))) / 2)
 
 
 def overlap_area(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

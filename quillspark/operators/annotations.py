@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..storage import materialize
 from .contracts import plain_number
 
 #: Labels with their categories and fields, other spellings, labels of line items, and codes of refusal.
@@ -60,6 +61,10 @@ def _literal_items(cells: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([literal_items(c) for c in cells], columns=["items", "error"])
 
 
+#: Said to differ each time, so that the planner does not copy it to every use of its members.
+_items_once = _literal_items.asNondeterministic()
+
+
 @F.pandas_udf(StringType())
 def _as_literal(items: pd.Series) -> pd.Series:
     """JSON texts as one list in Python notation."""
@@ -100,12 +105,12 @@ def convert_rows(rows: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFra
     raw_value`` (the texts in order, a line each), ``region_ids``.  Refusals: ``img_id, code``.
     """
     cell = lambda c: F.coalesce(F.col(c), F.lit(""))
-    read = rows.select("img_id", _literal_items("anno_polygons").alias("p"), X.split_compound(cell("anno_texts")).alias("texts"), X.split_compound(cell("anno_labels")).alias("labels"), F.trim(cell("anno_num")).try_cast("int").alias("num"))
+    read = rows.select("img_id", _items_once("anno_polygons").alias("p"), X.split_compound(cell("anno_texts")).alias("texts"), X.split_compound(cell("anno_labels")).alias("labels"), F.trim(cell("anno_num")).try_cast("int").alias("num"))
     sized = read.join(images.select("img_id", "width", "height", F.lit(True).alias("known")), "img_id", "left")
     items, n = F.col("p.items"), F.size("p.items")
     same = (n == F.size("texts")) & (n == F.size("labels")) & (n == F.col("num"))
     row_fault = F.when(F.col("known").isNull(), NO_IMAGE).when(F.col("p.error").isNotNull(), F.col("p.error")).when(F.col("num").isNull(), BAD_NUMBER).when(~same, COUNTS).when(n == 0, NOTHING)
-    checked = sized.withColumn("row_fault", row_fault)
+    checked = materialize(sized.withColumn("row_fault", row_fault), "annotation-rows")
     each = checked.where("row_fault is null").select("img_id", "width", "height", F.posexplode(F.arrays_zip(items.alias("item"), "texts", "labels")).alias("pos", "x"))
     each = each.select("img_id", "width", "height", "pos", F.col("x.texts").alias("text"), F.col("x.labels").alias("label"), F.try_parse_json("x.item").alias("v"))
     parts = F.transform(F.try_variant_get("v", "$.segmentation", "array<variant>"), _numbers)
@@ -120,7 +125,9 @@ def convert_rows(rows: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFra
         .when(F.coalesce(F.size("parts") < 1, F.lit(True)), NO_PARTS)
         .otherwise(F.get(F.filter(F.transform("parts", lambda p: part_fault(p, F.col("width"), F.col("height"))), lambda x: x.isNotNull()), F.lit(0)))
     )
-    each = each.withColumns({"fault": fault, "fits": whole("width") & whole("height")})
+    # Rows and regions are read several times: both are written, so no polygon is opened again.
+    each = each.withColumns({"fault": fault, "fits": whole("width") & whole("height")}).drop("v")
+    each = materialize(each, "annotation-regions")
     judged = each.groupBy("img_id").agg(F.min_by(F.when(F.col("fault").isNotNull(), F.col("fault")), F.when(F.col("fault").isNotNull(), F.col("pos"))).alias("region_fault"), F.bool_and("fits").alias("fits"))
     codes = checked.select("img_id", "row_fault").join(judged, "img_id", "left").select("img_id", F.coalesce("row_fault", "region_fault", F.when(~F.col("fits"), SIZES)).alias("code"))
     accepted = codes.where("code is null").select("img_id")
@@ -183,14 +190,14 @@ def decode_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     cell = lambda c: F.coalesce(F.col(c), F.lit(""))
     label = lambda x: F.coalesce(_lookup(ALIASES)[x], x)
-    read = rows.select("img_id", _literal_items("anno_polygons").alias("p"), X.split_compound(cell("anno_texts")).alias("texts"), F.transform(X.split_compound(cell("anno_labels")), label).alias("labels"), F.trim(cell("anno_line_item_ids")).alias("ids"))
+    read = rows.select("img_id", _items_once("anno_polygons").alias("p"), X.split_compound(cell("anno_texts")).alias("texts"), F.transform(X.split_compound(cell("anno_labels")), label).alias("labels"), F.trim(cell("anno_line_item_ids")).alias("ids"))
     n = F.size("p.items")
     parsed = F.try_variant_get(F.try_parse_json("ids"), "$", "array<variant>")
     right = lambda v: (F.schema_of_variant(v) == "VOID") | ((F.schema_of_variant(v) == "BIGINT") & (F.try_variant_get(v, "$", "bigint") >= 1))
     listed = F.coalesce((F.size(parsed) == n) & F.forall(parsed, right), F.lit(False))
     fault = F.when(F.col("p.error").isNotNull(), F.col("p.error")).when((n != F.size("texts")) | (n != F.size("labels")), COUNTS).when((F.col("ids") != "") & ~listed, "INVALID_LINE_ITEM_IDS")
     ids = F.when(F.col("ids") == "", F.transform("texts", lambda _: F.lit(None).cast("bigint"))).otherwise(F.transform(parsed, lambda v: F.try_variant_get(v, "$", "bigint")))
-    checked = read.withColumns({"fault": fault, "ids": F.when(fault.isNull(), ids)})
+    checked = materialize(read.withColumns({"fault": fault, "ids": F.when(fault.isNull(), ids)}), "annotation-rows")
     each = checked.where("fault is null").select("img_id", F.posexplode(F.arrays_zip(F.col("p.items").alias("item"), "texts", "labels", "ids")).alias("pos", "x"))
     each = each.select("img_id", "pos", F.col("x.labels").alias("label"), F.col("x.texts").alias("text"), F.col("x.ids").alias("line_item_id"), F.col("x.item").alias("source"), F.try_parse_json("x.item").alias("v"))
     seg = F.try_variant_get("v", "$.segmentation", "array<variant>")
@@ -211,7 +218,7 @@ def decode_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.coalesce(F.size("usable") < 1, F.lit(True)), NO_PARTS)
         .when(F.coalesce(F.size(F.try_variant_get("v", "$.bbox", "array<double>")) != 4, F.lit(True)), "INVALID_BBOX")
     )
-    each = each.withColumns({"fault": fault, "points": points})
+    each = materialize(each.withColumns({"fault": fault, "points": points}).drop("v", "usable"), "annotation-regions")
     first = each.where("fault is not null").groupBy("img_id").agg(F.min_by("fault", "pos").alias("code"))
     refused = checked.where("fault is not null").select("img_id", F.col("fault").alias("code")).unionByName(first)
     return each.join(refused, "img_id", "left_anti").select("img_id", "pos", "label", "text", "line_item_id", "points", "source"), refused

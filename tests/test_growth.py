@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import polygons as P
-from quillspark.operators import alignment, contracts, lineitems, linkage, trees
+from quillspark.operators import alignment, annotations, contracts, lineitems, linkage, trees
 from quillspark.sources import records, versions
 from quillspark.streaming import requests
 
@@ -117,3 +117,13 @@ def test_offsets_of_names_that_cost_more_are_left_early(monkeypatch):
     assert any(got[0] == float("inf") for _, got, _ in seen)
     for full, got, most in seen:
         assert got == full if full[0] <= most else got == full or got[0] == float("inf")
+
+
+def test_polygons_of_rows_are_read_once(spark):
+    polygon = "[{'category_id': 15, 'segmentation': [[0, 0, 9, 0, 9, 8, 0, 8]], 'area': 1, 'bbox': [0, 0, 1, 1], 'width': 9, 'height': 9}]"
+    rows = spark.createDataFrame([("a", polygon, "shop", "SELLER", "1", ""), ("b", "{}", "shop", "SELLER", "1", "")], "img_id string, anno_polygons string, anno_texts string, anno_labels string, anno_num string, anno_line_item_ids string")
+    images = rows.selectExpr("img_id", "9 AS width", "9 AS height")
+    regions, fields, refused = annotations.convert_rows(rows, images)
+    decoded, not_read = annotations.decode_rows(rows)
+    assert [df.count() for df in (regions, fields, refused, decoded, not_read)] == [1, 4, 1, 1, 1]
+    assert all("ArrowEvalPython" not in plan(df) for df in (regions, fields, refused, decoded, not_read))
