@@ -160,14 +160,13 @@ def first_subtoken_labels(words: DataFrame, keys: list[str], pieces: Column, tag
 
 def postprocess(items: DataFrame, doc: str, item: str, quantity: str, price: str, total: str) -> DataFrame:
     """Per document a message of normalised items: amounts as plain strings, quantities inferred where missing, warnings."""
-    read = F.struct(F.col(item).alias("item"), quantity_field(F.col(quantity)).alias("q"), amount_field(F.col(price), F.lit("vi-VN")).alias("p"), amount_field(F.col(total), F.lit("vi-VN")).alias("t"))
-    dec = lambda c: F.coalesce(c.try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
-
-    def finish(x: Column) -> Column:
-        guess = infer_quantity(x["q"]["value"].try_cast("decimal(18,3)"), dec(x["p"]["value"]), dec(x["t"]["value"]))
-        return N.let(N.strip_zeros(guess.cast("string")), lambda g: F.struct(x["item"].alias("item"), g.alias("quantity"), x["p"]["value"].alias("price"), x["t"]["value"].alias("total"), (x["q"]["value"].isNull() & g.isNotNull()).alias("inferred")))
-
-    per = items.select(doc, N.let(read, finish).alias("row")).groupBy(doc).agg(F.array_sort(F.collect_list("row")).alias("items"))
+    money = lambda c: amount_field(F.col(c), F.lit("vi-VN"))["value"]
+    dec = lambda c: F.coalesce(F.col(c).try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
+    # Each step is a projection of its own, so that what several later ones need is compiled and worked out once.
+    read = items.select(doc, F.col(item).alias("__item"), quantity_field(F.col(quantity))["value"].alias("__q"), money(price).alias("__p"), money(total).alias("__t"))
+    guessed = read.withColumn("__g", infer_quantity(F.col("__q").try_cast("decimal(18,3)"), dec("__p"), dec("__t")).cast("string")).withColumn("__g", N.strip_zeros(F.col("__g")))
+    row = F.struct(F.col("__item").alias("item"), F.col("__g").alias("quantity"), F.col("__p").alias("price"), F.col("__t").alias("total"), (F.col("__q").isNull() & F.col("__g").isNotNull()).alias("inferred"))
+    per = guessed.groupBy(doc).agg(F.sort_array(F.collect_list(row)).alias("items"))
     count = lambda test: F.size(F.filter("items", test)).cast("long")
     facts = per.withColumns({"inferred": count(lambda x: x["inferred"]), "unknown": count(lambda x: x["quantity"].isNull())})
     return facts.withColumn("warnings", collect_warnings({"quantity_inferred": F.col("inferred") > 0, "quantity_missing": F.col("unknown") > 0}))

@@ -118,7 +118,7 @@ def subtoken_labels(spark, sf_dir):
 select d, count(*) as items, cast(sum(q) as double) as quantity, count(*) filter (k % 3 = 0) as inferred, case when count(*) filter (k % 3 = 0) > 0 then 'quantity_inferred' else '' end as warnings from l group by 1""")
 def postprocess_items(spark, sf_dir):
     """Lines as text: a third of the quantities are empty and worked out again."""
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("k")).agg(F.min("l_quantity").cast("bigint").alias("q"), (F.min("l_partkey") % 900 + 10).cast("bigint").alias("p"))
+    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("k")).agg(F.min("l_quantity").cast("bigint").alias("q"), (F.min("l_partkey") % 900 + 10).cast("bigint").alias("p"))
     texts = li.select("d", "k", F.when(F.col("k") % 3 != 0, F.col("q").cast("string")).otherwise("").alias("quantity"), F.format_string("%d,00", "p").alias("price"), F.format_string("%,.2f", (F.col("q") * F.col("p")).cast("double")).alias("total"))
     done = documents.postprocess(texts, "d", "k", "quantity", "price", "total")
     total = F.aggregate("items", F.lit(0.0), lambda s, x: s + x["quantity"].cast("double"))

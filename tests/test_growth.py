@@ -6,8 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import fields
 from quillspark.functions import polygons as P
 from quillspark.operators import alignment, annotations, contracts, lineitems, linkage, trees
+from quillspark.plans import receipts
 from quillspark.sources import records, versions
 from quillspark.streaming import requests
 
@@ -127,3 +129,15 @@ def test_polygons_of_rows_are_read_once(spark):
     decoded, not_read = annotations.decode_rows(rows)
     assert [df.count() for df in (regions, fields, refused, decoded, not_read)] == [1, 4, 1, 1, 1]
     assert all("ArrowEvalPython" not in plan(df) for df in (regions, fields, refused, decoded, not_read))
+
+
+def test_plain_numbers_are_read_without_the_rules_and_lines_dealt_once(spark, data):
+    some = ["17", "560,00", "12.50", "25.000", "1.234.567", "1,234,567.8", "1.234,00", "0.00", "1,234,56", "9" * 40, "0123", "1,23,4"]
+    texts = spark.createDataFrame([(x, f" {x} ") for x in some], "plain string, spaced string")
+    for locale in ("vi-VN", None):
+        read = lambda c: fields.amount_field(F.col(c), F.lit(locale))  # noqa: B023, E731
+        assert all(r[0] == r[1] for r in texts.select(read("plain"), read("spaced")).collect())
+    assert all(r[0] == r[1] for r in texts.select(fields.quantity_field(F.col("plain")), fields.quantity_field(F.col("spaced"))).collect())
+    assert fields.PLAIN_AMOUNT in plan(texts.select(fields.amount_field(F.col("plain"), F.lit("vi-VN"))))
+    physical = plan(receipts.QUERIES["postprocess_items"](spark, data)).split("== Physical Plan ==")[1]
+    assert physical.count("Exchange hashpartitioning") == 1
