@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .folds import fold_sorted
 from .sequence import row_bands
@@ -153,30 +160,101 @@ def group_line_items(entities: DataFrame, doc: str, ref: str, label: str, text:
     return fold_sorted(wanted, [doc], [ref, label, *box], fold, f"{doc} {kinds[doc]}, item_no int, {label} {kinds[label]}, {ref} {kinds[ref]}, method string")
 
 
-def greedy_match(gold: DataFrame, pred: DataFrame, doc: str, item: str, cells: list[str]) -> DataFrame:
+def value_codes(column: pa.Array) -> np.ndarray:
+    """Numbers that are equal where values are; nulls have -1."""
+    if pa.types.is_null(column.type):
+        return np.full(len(column), -1)
+    if pa.types.is_floating(column.type):
+        column = pc.add(column, pa.scalar(0.0, column.type))  # of two zeros one
+    elif pa.types.is_nested(column.type):
+        column = pa.array([None if v is None else repr(v) for v in column.to_pylist()], pa.string())
+    return pc.fill_null(column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+
+
+def cell_codes(column: pa.Array) -> np.ndarray:
+    """The same for cells: what is not a number equals nothing, like a null."""
+    return value_codes(pc.if_else(pc.is_nan(column), pa.scalar(None, column.type), column) if pa.types.is_floating(column.type) else column)
+
+
+def boundaries(keys: pa.Array) -> np.ndarray:
+    """Where a key differs from the one before it."""
+    return np.flatnonzero(np.diff(value_codes(keys))) + 1
+
+
+def greedy_partners(docs: np.ndarray, predicted: np.ndarray, cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of gold items and of their partners (-1: none), with equal cells, then predictions that are left.
+
+    ``docs`` numbers the documents, whose rows stand together.  The first gold items of all documents choose at once, then the
+    second ones; a step holds one number for each prediction of the documents that still have an item to match.
+    """
+    gold, pred = np.flatnonzero(~predicted), np.flatnonzero(predicted)
+    n = int(docs[-1]) + 1 if len(docs) else 0
+    counts, golds = np.bincount(docs[pred], minlength=n), np.bincount(docs[gold], minlength=n)
+    starts, rank = np.cumsum(counts) - counts, np.arange(len(gold)) - (np.cumsum(golds) - golds)[docs[gold]]
+    partner, same, free = np.full(len(gold), -1), np.zeros(len(gold), np.int64), np.ones(len(pred), bool)
+    left, right = [c[gold] for c in cells], [c[pred] for c in cells]
+    able = np.flatnonzero(counts[docs[gold]] > 0)
+    able = able[np.argsort(rank[able], kind="stable")]
+    for now in np.split(able, np.flatnonzero(np.diff(rank[able])) + 1) if len(able) else []:
+        each = counts[docs[gold[now]]]
+        first, most = np.cumsum(each) - each, int(each.max())
+        place = np.arange(each.sum()) - np.repeat(first, each)
+        at, who = place + np.repeat(starts[docs[gold[now]]], each), np.repeat(now, each)
+        equal = np.zeros(len(at), np.int64)
+        for x, y in zip(left, right, strict=True):
+            equal += (x[who] == y[at]) & (x[who] >= 0)
+        # Of equally good ones the earliest: the place counts below the number of equal cells.
+        best = np.maximum.reduceat(equal * free[at] * most + (most - 1 - place), first)
+        hit = best >= most
+        took = starts[docs[gold[now]]] + most - 1 - best % most
+        partner[now[hit]], same[now[hit]] = pred[took[hit]], best[hit] // most
+        free[took[hit]] = False
+    alone = pred[free]
+    none = np.full(len(alone), -1)
+    return np.concatenate([gold, none]), np.concatenate([partner, alone]), np.concatenate([same, np.zeros(len(alone), np.int64)])
+
+
+def greedy_match(gold: DataFrame, pred: DataFrame, doc: str, item: str, cells: list[str], keep: bool = False) -> DataFrame:
     """``doc, gold_item, pred_item, equal_cells``: each gold item, in order, takes the unused predicted item with most equal cells.
 
     Of equally good ones the earliest; without an equal cell none (a missed item), and predictions that
-    are left stand alone (extra items).  Null cells never agree.  A fold over one document's items.
+    are left stand alone (extra items).  Null cells never agree.  With ``keep`` also ``gold`` and ``pred``, the cells of both.
+    Rows are dealt by document and sorted by Spark; a task holds a batch and what is left of one document.
     """
-    g = gold.select(doc, item, *cells).withColumn("__side", F.lit(0))
-    p = pred.select(doc, item, *cells).withColumn("__side", F.lit(1))
-
-    def fold(rows: list[tuple]) -> list[tuple]:
-        left, right = ([r[1:-1] for r in rows if r[-1] == k] for k in (0, 1))
-        free, out = list(range(len(right))), []
-        for a in left:
-            same = {k: sum(x == y and x is not None for x, y in zip(a[1:], right[k][1:], strict=True)) for k in free}
-            best = max(free, key=same.__getitem__, default=None)
-            if best is None or not same[best]:
-                out.append((rows[0][0], a[0], None, 0))
-            else:
-                free.remove(best)
-                out.append((rows[0][0], a[0], right[best][0], same[best]))
-        return out + [(rows[0][0], None, right[k][0], 0) for k in free]
-
-    kinds = dict(gold.dtypes)
-    return fold_sorted(g.unionByName(p), [doc], [item, *cells], fold, f"{doc} {kinds[doc]}, gold_item {kinds[item]}, pred_item {kinds[item]}, equal_cells int")
+    g = gold.select(doc, item, *cells).withColumn("__side", F.lit(False))
+    both = g.unionByName(pred.select(doc, item, *cells).withColumn("__side", F.lit(True)))
+    kinds = dict(both.dtypes)
+    inner = ", ".join(f"`{c}`: {kinds[c]}" for c in cells)
+    schema = f"`{doc}` {kinds[doc]}, gold_item {kinds[item]}, pred_item {kinds[item]}, equal_cells int" + (f", gold struct<{inner}>, pred struct<{inner}>" if keep else "")
+    out_schema = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(out_schema)
+
+    def matched(rows: pa.Table) -> pa.RecordBatch:
+        key, *columns, side = (c.combine_chunks() for c in rows.columns)
+        docs = np.zeros(len(key), np.int64)
+        docs[boundaries(key)] = 1
+        a, b, same = greedy_partners(np.cumsum(docs), side.to_numpy(zero_copy_only=False), [cell_codes(c) for c in columns[1:]])
+        x, y = pa.array(a, mask=a < 0), pa.array(b, mask=b < 0)
+        found = [key.take(pa.array(np.where(a < 0, b, a))), columns[0].take(x), columns[0].take(y), pa.array(same, pa.int32())]
+        for at in (x, y) if keep else ():
+            found.append(pa.StructArray.from_arrays([c.take(at) for c in columns[1:]], names=cells, mask=at.is_null()))
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(found, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0)
+            cuts = boundaries(pa.concat_arrays([held[-1].column(0)[-1:], key])) - 1 if held else boundaries(key)
+            if len(cuts):
+                yield matched(pa.Table.from_batches([*held, batch[: cuts[-1]]]))
+                held, batch = [], batch[cuts[-1] :]
+            held.append(batch)
+        if held:
+            yield matched(pa.Table.from_batches(held))
+
+    return both.repartition(doc).sortWithinPartitions(doc, item, *cells).mapInArrow(run, out_schema)
 
 
 def number_roles(numbers: DataFrame, row: list[str], x: str, value: str, money: str, tolerance: float = 1.0) -> DataFrame:

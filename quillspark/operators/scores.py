@@ -54,10 +54,9 @@ def matched_cells(gold: DataFrame, pred: DataFrame, doc: str, item: str, cells:
     """``doc, gold_item, pred_item, cell, expected, found, outcome`` of every cell of items paired by :func:`lineitems.greedy_match`.
 
     ``outcome``: ``equal``, ``wrong``, ``missing`` (expected only) or ``extra`` (found only); cells empty on both sides are left out.
+    Rows that share an item number, or have none, are items of their own.
     """
-    pairs = greedy_match(gold, pred, doc, item, cells)
-    side = lambda df, n: df.select(doc, F.col(item).alias(f"{n}_item"), F.struct(*cells).alias(n))
-    both = pairs.join(side(gold, "gold"), [doc, "gold_item"], "left").join(side(pred, "pred"), [doc, "pred_item"], "left")
+    both = greedy_match(gold, pred, doc, item, cells, keep=True)
     one = F.inline(F.array(*(F.struct(F.lit(c).alias("cell"), F.col(f"gold.{c}").cast("string").alias("expected"), F.col(f"pred.{c}").cast("string").alias("found")) for c in cells)))
     each = both.select(doc, "gold_item", "pred_item", one).where("expected is not null or found is not null")
     outcome = F.when(F.col("expected").eqNullSafe(F.col("found")), "equal").when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("wrong")
@@ -66,9 +65,10 @@ def matched_cells(gold: DataFrame, pred: DataFrame, doc: str, item: str, cells:
 
 def cell_rates(cells: DataFrame) -> DataFrame:
     """Per cell name and over all: how many cells, those of each outcome, and the share that a user would have to correct."""
-    doubled = cells.withColumn("cell", F.explode(F.array("cell", F.lit(OVERALL))))
-    n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
-    total = doubled.groupBy("cell").agg(F.count("*").alias("cells"), *map(n, ("equal", "wrong", "missing", "extra")))
+    outcomes = ("equal", "wrong", "missing", "extra")
+    each = cells.groupBy("cell").agg(F.count("*").alias("cells"), *(F.count_if(F.col("outcome") == o).alias(o) for o in outcomes))
+    doubled = each.withColumn("cell", F.explode(F.array("cell", F.lit(OVERALL))))
+    total = doubled.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("cells", *outcomes)))
     return total.withColumn("correction_rate", rate(F.col("cells") - F.col("equal"), F.col("cells")))
 
 

@@ -1,6 +1,7 @@
 """What fails only on larger tables: sums beyond 64 bits, tables too large to broadcast, loops that grow with their own files."""
 
 import hashlib
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fields
 from quillspark.functions import polygons as P
-from quillspark.operators import alignment, annotations, contracts, lineitems, linkage, trees
+from quillspark.operators import alignment, annotations, contracts, lineitems, linkage, scores, trees
 from quillspark.plans import receipts
 from quillspark.sources import records, versions
 from quillspark.streaming import requests
@@ -141,3 +142,28 @@ def test_plain_numbers_are_read_without_the_rules_and_lines_dealt_once(spark, da
     assert fields.PLAIN_AMOUNT in plan(texts.select(fields.amount_field(F.col("plain"), F.lit("vi-VN"))))
     physical = plan(receipts.QUERIES["postprocess_items"](spark, data)).split("== Physical Plan ==")[1]
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_items_are_matched_by_the_batch_without_joins(spark):
+    schema = "d long, item int, name string, price double"
+    some = lambda s: [(d if d else None, 3 * k % 7, "abc"[(d + k * s) % 3], (None, 1.0, 0.0, -0.0, float("nan"))[(d * s + k) % 5]) for d in range(60) for k in range((d * s + d) % 6 if d != 9 else 40)]
+    gold, pred = some(1), some(2)
+    want = Counter()
+    rank = lambda r: (r[1], r[2], r[3] is not None, r[3] if r[3] is not None and r[3] == r[3] else float("inf") if r[3] is not None else 0.0)
+    for d in {r[0] for r in gold + pred}:
+        left, free = (sorted((r for r in rows if r[0] == d), key=rank) for rows in (gold, pred))
+        for a in left:
+            same = [sum(x == y and x is not None for x, y in zip(a[2:], b[2:], strict=True)) for b in free]
+            best = max(range(len(free)), key=same.__getitem__, default=None)
+            b = free.pop(best) if best is not None and same[best] else None
+            want[d, a[1], b and b[1], same[best] if b else 0] += 1
+        want.update((d, None, b[1], 0) for b in free)
+    g, p = spark.createDataFrame(gold, schema), spark.createDataFrame(pred, schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert Counter(tuple(r) for r in lineitems.greedy_match(g, p, "d", "item", ["name", "price"]).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    twice = spark.createDataFrame([(1, 1, "a", 2.0), (1, 1, "b", 3.0)], schema)
+    cells = scores.matched_cells(twice, twice, "d", "item", ["name", "price"])
+    assert "Join" not in plan(cells) and Counter(r["outcome"] for r in cells.collect()) == {"equal": 4}
