@@ -16,21 +16,27 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
+#: Kinds by the first word of a VARIANT's type; all others are numbers.
+KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
 def _kind(v: Column) -> Column:
-    said = F.schema_of_variant(v)
-    kind = F.when(said.startswith("OBJECT"), "object").when(said.startswith("ARRAY"), "array").when(said == "STRING", "string").when(said == "BOOLEAN", "boolean").when(said == "VOID", "null")
-    return kind.otherwise("number")
+    # By a table, so that the type, which looks at all that is below, is worked out once.
+    known = F.create_map(*(F.lit(x) for kind in KINDS.items() for x in kind))
+    return F.coalesce(known[F.substring_index(F.schema_of_variant(v), "<", 1)], F.lit("number"))
 
 
 def nodes(df: DataFrame, keys: list[str], tree: str) -> DataFrame:
     """``keys, path, parent, name, kind, value`` of every node; ``name`` is its key or position, ``value`` its JSON text where it holds no others."""
     spark = df.sparkSession
     level = df.select(*keys, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"), F.col(tree).alias("v")).where("v is not null")
+    inner = F.col("kind").isin("object", "array")
     found: DataFrame | None = None
     while True:
-        level = materialize(level.withColumn("kind", _kind(F.col("v"))), "tree-level")
-        inner = F.col("kind").isin("object", "array")
-        done = level.select(*keys, "path", "parent", "name", "kind", F.when(~inner, F.to_json("v")).alias("value"))
+        # A leaf is written as its text, only what holds others as a tree.
+        typed = level.withColumn("kind", _kind(F.col("v")))
+        level = materialize(typed.select(*keys, "path", "parent", "name", "kind", F.when(~inner, F.to_json("v")).alias("value"), F.when(inner, F.col("v")).alias("v")), "tree-level")
+        done = level.drop("v")
         found = done if found is None else found.unionByName(done)
         open_ = level.where(inner)
         if open_.isEmpty():

@@ -29,8 +29,8 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY k) - 1 AS i, cou
 
 def _orders(spark, sf_dir):
     """``d`` and an array ``lines`` of ``k, q`` for every order that has lines."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("k")).agg(F.min("l_quantity").cast("long").alias("q"))
-    return lines.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("k", "q"))).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("k")).agg(F.min("l_quantity").cast("long").alias("q"))
+    return lines.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("k", "q"))).alias("lines"))
 
 
 @query(f"""

@@ -167,3 +167,14 @@ def test_items_are_matched_by_the_batch_without_joins(spark):
     twice = spark.createDataFrame([(1, 1, "a", 2.0), (1, 1, "b", 3.0)], schema)
     cells = scores.matched_cells(twice, twice, "d", "item", ["name", "price"])
     assert "Join" not in plan(cells) and Counter(r["outcome"] for r in cells.collect()) == {"equal": 4}
+
+
+def test_leaves_of_trees_are_written_as_texts(spark, monkeypatch):
+    written, real = [], trees.materialize
+    monkeypatch.setattr(trees, "materialize", lambda df, name: written.append(real(df, name)) or written[-1])
+    texts = spark.createDataFrame([(1, '{"a": [1, {"b": "x"}, null, true], "c": {}}'), (2, "2.5")], "d long, t string").select("d", F.try_parse_json("t").alias("tree"))
+    found = {(r["d"], r["path"]): (r["kind"], r["value"]) for r in trees.nodes(texts, ["d"], "tree").collect()}
+    assert found == {
+        (1, ""): ("object", None), (1, "/a"): ("array", None), (1, "/a/0"): ("number", "1"), (1, "/a/1"): ("object", None), (1, "/a/1/b"): ("string", '"x"'),
+        (1, "/a/2"): ("null", "null"), (1, "/a/3"): ("boolean", "true"), (1, "/c"): ("object", None), (2, ""): ("number", "2.5")}
+    assert len(written) == 4 and all(df.where("kind not in ('object', 'array') and v is not null").isEmpty() for df in written)
