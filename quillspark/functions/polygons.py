@@ -92,15 +92,20 @@ def _points(xs, ys) -> Points:
 def rectangles(xs: pa.Array, ys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """:func:`rectangle` of many polygons at once: sides (``n`` x 4, zeros elsewhere), and where there is one."""
     lengths = pc.fill_null(pc.list_value_length(xs), 0).to_numpy(zero_copy_only=False).astype("int64")
+    return sides_of(lengths, *(c.flatten().to_numpy(zero_copy_only=False).astype("float64") for c in (xs, ys)))
+
+
+def sides_of(lengths: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`rectangles` of polygons whose corners stand one after the other, ``lengths`` to a polygon."""
     four = np.flatnonzero(lengths == 4)
     at = (np.cumsum(lengths) - lengths)[four, None] + np.arange(4)
-    x, y = (c.flatten().to_numpy(zero_copy_only=False)[at].astype("float64") for c in (xs, ys))
+    x, y = xs[at], ys[at]
     sides = np.stack([x.min(1), y.min(1), x.max(1), y.max(1)], 1) if len(four) else np.zeros((0, 4))
     (right, left), (lower, upper) = ((v == sides[:, i, None], v == sides[:, j, None]) for v, i, j in ((x, 2, 0), (y, 3, 1)))
     # Every corner counts as one of four bits; only four different ones add up to 15.
     corners = np.where((right | left) & (lower | upper), 1 << (2 * right + lower), 0).sum(1) == 15
     plain = np.isfinite(sides).all(1) & (sides[:, 0] < sides[:, 2]) & (sides[:, 1] < sides[:, 3]) & corners
-    out, found = np.zeros((len(xs), 4)), np.zeros(len(xs), "bool")
+    out, found = np.zeros((len(lengths), 4)), np.zeros(len(lengths), "bool")
     out[four[plain]], found[four[plain]] = sides[plain], True
     return out, found
 
@@ -145,23 +150,96 @@ def common_area(a: Column, b: Column) -> Column:
     return _common_area(a["x"], a["y"], b["x"], b["y"])
 
 
+class Polygons:
+    """Many polygons in arrays: the corners of all one after the other, ``lengths`` to each."""
+
+    def __init__(self, lengths: np.ndarray, xs: np.ndarray, ys: np.ndarray):
+        self.lengths, self.xs, self.ys = lengths, xs, ys
+        self.starts = np.cumsum(lengths) - lengths
+        self.sides, self.plain = sides_of(lengths, xs, ys)
+
+    def boxes(self) -> np.ndarray:
+        """Bounding boxes (``n`` x 4); not numbers where there is no corner, and corners that are none do not count."""
+        out, some = np.full((len(self.lengths), 4), np.nan), self.lengths > 0
+        if some.any():
+            sides = ((np.fmin, self.xs), (np.fmin, self.ys), (np.fmax, self.xs), (np.fmax, self.ys))
+            out[some] = np.stack([f.reduceat(v, self.starts[some]) for f, v in sides], 1)
+        return out
+
+    def points(self, i: int) -> Points:
+        at = slice(self.starts[i], self.starts[i] + self.lengths[i])
+        return [p for p in zip(self.xs[at].tolist(), self.ys[at].tolist(), strict=True) if math.isfinite(p[0]) and math.isfinite(p[1])]
+
+    def areas(self) -> np.ndarray:
+        """As :func:`hull_area`."""
+        out = rectangle_areas(self.sides)
+        for i in np.flatnonzero(~self.plain):
+            out[i] = shoelace(hull(self.points(i)))
+        return out
+
+    def common(self, other: Polygons, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """As :func:`common_area`, of pairs ``i`` here and ``j`` of the other."""
+        p, q = self.sides[i], other.sides[j]
+        part = lambda k: np.maximum(0.0, np.minimum(p[:, k + 2], q[:, k + 2]) - np.maximum(p[:, k], q[:, k]))
+        out = part(0) * part(1)
+        for k in np.flatnonzero(~(self.plain[i] & other.plain[j])):
+            out[k] = shared(self.points(i[k]), other.points(j[k]))
+        return out
+
+
+def touch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether boxes, side by side, share an area."""
+    return (a[:, 2] > b[:, 0]) & (b[:, 2] > a[:, 0]) & (a[:, 3] > b[:, 1]) & (b[:, 3] > a[:, 1])
+
+
+def touching(docs: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of boxes of one document that share an area, by their places in ``a`` and ``b``, both ascending by document.
+
+    Where a document has more than ``DENSE`` boxes a side, those of ``b`` are looked at in order of their upper edge, and only
+    from the first that may reach as far down as the box to the last that begins above its end. No more than ``most`` pairs, or
+    those of one box, are held before those that meet are known.
+    """
+    low, high = (np.searchsorted(others, docs, side) for side in ("left", "right"))
+    order = np.arange(len(b))
+    rows = np.bincount(docs) if len(docs) else np.zeros(0, "int64")
+    for d in np.flatnonzero(rows > DENSE):
+        i = slice(*np.searchsorted(docs, [d, d + 1]))
+        first, last = np.searchsorted(others, [d, d + 1])
+        if last - first > DENSE:
+            order[first:last] = first + np.argsort(b[first:last, 1], kind="stable")
+            upper, lower = b[order[first:last], 1], np.fmax.accumulate(b[order[first:last], 3])
+            low[i], high[i] = first + np.searchsorted(lower, a[i, 1], "right"), first + np.searchsorted(upper, a[i, 3])
+    count = np.maximum(high - low, 0)
+    total = np.cumsum(count)
+    found, at = [(np.zeros(0, "int64"), np.zeros(0, "int64"))], 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        n = count[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:end], n)]
+        met = touch(a[i], b[j])
+        found.append((i[met], j[met]))
+        at = end
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def upright(p: Column, width: Column, height: Column, degrees: Column) -> Column:
     """Points of a page turned clockwise by ``degrees`` about its centre, on the canvas that then holds it.
 
     Quarter turns are exact; a turn of nothing leaves the points as they are.
     """
-    snapped = lambda v: F.when(F.abs(v - F.rint(v)) < 1e-12, F.rint(v)).otherwise(v)
-    turn = F.struct(snapped(F.cos(F.radians(degrees))).alias("c"), snapped(F.sin(F.radians(degrees))).alias("s"), upright_size(width, height, degrees).alias("size"))
-
-    def shifted(t: Column) -> Column:
-        dx = t["size"]["width"] / 2 - (t["c"] * width / 2 - t["s"] * height / 2)
-        dy = t["size"]["height"] / 2 - (t["s"] * width / 2 + t["c"] * height / 2)
-        return F.struct(t["c"].alias("c"), t["s"].alias("s"), dx.alias("dx"), dy.alias("dy"))
-
     # The turn is worked out once a polygon, not once a corner.
     at = lambda t, q: F.struct((t["c"] * q["x"] - t["s"] * q["y"] + t["dx"]).alias("x"), (t["s"] * q["x"] + t["c"] * q["y"] + t["dy"]).alias("y"))
-    turned = let(let(turn, shifted), lambda t: F.transform(p, lambda q: at(t, q)))
-    return F.when(F.pmod(degrees, F.lit(360.0)) == 0, p).otherwise(turned).cast(POLYGON)
+    return F.when(F.pmod(degrees, F.lit(360.0)) == 0, p).otherwise(let(turn(width, height, degrees), lambda t: F.transform(p, lambda q: at(t, q)))).cast(POLYGON)
+
+
+def turn(width: Column, height: Column, degrees: Column) -> Column:
+    """What :func:`upright` does to a point: ``x`` becomes ``c x - s y + dx``, ``y`` becomes ``s x + c y + dy``."""
+    snapped = lambda v: F.when(F.abs(v - F.rint(v)) < 1e-12, F.rint(v)).otherwise(v)
+    c, s, size = snapped(F.cos(F.radians(degrees))), snapped(F.sin(F.radians(degrees))), upright_size(width, height, degrees)
+    parts = {"c": c, "s": s, "dx": size["width"] / 2 - (c * width / 2 - s * height / 2), "dy": size["height"] / 2 - (s * width / 2 + c * height / 2)}
+    none = F.pmod(degrees, F.lit(360.0)) == 0
+    return F.struct(*(F.when(none, float(n == "c")).otherwise(v).alias(n) for n, v in parts.items()))
 
 
 def upright_size(width: Column, height: Column, degrees: Column) -> Column:
