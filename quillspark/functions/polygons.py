@@ -100,10 +100,11 @@ def sides_of(lengths: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.nd
     four = np.flatnonzero(lengths == 4)
     at = (np.cumsum(lengths) - lengths)[four, None] + np.arange(4)
     x, y = xs[at], ys[at]
-    sides = np.stack([x.min(1), y.min(1), x.max(1), y.max(1)], 1) if len(four) else np.zeros((0, 4))
+    sides = np.stack([f(f(v[:, 0], v[:, 1]), f(v[:, 2], v[:, 3])) for f in (np.minimum, np.maximum) for v in (x, y)], 1)
     (right, left), (lower, upper) = ((v == sides[:, i, None], v == sides[:, j, None]) for v, i, j in ((x, 2, 0), (y, 3, 1)))
     # Every corner counts as one of four bits; only four different ones add up to 15.
-    corners = np.where((right | left) & (lower | upper), 1 << (2 * right + lower), 0).sum(1) == 15
+    bits = np.where((right | left) & (lower | upper), 1 << (2 * right + lower), 0)
+    corners = bits[:, 0] + bits[:, 1] + bits[:, 2] + bits[:, 3] == 15
     plain = np.isfinite(sides).all(1) & (sides[:, 0] < sides[:, 2]) & (sides[:, 1] < sides[:, 3]) & corners
     out, found = np.zeros((len(lengths), 4)), np.zeros(len(lengths), "bool")
     out[four[plain]], found[four[plain]] = sides[plain], True

@@ -220,7 +220,7 @@ class _Pages:
         line_rows = np.flatnonzero((kinds == LINE) & here[page] & numbered(self.lines))
         self.region_rows = np.flatnonzero((kinds == REGION) & here[page])
         line_page, self.region_page = page[line_rows], page[self.region_rows]
-        text_of = lambda rows: texts.take(pa.array(rows)).to_pylist()
+        text_of = lambda rows: texts.take(pa.array(rows)).to_numpy(zero_copy_only=False).tolist()
         self.region_texts = text_of(self.region_rows)
         kept = labels.take(pa.array(self.region_rows)).dictionary_encode()
         self.labels, self.label = kept.dictionary.to_pylist(), kept.indices.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -246,7 +246,7 @@ class _Pages:
         if source_frame:
             whole = polygons(line_rows, True)
             x, y = (v.reshape(-1, 4) for v in turned(x.ravel(), y.ravel(), np.repeat(line_page[line], 4)))
-        boxes = np.stack([np.fmin.reduce(x, 1), np.fmin.reduce(y, 1), np.fmax.reduce(x, 1), np.fmax.reduce(y, 1)], 1)
+        boxes = np.stack([f(f(v[:, 0], v[:, 1]), f(v[:, 2], v[:, 3])) for f in (np.fmin, np.fmax) for v in (x, y)], 1)
         read, first, sizes = np.unique(line, return_index=True, return_counts=True)
         sides = zip((np.fmin, np.fmin, np.fmax, np.fmax), boxes.T, strict=True)
         line_boxes = np.stack([f.reduceat(v, first) for f, v in sides], 1) if len(read) else boxes
@@ -281,7 +281,8 @@ class _Pages:
         self.vague = (area <= 0) | ((cover >= IGNORE) & (cover < ASSIGN))
 
         # Regions whose words are not their text look for it in the lines that they overlap.
-        members = self.members(own)
+        held = self.members(own)
+        members = list(map(self.texts, held))
         unread = np.array([t is not None and t != " ".join(m) for t, m in zip(self.region_texts, members, strict=True)], "bool")
         wide, line_area = whole.boxes()[read], whole.areas()[read]
         wanting = np.flatnonzero(unread)
@@ -290,7 +291,7 @@ class _Pages:
         near = (smaller > 0) & (whole.common(outline, read[i], wanting[k]) >= LINE_OVERLAP * smaller)
         i, k = i[near], wanting[k[near]]
         owner = own.tolist()
-        self.take_spelled(i, k, starts, sizes, members, owner)
+        self.take_spelled(i, k, starts, sizes, held, members, owner)
 
         # Regions without words take, of the free words able to fill them, the last that covers most.
         empty = np.array([not m for m in members], "bool")
@@ -303,24 +304,21 @@ class _Pages:
                 filled.add(region)
         self.owner = np.array(owner, "int64")
 
-    def members(self, owner: np.ndarray) -> list[list[str]]:
-        """Texts of the words of each region, in order."""
+    def members(self, owner: np.ndarray) -> list[list[int]]:
+        """Places of the words of each region, in order."""
         order = np.argsort(owner, kind="stable")
         ends = np.searchsorted(owner[order], np.arange(len(self.region_rows) + 1)).tolist()
-        words = [self.words[k] for k in order.tolist()]
+        words = order.tolist()
         return [words[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def take_spelled(self, lines: np.ndarray, regions: np.ndarray, starts: np.ndarray, sizes: np.ndarray, members: list[list[str]], owner: list[int]) -> None:
-        """Every region in order takes the words that spell its text better, if each is free or its own.
+    def take_spelled(self, lines: np.ndarray, regions: np.ndarray, starts: np.ndarray, sizes: np.ndarray, held: list[list[int]], members: list[list[str]], owner: list[int]) -> None:
+        """Every region in order takes the words that spell its text better than those it has (``held``, their texts ``members``), if
+        each is free or its own.
 
         ``lines`` (in reading order; words from ``starts``, ``sizes`` to each) are those about ``regions``, side by side.
         """
         order = np.lexsort((lines, regions))
         lines, regions = lines[order].tolist(), regions[order].tolist()
-        held: dict[int, list[int]] = {}
-        for w, region in enumerate(owner):
-            if region >= 0:
-                held.setdefault(region, []).append(w)
         starts, sizes = starts.tolist(), sizes.tolist()
         seen: dict[int, tuple] = {}
         at = 0
@@ -340,23 +338,26 @@ class _Pages:
                 found = spelling_words(self.region_texts[region], members[region], *joined_words([self.words[w] for w in around]))
                 chosen = [around[k] for k in found or ()]
             if chosen and all(owner[w] in (-1, region) for w in chosen):
-                for w in held.get(region, ()):
+                for w in held[region]:
                     owner[w] = -1
                 for w in chosen:
                     owner[w] = region
             at = end
 
-    def captions(self, members: list[list[str]]) -> np.ndarray:
-        """How many words of each region are its caption."""
+    def captions(self, words: list, text=lambda w: w) -> np.ndarray:
+        """How many words of each region are its caption; ``text`` of what ``words`` has for a region are these words."""
         captioned = np.isin(self.label, [k for k, label in enumerate(self.labels) if label in CAPTIONED])
-        skip = np.zeros(len(members), "int64")
+        skip = np.zeros(len(words), "int64")
         for k in np.flatnonzero(captioned).tolist():
-            skip[k] = caption_words(members[k])
+            skip[k] = caption_words(text(words[k]))
         return skip
 
+    def texts(self, places: list[int]) -> list[str]:
+        return [self.words[k] for k in places]
+
     def tagged(self, schema: pa.Schema) -> pa.RecordBatch:
         """Rows of words: captions are outside, the first word after them begins, what interrupts an entity makes it begin anew."""
-        skip = self.captions(self.members(self.owner))
+        skip = self.captions(self.members(self.owner), self.texts)
         order = np.argsort(self.owner, kind="stable")
         nth = np.empty(len(order), "int64")
         nth[order] = np.arange(len(order)) - np.searchsorted(self.owner[order], self.owner[order])
@@ -380,7 +381,7 @@ class _Pages:
 
     def readings(self, schema: pa.Schema) -> pa.RecordBatch:
         """Rows of regions: what stands there and what was read, both without captions, and both composed where they differ."""
-        members = self.members(self.owner)
+        members = list(map(self.texts, self.members(self.owner)))
         tokens = [re.findall(r"[^ \t\n\x0b\f\r]+", t or "") for t in self.region_texts]
         truth = [" ".join(t[k:]) for t, k in zip(tokens, self.captions(tokens).tolist(), strict=True)]
         left = [m[k:] for m, k in zip(members, self.captions(members).tolist(), strict=True)]
