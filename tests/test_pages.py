@@ -110,3 +110,22 @@ def test_odd_records(spark):
     words, stats = A.align_pages(p, lines, regions, "d")
     assert sorted((r["line"], r["text"], r["tag"], r["region"]) for r in words.collect()) == [(5, "x", None, "r"), (5, "y", None, "r"), (6, "z", "IGNORE", None)]
     assert sorted((r["region"], r["read"], r["words"], r["cer"]) for r in stats.collect()) == [("r", "x y", 2, 0.0), ("s", "", 0, None)]
+
+
+def test_readings_are_those_of_pages_lines_and_regions(spark, data):
+    _, stats = A.align_pages(*three_tables(spark, data), "d")
+    want = stats.withColumn("cer", F.round("cer", 6))
+    got = pages.region_readings(spark, data)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_error_rates_are_of_composed_texts_and_go_to_python_once(spark):
+    corners = lambda x: [{"x": a, "y": b} for a, b in ((x, 0.0), (x + 20, 0.0), (x + 20, 10.0), (x, 10.0))]
+    texts = [("Đà́  Na", "đà́ Na"), ("a\tb", "a b"), ("abcd", "abXd"), (" ", "q"), ("SỮA", "sữa")]
+    p = spark.createDataFrame([(1, 400, 100, 0.0)], "d long, width int, height int, rotation double")
+    lines = spark.createDataFrame([(1, k, t, corners(30.0 * k)) for k, (_, t) in enumerate(texts)], f"d long, line int, text string, polygon {P.POLYGON}")
+    regions = spark.createDataFrame([(1, k, "NAME", t, corners(30.0 * k)) for k, (t, _) in enumerate(texts)], f"d long, region int, label string, text string, polygon {P.POLYGON}")
+    _, stats = A.align_pages(p, lines, regions, "d")
+    assert plan(stats).count("Python") + plan(stats).count("MapInArrow") == 1
+    rows = stats.orderBy("region").collect()
+    assert [(r["truth"], r["read"], r["words"], r["cer"]) for r in rows] == [("Đà́ Na", "đà́ Na", 2, 0.0), ("a b", "a b", 2, 0.0), ("abcd", "abXd", 1, 0.25), ("", "q", 1, None), ("SỮA", "sữa", 1, 0.0)]
